@@ -143,7 +143,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = 4
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
         bins, offsets = best_fit(pdf["length"].tolist(), capacity, open_bins)
-        pdf["sequence_id"] = (pdf["packing_group"].astype("int64") << 40) + np.array(bins, dtype=np.int64)
+        pdf["sequence_id"] = pdf["packing_group"].astype("int64") * (1 << 40) + np.array(bins, dtype=np.int64)
         pdf["offset"] = np.array(offsets, dtype=np.int64)
         return pdf.drop(columns="packing_group")
 

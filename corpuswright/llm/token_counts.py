@@ -1,8 +1,9 @@
 """Token counts under a unigram model, by dynamic programming over a trie of pre-tokens.
 
-Each Python worker keeps the counts of the pre-tokens that it has met. The new ones of a batch are inserted in a trie whose
-nodes are laid out level by level; every node's forward score (the best log-probability of any segmentation that ends there)
-is computed once, from its ancestors, for all words that share the prefix. Terminal nodes hold the count of the best path.
+Each Python worker keeps the counts of the pre-tokens that it has met. The new ones of a batch form a trie that is walked
+depth first, in sorted order; every node's forward score (the best log-probability of any segmentation that ends there) is
+computed once for all words that share the prefix, from the nodes above it, and terminal nodes store the best path's count.
+Only the path from the root to the current node is in memory.
 """
 
 from __future__ import annotations
