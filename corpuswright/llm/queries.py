@@ -7,11 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_format
 from .common import read_table
 from .exact_dedup import exact_groups
 from .packing import pack_documents
 from .secret_scan import find_secrets
+from .surrogates import replace_personal_data
 from .token_counts import count_tokens
+from .toxicity import fit, in_training_fold, score
+
+
+#: Only so that results can be compared between runs; a real run passes a secret of its own.
+SURROGATE_KEY = "key of the registered query"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_pairs(chat_format.parroting_pairs(read_table(spark, sf_dir, "conversations")), "conv_id")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +42,23 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(read_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(in_training_fold()))
+    scored = score(docs, model)
+    return scored.select("doc_id", (~in_training_fold()).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secrets, op3_token_counts, op5_packing, op7_exact_dedup)
+    f.__name__: f for f in (op1_chat_format, op2_secrets, op3_token_counts, op5_packing, op7_exact_dedup, op8_personal_data, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat_format": chat_format.ORACLE,
     "op7_exact_dedup": r"""
         WITH t AS (
           SELECT doc_id, length(coalesce(text, '')) AS n,
