@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import chat_format
 from .common import read_table
+from .decontaminate import contaminated
 from .exact_dedup import exact_groups
+from .near_dedup import near_duplicate_classes
 from .packing import pack_documents
 from .secret_scan import find_secrets
 from .surrogates import replace_personal_data
@@ -34,6 +36,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +52,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_personal_data(read_table(spark, sf_dir, "documents"), SURROGATE_KEY)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(in_training_fold()))
@@ -54,7 +64,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_secrets, op3_token_counts, op5_packing, op7_exact_dedup, op8_personal_data, op10_toxicity)
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_secrets, op3_token_counts, op4_decontamination, op5_packing, op7_exact_dedup, op8_personal_data,
+        op9_near_dedup, op10_toxicity,
+    )
 }
 
 ORACLES: dict[str, str] = {
