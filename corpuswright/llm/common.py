@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as Parquet in the shared checkpoint folder: what is read again in parts, or is too wide for a checkpoint."""
+    sc = df.sparkSession.sparkContext
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if shared is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        shared = sc.getCheckpointDir()
+    path = f"{shared}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_rows(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id and text (null becomes empty), with the further columns named: extra columns never clash with an operator's own."""
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)

@@ -14,6 +14,7 @@ from .exact_dedup import exact_groups
 from .near_dedup import near_duplicate_classes
 from .packing import pack_documents
 from .secret_scan import find_secrets
+from .substring_dedup import remove_repeats
 from .surrogates import replace_personal_data
 from .token_counts import count_tokens
 from .toxicity import fit, in_training_fold, score
@@ -44,6 +45,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -66,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_chat_format, op2_secrets, op3_token_counts, op4_decontamination, op5_packing, op7_exact_dedup, op8_personal_data,
+        op1_chat_format, op2_secrets, op3_token_counts, op4_decontamination, op5_packing, op6_substring_dedup, op7_exact_dedup, op8_personal_data,
         op9_near_dedup, op10_toxicity,
     )
 }
