@@ -5,8 +5,8 @@ weighted by DECAY to the power of the stretch that it covers, so `idiot` still r
 are the words and word stems of the labelled training texts that speak most for the label. A sentence's kernel row holds the
 best value of any of its words for each landmark; the Nyström map turns rows into features, and a squared-hinge SVM is fitted
 on labelled sentences: for a toxic text its worst sentence (chosen anew in each round), for a clean one its most insult-like
-ones. A text's score is a logistic regression on the margin of its worst sentence, the summed evidence of its words and its
-length, since one chance resemblance weighs less in a long text.
+ones. A text's score is a logistic regression on the margin of its worst sentence, the summed evidence of its words, and
+that sum for a hundred words, since one chance resemblance weighs less in a long text.
 
 Fitting reads a bounded sample (`max_train_rows` labelled rows, by hash of doc_id) and brings to the driver a few numbers a
 row. Scoring is one pass over the documents where they lie: nothing shuffles.
@@ -108,10 +108,10 @@ def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 def _stretches(word: str) -> list[str]:
+    """A word without the marks at its edges, and the same without any but letters; long ones in overlapping stretches."""
     word = word.strip(_EDGES)
-    if len(word) <= MAX_WORD:
-        return [word]
-    return [word[k : k + MAX_WORD] for k in range(0, len(word) - MAX_WORD // 2, MAX_WORD // 2)]
+    forms = [word] if word.isalpha() else [word, "".join(filter(str.isalpha, word))]
+    return [f[k : k + MAX_WORD] for f in forms for k in range(0, max(1, len(f) - MAX_WORD // 2), MAX_WORD // 2)]
 
 
 class WordRows:
@@ -160,7 +160,8 @@ class WordRows:
 
 def _evidence(rows: np.ndarray, total: np.ndarray, n_words: int, weights: np.ndarray) -> tuple[float, float, float]:
     worst = max(0.0, float((rows @ weights).max())) if len(rows) else 0.0
-    return worst, math.log1p(max(0.0, float(total @ weights))), math.log1p(n_words)
+    sum_ = max(0.0, float(total @ weights))
+    return worst, math.log1p(sum_), math.log1p(100 * sum_ / (n_words + 20))
 
 
 @dataclass(frozen=True)
@@ -205,20 +206,26 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3,
     return w[:-1], float(w[-1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic regression by Newton's method, with Platt's smoothed targets; the last weight is the intercept."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Logistic regression by damped Newton steps, with Platt's smoothed targets; the last weight is the intercept."""
     n1, n0 = (y > 0).sum(), (y <= 0).sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    z = np.hstack([x, np.ones((len(x), 1))])
+    mean, std = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    z = np.hstack([(x - mean) / std, np.ones((len(x), 1))])
+    reg = np.r_[np.full(x.shape[1], ridge), 1e-9]
+    loss = lambda w: float((np.logaddexp(0, z @ w) - t * (z @ w)).sum() + 0.5 * (reg * w * w).sum())
     w = np.zeros(z.shape[1])
-    for _ in range(60):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z.T * (p * (1 - p) + 1e-9)) @ z + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, z.T @ (p - t) + ridge * w)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+        g = z.T @ (p - t) + reg * w
+        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(reg + 1e-9), g)
+        size = 1.0
+        while loss(w - size * step) > loss(w) - 1e-4 * size * float(g @ step) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-7:
             break
-    return w
+    return np.r_[w[:-1] / std, w[-1] - float((w[:-1] * mean / std).sum())]
 
 
 def choose_landmarks(candidates: list[tuple[str, int, float]], n: int) -> list[str]:
