@@ -18,6 +18,7 @@ def annotate_lines(lines: DataFrame, lexicons: dict[str, Lexicon], profile: Text
     """doc_id, line_no, kind, pos, canon, surface, negated: a row a hit; kinds have masks of their own."""
     folded = lines.select("doc_id", "line_no", fold(F.col("line"), profile).alias("f"))
     masked = folded.select("*", *(mask(F.col("f"), lex).alias(f"m_{kind}") for kind, lex in lexicons.items()))
+    masked = masked.where(F.greatest(*(F.col(f"m_{kind}") != F.col("f") for kind in lexicons)))  # lines without a hit end here
 
     def of_kind(kind: str) -> Column:
         named = lambda h: F.struct(F.lit(kind).alias("kind"), h["pos"].alias("pos"), h["canon"].alias("canon"), h["surface"].alias("surface"))
