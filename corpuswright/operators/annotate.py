@@ -17,15 +17,13 @@ def lines_of(docs: DataFrame, text: Column, profile: TextProfile) -> DataFrame:
 def annotate_lines(lines: DataFrame, lexicons: dict[str, Lexicon], profile: TextProfile, negation: str) -> DataFrame:
     """doc_id, line_no, kind, pos, canon, surface, negated: a row a hit; kinds have masks of their own."""
     folded = lines.select("doc_id", "line_no", fold(F.col("line"), profile).alias("f"))
-    masked = folded.select("*", *(mask(F.col("f"), lex).alias(f"m_{kind}") for kind, lex in lexicons.items()))
-    masked = masked.where(F.greatest(*(F.col(f"m_{kind}") != F.col("f") for kind in lexicons)))  # lines without a hit end here
 
     def of_kind(kind: str) -> Column:
         named = lambda h: F.struct(F.lit(kind).alias("kind"), h["pos"].alias("pos"), h["canon"].alias("canon"), h["surface"].alias("surface"))
-        return F.transform(hits(F.col(f"m_{kind}"), lexicons[kind]), named)
+        return F.transform(hits(mask(F.col("f"), lexicons[kind]), lexicons[kind]), named)
 
     every = F.concat(*map(of_kind, lexicons))
-    found = masked.select("doc_id", "line_no", "f", F.explode(every).alias("h"))
+    found = folded.select("doc_id", "line_no", "f", F.explode(every).alias("h"))
     return found.select("doc_id", "line_no", "h.kind", F.col("h.pos").cast("long").alias("pos"), "h.canon", "h.surface", negated(F.col("f"), F.col("h.pos"), negation).alias("negated"))
 
 

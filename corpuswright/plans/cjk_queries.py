@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import CJK_PROFILE, Lexicon, TextProfile, char_pattern, content, hits, mask, negated, split_lines, tokens
-from ..operators import metrics, verify
+from ..operators import metrics, prosody, verify
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,65 @@ def cjk_citation_guard(spark, sf_dir):
     answers = spark.createDataFrame(ANSWERS, "answer_id int, answer string")
     sources = _poems(spark).select(F.col("poem_id").alias("source_id"), content(F.col("text"), FOLDED).alias("hay"))
     return verify.check_citations(answers, sources, r"\[P([0-9]+)\]", "「([^」]{4,100})」", FOLDED)
+
+
+#: A few readings for the fixtures; a real table is read as a dimension.
+READINGS = {"平": "依山黄河流穷千层楼床前明光霜头思乡更", "仄": "白日尽入海欲里目上一是地望月更"}
+VERSE = [(1, ["白日依山尽", "黄河入海流", "欲穷千里目", "更上一层楼"], False), (2, ["床前明月光", "疑是地上霜", "举头望明月", "低头思故乡"], True), (3, ["白日"], None)]
+_READINGS = "readings(ch, tone) AS (VALUES " + ", ".join(f"('{c}', '{t}')" for t, cs in READINGS.items() for c in cs) + ")"
+_VERSE = "verse(poem_id, line_no, line, first_rhymes) AS (VALUES " + ", ".join(f"({i}, {k}, '{x}', {'NULL::BOOLEAN' if r is None else str(r).lower()})" for i, ls, r in VERSE for k, x in enumerate(ls)) + ")"
+_TONES = f"""{_READINGS}, {_VERSE}, cls AS (SELECT ch, CASE WHEN bool_or(tone = '平') AND bool_or(tone <> '平') THEN '两' WHEN bool_or(tone = '平') THEN '平' ELSE '仄' END AS tone FROM readings GROUP BY 1),
+    tones AS (SELECT poem_id, line_no, string_agg(coalesce(tone, '无'), '' ORDER BY i) AS tones FROM verse, unnest(generate_series(1, length(line))) AS g(i) LEFT JOIN cls ON ch = substr(line, i, 1) GROUP BY 1, 2)"""
+
+
+def _verse_tones(spark: SparkSession) -> DataFrame:
+    lines = spark.createDataFrame([(i, k, x) for i, ls, _ in VERSE for k, x in enumerate(ls)], "poem_id int, line_no int, line string")
+    readings = spark.createDataFrame([(c, t) for t, cs in READINGS.items() for c in cs], "char string, tone string")
+    return prosody.line_tones(lines, readings)
+
+
+@_register(f"WITH {_TONES} SELECT poem_id, line_no, tones FROM tones")
+def cjk_line_tones(spark, sf_dir):
+    return _verse_tones(spark)
+
+
+_TEMPLATES = "template(n_chars, n_lines, k, name, line_no, want) AS (VALUES " + ", ".join(
+    f"({c}, {n}, {k}, '{name}', {i}, '{line}')" for c in (5, 7) for n in (4, 8) for k, name in enumerate(prosody.OPENINGS) for i, line in enumerate(prosody.template(name, c, n))
+) + ")"
+
+
+@_register(f"""WITH {_TONES}, {_TEMPLATES}, shape AS (SELECT poem_id, count(*) AS n_lines, min(length(tones)) AS n_chars, max(length(tones)) AS top FROM tones GROUP BY 1),
+    rhymes AS (SELECT poem_id, bool_or(first_rhymes) AS r FROM verse GROUP BY 1),
+    off AS (SELECT s.poem_id, t.k, t.name, count(*) FILTER (WHERE substr(tones, j, 1) IN ('平', '仄') AND substr(tones, j, 1) <> substr(want, j, 1)) AS off
+      FROM shape s JOIN template t ON t.n_lines = s.n_lines AND t.n_chars = s.n_chars AND s.top = s.n_chars JOIN tones o ON o.poem_id = s.poem_id AND o.line_no = t.line_no,
+           unnest(CASE WHEN s.n_chars = 7 THEN [2, 4, 6, 7] ELSE [2, 4, 5] END) AS g(j) GROUP BY 1, 2, 3),
+    ranked AS (SELECT poem_id, name, off, row_number() OVER (PARTITION BY poem_id ORDER BY off + CASE WHEN coalesce(r, false) AND contains(name, '不入韵') THEN 2 ELSE 0 END, k) AS place FROM off JOIN rhymes USING (poem_id))
+    SELECT poem_id, name AS best_fit, off AS deviations FROM shape LEFT JOIN (SELECT * FROM ranked WHERE place = 1) USING (poem_id)""")
+def cjk_template_match(spark, sf_dir):
+    tones = _verse_tones(spark).groupBy("poem_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "tones"))).alias("t"))
+    rhymes = spark.createDataFrame([(i, r) for i, _, r in VERSE], "poem_id int, first_rhymes boolean")
+    poems = tones.select("poem_id", F.transform("t", lambda x: x["tones"]).alias("tones")).join(rhymes, "poem_id")
+    return prosody.match_template(poems).select("poem_id", "best_fit", "deviations")
+
+
+PAIRS = [(1, "白日依山尽", "黄河入海流"), (2, "欲穷千里目", "更上一层楼"), (3, "白日", "一"), (4, "山月", "海日")]
+CATEGORIES = {"颜色": "白黄", "天文": "日月", "地理": "山河海", "数字": "千一"}
+_PAIRS = "pairs(pair_id, a, b) AS (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, a, b in PAIRS) + ")"
+_CATEGORIES = "cat(ch, kind) AS (VALUES " + ", ".join(f"('{c}', '{k}')" for k, cs in CATEGORIES.items() for c in cs) + ")"
+
+
+@_register(f"""WITH {_TONES}, {_PAIRS}, {_CATEGORIES},
+    cells AS (SELECT pair_id, substr(a, i, 1) AS x, substr(b, i, 1) AS y FROM pairs, unnest(generate_series(1, length(a))) AS g(i)),
+    j AS (SELECT c.*, coalesce(p.tone, '无') AS tx, coalesce(q.tone, '无') AS ty, k.kind AS kx, l.kind AS ky FROM cells c LEFT JOIN cls p ON p.ch = x LEFT JOIN cls q ON q.ch = y LEFT JOIN cat k ON k.ch = x LEFT JOIN cat l ON l.ch = y),
+    n AS (SELECT pair_id, count(*) FILTER (WHERE tx IN ('平', '仄') AND ty IN ('平', '仄')) AS tp, count(*) FILTER (WHERE tx IN ('平', '仄') AND ty IN ('平', '仄') AND tx <> ty AND y <> '') AS t_off,
+          count(*) FILTER (WHERE kx IS NOT NULL AND ky IS NOT NULL) AS cp, count(*) FILTER (WHERE kx = ky AND x <> y) AS cm FROM j GROUP BY 1),
+    r AS (SELECT *, CASE WHEN tp > 0 THEN round(t_off / tp, 3) END AS tone_rate, CASE WHEN cp > 0 THEN round(cm / cp, 3) END AS category_rate FROM n JOIN pairs USING (pair_id))
+    SELECT pair_id, tone_rate, category_rate, CASE WHEN length(a) <> length(b) THEN '字数不等' WHEN coalesce(tone_rate, 0) < 0.7 THEN '对仗弱'
+           WHEN coalesce(category_rate, 0) >= 0.5 AND cp >= 2 THEN '工对倾向' ELSE '宽对倾向' END AS verdict FROM r""")
+def cjk_couplet(spark, sf_dir):
+    pairs = spark.createDataFrame(PAIRS, "pair_id int, a string, b string")
+    readings = spark.createDataFrame([(c, t) for t, cs in READINGS.items() for c in cs], "char string, tone string")
+    sides = pairs.select("pair_id", F.posexplode(F.array("a", "b")).alias("line_no", "line")).withColumnRenamed("pair_id", "poem_id")
+    tones = prosody.line_tones(sides, readings)
+    side = lambda k, name: tones.where(F.col("line_no") == k).select(F.col("poem_id").alias("pair_id"), F.col("tones").alias(name))
+    return prosody.couplets(pairs.join(side(0, "ta"), "pair_id").join(side(1, "tb"), "pair_id"), CATEGORIES)

@@ -507,3 +507,62 @@ def intent_guard(spark, sf_dir):
         "conv_id", "turn", F.when(text.rlike("system|admin"), "maintainer").when(F.col("role") == "assistant", "scholar").otherwise("reader").alias("infers"),
         F.when(text.rlike("forge|fabricat"), "block").when(text.rlike("compose|write me"), "notice").otherwise("allow").alias("guard"),
     )
+
+
+# --- resolution, comparison, glosses ---------------------------------------------------------------------------------------
+_TITLE = "array_to_string(regexp_extract_all(lower(text), '[a-zß-ÿ]+')[1:3], ' ')"
+
+
+@_register(f"""WITH t AS (SELECT doc_id, {_TITLE} AS title, lower(text) AS body FROM documents)
+    SELECT title, count(*) AS n_works, count(DISTINCT body) AS n_texts, min(doc_id) AS first_id, CASE WHEN count(DISTINCT body) = 1 THEN 'unique' ELSE 'ambiguous' END AS status
+    FROM t WHERE title <> '' GROUP BY 1""")
+def resolve_refs(spark, sf_dir):
+    """What each title (a document's first three words) resolves to; equal texts of one title are pre-aggregated."""
+    title = F.array_join(F.slice(tokens(F.col("text"), LATIN), 1, 3), " ")
+    named = _docs(spark, sf_dir).select("doc_id", title.alias("title"), F.sha2(F.lower("text"), 256).alias("body")).where("title <> ''")
+    texts = named.groupBy("title", "body").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+    per = texts.groupBy("title").agg(F.sum("n").alias("n_works"), F.count(F.lit(1)).alias("n_texts"), F.min("first_id").alias("first_id"))
+    return per.withColumn("status", F.when(F.col("n_texts") == 1, "unique").otherwise("ambiguous"))
+
+
+@_register(f"""{_ROLLED}, s AS (SELECT lang, list_sort(list(DISTINCT canon)) AS s FROM rolled JOIN documents USING (doc_id) WHERE kind = 'image' GROUP BY 1)
+    SELECT a.lang AS a, b.lang AS b, array_to_string(list_filter(a.s, lambda x: list_contains(b.s, x)), ' ') AS shared,
+           array_to_string(list_filter(a.s, lambda x: NOT list_contains(b.s, x)), ' ') AS only_a, array_to_string(list_filter(b.s, lambda x: NOT list_contains(a.s, x)), ' ') AS only_b
+    FROM s a JOIN s b ON a.lang < b.lang""")
+def differential(spark, sf_dir):
+    """Shared and own images of each two languages, by set algebra over one row a language."""
+    rolled = annotate.roll_up(_annotated(spark, sf_dir)).where("kind = 'image'").join(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    sets = rolled.groupBy("lang").agg(F.array_sort(F.collect_set("canon")).alias("s"))
+    other = sets.select(F.col("lang").alias("b"), F.col("s").alias("t"))
+    both = sets.select(F.col("lang").alias("a"), "s").join(other, F.col("a") < F.col("b"))
+    text = lambda c: F.array_join(F.array_sort(c), " ")
+    return both.select("a", "b", text(F.array_intersect("s", "t")).alias("shared"), text(F.array_except("s", "t")).alias("only_a"), text(F.array_except("t", "s")).alias("only_b"))
+
+
+@_register(f"""WITH w AS (SELECT doc_id, unnest({_TOKENS}) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM c) SELECT doc_id, word, n, rank FROM r WHERE rank <= 8""")
+def gloss_top_words(spark, sf_dir):
+    """The eight most frequent words of each document (a top-k report)."""
+    words = _docs(spark, sf_dir).select("doc_id", F.explode(tokens(F.col("text"), LATIN)).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    return words.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "word")).cast("long")).where("rank <= 8")
+
+
+@_register("""WITH p AS (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+    SELECT event_type, k, count(*) AS n FROM p GROUP BY 1, 2""")
+def json_props(spark, sf_dir):
+    parsed = _table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k long")["k"].alias("k"))
+    return parsed.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LINE_HITS = f"{_HITS}, used AS (SELECT DISTINCT doc_id, line_no FROM hits WHERE kind = 'feeling')"
+
+
+@_register(f"""{_LINE_HITS}, i AS (SELECT DISTINCT h.doc_id, h.line_no, canon FROM hits h WHERE kind = 'image' AND NOT EXISTS (SELECT 1 FROM used u WHERE u.doc_id = h.doc_id AND u.line_no = h.line_no)),
+    f AS (SELECT canon, min((doc_id, line_no)) AS spot, count(*) AS n FROM i GROUP BY 1) SELECT canon, spot[1] AS doc_id, CAST(spot[2] AS INT) AS line_no, n FROM f""")
+def unused_line_reply(spark, sf_dir):
+    """For each image the first line that has it and no feeling: an anti-join on lines already used."""
+    found = _annotated(spark, sf_dir)
+    used = found.where("kind = 'feeling'").select("doc_id", "line_no").distinct()
+    free = found.where("kind = 'image'").select("doc_id", "line_no", "canon").distinct().join(used, ["doc_id", "line_no"], "left_anti")
+    first = free.groupBy("canon").agg(F.min(F.struct("doc_id", "line_no")).alias("spot"), F.count(F.lit(1)).alias("n"))
+    return first.select("canon", "spot.doc_id", "spot.line_no", "n")
