@@ -7,9 +7,10 @@ agree in a register with probability equal to their weighted Jaccard similarity.
 registers stops almost every shingle of a long text at its first point; a text with a register left open gets twice the time.
 
 Candidates are texts that share a band. Equal multisets are one node beforehand. In each bucket all nodes are compared with
-the least one; as 1 - J is a metric, a remaining pair can only be similar if its distances to that leader differ by at most
-1 - threshold, and only pairs from different components matter for the classes; those few are compared as well. So a bucket
-with a third of all rows costs its rows, not their pairs. Every comparison is exact, on whole texts.
+the least one, its leader. Only pairs from different components still matter for the classes, and as 1 - J is a metric, only
+those whose distances to their leader differ by at most 1 - threshold. They are compared among the nodes of one leader: as
+rows where it has at most SMALL nodes, else in blocks, a matrix product a pair of blocks, of which only links that join two
+components come out. So no step emits the pairs of a large group. Every comparison is exact, on whole texts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import GOLDEN, SHINGLE_WORDS, cut, lowered, mix64, shingle_hashes,
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
+SMALL = 64
+BLOCK_WORDS = 200_000
 
 
 def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -111,8 +114,9 @@ def _sign(batches):
         for lo, hi in sub_batches(sizes):
             mine = bags(texts[lo:hi])
             keys = band_keys(signatures(mine)).view(np.int64)
+            n_words = [int(c.sum()) for _, c in mine]
             bag = [hashlib.blake2b(e.tobytes() + c.astype(np.int64).tobytes(), digest_size=16).digest() if len(e) else b"" for e, c in mine]
-            yield pd.DataFrame({"doc_id": ids[lo:hi], "bag": bag, "bands": list(keys)})
+            yield pd.DataFrame({"doc_id": ids[lo:hi], "bag": bag, "n_words": n_words, "bands": list(keys)})
 
 
 def weighted_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -140,6 +144,60 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", F.pandas_udf(weighted_jaccard, "double")("text_a", "text_b").alias("similarity"))
 
 
+def _block_links(threshold: float):
+    """Links of at least `threshold` between components, of a pair of blocks; as many as it takes to join what they join."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        copies = []  # a shingle with multiplicity n becomes n elements, so that multisets are sets
+        for e, c in bags(pa.array(pdf["text"], type=pa.large_string())):
+            nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            copies.append(mix64(np.repeat(e, c) + nth.astype(np.uint64) * GOLDEN))
+        sizes = np.array([len(x) for x in copies])
+        elements, where, seen = np.unique(np.concatenate(copies), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(pdf)), sizes)
+        shared = seen[where] > 1
+        column = (np.cumsum(seen > 1) - 1)[where[shared]]
+        of, n = of[shared], int((seen > 1).sum())
+        common = np.zeros((len(pdf), len(pdf)), dtype=np.float32)
+        order = np.argsort(column, kind="stable")
+        column, of = column[order], of[order]
+        for lo in range(0, n, 4096):
+            part = slice(np.searchsorted(column, lo), np.searchsorted(column, lo + 4096))
+            has = np.zeros((len(pdf), min(4096, n - lo)), dtype=np.float32)
+            has[of[part], column[part] - lo] = 1
+            common += has @ has.T
+        near = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-3
+        component = pdf["component"].tolist()
+        root = {c: c for c in component}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        node, out = pdf["node"].tolist(), []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))):
+            a, b = find(component[i]), find(component[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((node[i], node[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def _links_in_blocks(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links that join the components of each leader's nodes; its nodes are dealt into blocks of about BLOCK_WORDS."""
+    blocks = F.ceil(F.col("words") / F.lit(BLOCK_WORDS)).cast("int")
+    mine = rows.select("leader", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("mine"))
+    dealt = mine.select("leader", "node", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = dealt.select("leader", "node", "component", F.least("mine", F.col("other")).alias("lo"), F.greatest("mine", F.col("other")).alias("hi"))
+    told = keyed.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    return told.groupBy("leader", "lo", "hi").applyInPandas(_block_links(threshold), "a long, b long")
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) for every row; classes are linked by similarity >= threshold.
 
@@ -148,31 +206,36 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     identify a row (repeated ones share their class); an empty table gives an empty result; other columns are ignored.
     """
     rows = text_rows(docs)
-    signed = cut(rows.mapInPandas(_sign, "doc_id long, bag binary, bands array<long>"))
-    nodes = signed.where(F.length("bag") > 0).groupBy("bag").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    signed = cut(rows.mapInPandas(_sign, "doc_id long, bag binary, n_words long, bands array<long>"))
+    nodes = signed.where(F.length("bag") > 0).groupBy("bag").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words"))
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other")
-    members = cut(banded.join(shared.select("bucket", "leader"), "bucket"))
-
-    touched = members.select(F.col("node").alias("doc_id")).distinct()
+    stars = banded.join(shared.select("bucket", "leader"), "bucket").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    stars = cut(stars.distinct())
+    touched = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = cut(rows.join(touched, "doc_id", "left_semi"))
-    star = cut(_verified(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts))
+    star = cut(_verified(stars, texts))
     near = star.where(F.col("similarity") >= threshold).select("a", "b")
     labels = connected_components(near)
 
     placed = (
-        members.join(star.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity"), ["leader", "node"], "left")
-        .join(labels, "node", "left")
-        .select("bucket", "node", "leader", F.coalesce("component", "node").alias("component"), "similarity")
-    )
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
-    open_rows = placed.where("node <> leader").join(mixed, "bucket", "left_semi")
-    x = open_rows.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("similarity").alias("sa"))
-    y = open_rows.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("similarity").alias("sb"))
+        star.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity").join(labels, "node", "left")
+        .select("leader", "node", F.coalesce("component", "node").alias("component"), "similarity")
+        .join(nodes.select("node", "n_words"), "node")
+    )
+    placed = cut(placed)
+    groups = placed.groupBy("leader").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.min("component").alias("c0"), F.max("component").alias("c1")
+    ).where("c0 <> c1").select("leader", "n", "words")
+    open_rows = placed.join(groups, "leader")
+    few = open_rows.where(F.col("n") <= SMALL)
+    x = few.select("leader", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("similarity").alias("sa"))
+    y = few.select("leader", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("similarity").alias("sb"))
     apart = F.abs(F.col("sa") - F.col("sb")) <= 1 - threshold + 1e-9
-    more = cut(_verified(x.join(y, "bucket").where((F.col("ca") < F.col("cb")) & apart).select("a", "b").distinct(), texts))
-    links = near.unionByName(more.where(F.col("similarity") >= threshold).select("a", "b"))
-    classes = connected_components(links)
+    pairs = x.join(y, "leader").where((F.col("ca") < F.col("cb")) & apart).select("a", "b").distinct()
+    more = _verified(pairs, texts).where(F.col("similarity") >= threshold).select("a", "b")
+    more = cut(more.unionByName(_links_in_blocks(open_rows.where(F.col("n") > SMALL), texts, threshold)))
+    classes = connected_components(near.unionByName(more))
 
     known = nodes.select("bag", "node").join(classes, "node", "left").select("bag", F.coalesce("component", "node").alias("class_id"))
     found = signed.where(F.length("bag") > 0).select("doc_id", "bag").join(known, "bag").select("doc_id", "class_id")
