@@ -50,48 +50,55 @@ def _canonical(kind: Column, value: Column) -> Column:
     return F.when(kind.isin("phone", "ssn", "card"), digits).otherwise(F.lower(value))
 
 
-def _nibbles(seed: Column) -> Column:
-    """128 numbers from 0 to 255 that a seed gives."""
-    digest = F.concat(*(F.sha2(F.concat(seed, F.lit(f"/{k}")), 256) for k in range(4)))
-    return F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+def digest_of(kind: Column, canonical: Column, key: str, attempt: Column) -> Column:
+    """256 hexadecimal digits that the key, the entity and the attempt give. To be stored as a column before it is used: each
+    letter of a surrogate reads it again."""
+    seed = F.concat_ws("|", F.lit(key), kind, canonical, attempt.cast("string"))
+    return F.concat(*(F.sha2(F.concat(seed, F.lit(f"/{k}")), 256) for k in range(4)))
+
+
+def _byte(digest: Column, i: Column | int) -> Column:
+    """The i-th number from 0 to 255 of a digest, around its end if need be."""
+    at = (i if isinstance(i, Column) else F.lit(i)) % 128
+    return F.conv(F.substring(digest, at * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
 def _pick(options: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), n % len(options) + 1)
 
 
-def _scramble(value: Column, r: Column, shift: int = 0) -> Column:
+def _scramble(value: Column, digest: Column, shift: int = 0) -> Column:
     """Each letter becomes a letter and each digit a digit; other characters stay."""
     letters, digits = F.lit("abcdefghijklmnopqrstuvwxyz"), F.lit("0123456789")
 
     def one(ch: Column, i: Column) -> Column:
-        n = F.element_at(r, (i + shift) % 128 + 1)
-        return F.when(ch.rlike("^[0-9]$"), F.substring(digits, n % 10 + 1, F.lit(1))).when(ch.rlike("^[a-z]$"), F.substring(letters, n % 26 + 1, F.lit(1))).otherwise(ch)
+        n = _byte(digest, i + shift)
+        return F.when(ch.between("0", "9"), F.substring(digits, n % 10 + 1, F.lit(1))).when(ch.between("a", "z"), F.substring(letters, n % 26 + 1, F.lit(1))).otherwise(ch)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
-def surrogate_of(kind: Column, canonical: Column, key: str, attempt: Column) -> Column:
+def surrogate_of(kind: Column, canonical: Column, digest: Column) -> Column:
     """The canonical form of the replacement. Telephone numbers keep what stands before their last ten digits."""
-    r = _nibbles(F.concat_ws("|", F.lit(key), kind, canonical, attempt.cast("string")))
     local, domain = F.substring_index(canonical, "@", 1), F.substring_index(canonical, "@", -1)
-    email = F.concat(_scramble(local, r), F.lit("@"), _scramble(F.substring_index(domain, ".", 1), r, 64), F.lit(".example."), F.substring_index(domain, ".", -1))
+    host, top = F.substring_index(domain, ".", 1), F.substring_index(domain, ".", -1)
+    email = F.concat(_scramble(local, digest), F.lit("@"), _scramble(host, digest, 64), F.lit(".example."), top)
     ten = F.right(canonical, F.lit(10))
     country = F.substring(canonical, F.lit(1), F.length(canonical) - F.length(ten))
-    octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (F.element_at(r, i) % 254 + 1).cast("string")), ".")
+    octets = F.concat_ws(".", *((_byte(digest, k) % 254 + 1).cast("string") for k in range(4)))
     title = F.substring_index(canonical, " ", 1)
     script = F.when(canonical.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     gender = F.when(F.rtrim(title, F.lit(".")).rlike(f"^(?:{_WOMEN})$"), "f").otherwise("m")
     name = F.lit(None).cast("string")
     for (s, g), names in _FIRST.items():
         syllables = _SYLLABLES[s].split()
-        last = F.concat(*(_pick(syllables, F.element_at(r, k)) for k in range(2, 6)))
-        full = F.when(F.size(F.split(canonical, " ")) > 2, F.concat_ws(" ", _pick(names.lower().split(), F.element_at(r, 1)), last)).otherwise(last)
+        last = F.concat(*(_pick(syllables, _byte(digest, k)) for k in range(2, 6)))
+        full = F.when(F.size(F.split(canonical, " ")) > 2, F.concat_ws(" ", _pick(names.lower().split(), _byte(digest, 1)), last)).otherwise(last)
         name = F.when((script == s) & (gender == g), F.concat_ws(" ", title, full)).otherwise(name)
     return (
         F.when(kind == "email", email)
-        .when(kind == "phone", F.concat(country, _scramble(ten, r)))
-        .when(kind.isin("ssn", "card"), _scramble(canonical, r))
+        .when(kind == "phone", F.concat(country, _scramble(ten, digest)))
+        .when(kind.isin("ssn", "card"), _scramble(canonical, digest))
         .when(kind == "ip", octets)
         .otherwise(name)
     )
@@ -101,7 +108,7 @@ def spell_like(kind: Column, value: Column, surrogate: Column) -> Column:
     """A surrogate in the format and case of the spelling that it stands in for."""
 
     def pour(acc: Column, ch: Column) -> Column:
-        digit = ch.rlike("^[0-9]$")
+        digit = ch.between("0", "9")
         return F.struct(
             F.concat(acc["out"], F.when(digit, F.substring(surrogate, acc["k"], F.lit(1))).otherwise(ch)).alias("out"),
             (acc["k"] + digit.cast("int")).alias("k"),
@@ -117,19 +124,21 @@ def assign_surrogates(entities: DataFrame, key: str, rounds: int = 64) -> DataFr
 
     Each round's losers (all but the earliest attempt, then the least form, of those who share a surrogate) try the next hash.
     """
-    state = cut(entities.select("kind", "canonical").withColumn("attempt", F.lit(0)))
+    key_columns = (F.col("kind"), F.col("canonical"))
+    state = entities.select("kind", "canonical").withColumn("attempt", F.lit(0))
     taken = entities.select("kind", F.col("canonical").alias("surrogate"), F.lit(-1).alias("attempt"), F.lit("").alias("canonical"))
     for _ in range(rounds):
-        tried = state.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("canonical"), key, F.col("attempt")))
+        state = cut(state.withColumn("digest", digest_of(*key_columns, key, F.col("attempt"))))
+        tried = cut(state.select("kind", "canonical", "attempt", surrogate_of(*key_columns, F.col("digest")).alias("surrogate")))
         mine = tried.select("kind", "surrogate", "attempt", "canonical")
         winners = mine.unionByName(taken).groupBy("kind", "surrogate").agg(
             F.min(F.struct("attempt", "canonical")).alias("first"), F.count(F.lit(1)).alias("n")
         )
         losers = mine.join(winners.where("n > 1"), ["kind", "surrogate"]).where(F.struct("attempt", "canonical") != F.col("first"))
-        losers = cut(losers.select("kind", "canonical", F.lit(True).alias("lost")))
+        losers = cut(losers.select("kind", "canonical", F.lit(1).alias("lost")))
         if losers.isEmpty():
             return tried.select("kind", "canonical", "surrogate")
-        state = cut(state.join(losers, ["kind", "canonical"], "left").select("kind", "canonical", (F.col("attempt") + F.coalesce(F.col("lost").cast("int"), F.lit(0))).alias("attempt")))
+        state = tried.join(losers, ["kind", "canonical"], "left").select("kind", "canonical", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt"))
     raise ValueError(f"entities still share surrogates after {rounds} rounds: the kind has too few values for them")
 
 
