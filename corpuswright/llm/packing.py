@@ -22,7 +22,8 @@ from .common import cut, text_rows
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 700_000
+_MARKS = ".,;:!?%&$#*|"
 _state: dict = {}
 
 
@@ -38,25 +39,59 @@ def _encoder(path: str):
     return _state["tokenizer"], _state["cache"]
 
 
+def _parts(word: str) -> tuple[str, str]:
+    """The letters of a word and the marks after them, if that is all it has and the tokenizer can be given them apart.
+
+    Its pattern never joins letters with marks, and it lowers case letter by letter, so the parts' ids are the word's. Letters
+    beyond Latin Extended-A are left to the tokenizer, as part of the whole word.
+    """
+    core = word.rstrip(_MARKS)
+    if core.isalpha() and (core.isascii() or (max(core) <= "\u017f" and "\u0130" not in core)):
+        return core.lower(), word[len(core) :]
+    return "", word
+
+
+def _encode_letters(tokenizer, words: list[str]) -> Iterator[bytes]:
+    """The ids of words of letters only, which the tokenizer sees as one pre-token each, many in one call."""
+    for lo in range(0, len(words), 4096):
+        part = words[lo : lo + 4096]
+        found = tokenizer.encode(" ".join(part), add_special_tokens=False)
+        number = np.array(found.word_ids, dtype=np.int64)
+        begin = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        if len(begin) != len(part):
+            raise ValueError("the tokenizer splits letters otherwise than its pattern says")
+        blob = np.array(found.ids, dtype="<u4").tobytes()
+        edges = [4 * k for k in begin.tolist()] + [len(blob)]
+        for i, j in zip(edges, edges[1:]):
+            yield blob[i:j]
+
+
 def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
     """Little-endian unsigned 32-bit ids of each text, as the tokenizer gives them with add_special_tokens=False.
 
     The tokenizer splits at white space and drops it, so a text's ids are its words' ids in a row; each distinct word is
-    encoded once and kept. Only space and line feed are cut at here; other white space is left to the tokenizer itself.
+    encoded once and kept. Only space and line feed are cut at here; other white space is left to the tokenizer itself. A text
+    is lowered as a whole unless it has a sigma (the one letter whose lower case depends on its place) or may spell a special
+    token, which only counts in lower case.
     """
     tokenizer, cache = _encoder(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
+    low = [t if "\u03a3" in t or "<|" in t or "\u0130" in t else t.lower() for t in texts]
+    split = [t.replace("\n", " ").split(" ") for t in low]
     new = set().union(*split) - cache.keys()
     if new:
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
             cache[""] = b""
             new = set().union(*split) - cache.keys()
-        words = list(new)
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
-            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+        parts = [(w, *_parts(w)) for w in new]
+        letters = list({core for _, core, _ in parts} - cache.keys())
+        cache.update(zip(letters, _encode_letters(tokenizer, letters)))
+        rest = list({tail for _, _, tail in parts} - cache.keys())
+        for w, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, core, tail in parts:
+            if core and w not in cache:
+                cache[w] = cache[core] + cache[tail]
     get = cache.__getitem__
     for words in split:
         yield b"".join(map(get, words))
