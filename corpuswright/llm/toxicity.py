@@ -29,7 +29,7 @@ from .common import text_rows
 ORDER = 3
 DECAY = 0.7
 MAX_WORD = 32  # longer words are compared in overlapping stretches of this length
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 SENTENCES_A_ROW = 3
 LEAST_KERNEL = 0.35  # lower similarities count as none
 SHARED_LETTERS = 0.75  # of a landmark's distinct letters, so many at least must be in the word
@@ -95,14 +95,19 @@ def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
     r, c = np.concatenate(rows), np.concatenate(columns)
     if not len(r):
         return out
-    used, where = np.unique(r, return_inverse=True)
-    mine, _ = _codes([words[i] for i in used])
-    self_kernel = np.concatenate([kernel_pairs(mine[lo : lo + 8192], mine[lo : lo + 8192]) for lo in range(0, len(mine), 8192)])
-    for lo in range(0, len(r), 8192):
-        part = slice(lo, lo + 8192)
-        value = kernel_pairs(mine[where[part]], codes[c[part]][:, : sizes[c[part]].max()])
-        norm = np.sqrt(np.maximum(self_kernel[where[part]] * own[c[part]], 1e-30))
-        out[r[part], c[part]] = value / norm
+    used = np.unique(r)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    mine, own_sizes = _codes([words[i] for i in used])
+    place = np.empty(len(words), dtype=np.int64)
+    place[used] = np.arange(len(used))
+    slices = lambda n: (slice(lo, lo + 4096) for lo in range(0, n, 4096))
+    self_kernel = np.concatenate([kernel_pairs(m, m) for m in (mine[s, : own_sizes[s].max()] for s in slices(len(mine)))])
+    order = np.lexsort((sizes[c], lengths[r]))  # pairs of like lengths together: little padding
+    r, c = r[order], c[order]
+    for part in slices(len(r)):
+        p = place[r[part]]
+        value = kernel_pairs(mine[p][:, : lengths[r[part]].max()], codes[c[part]][:, : sizes[c[part]].max()])
+        out[r[part], c[part]] = value / np.sqrt(np.maximum(self_kernel[p] * own[c[part]], 1e-30))
     out[out < LEAST_KERNEL] = 0
     return out
 
@@ -158,6 +163,18 @@ class WordRows:
         return out
 
 
+_words: dict[tuple[str, ...], WordRows] = {}
+
+
+def words_of(landmarks: list[str]) -> WordRows:
+    """The cache of this Python worker for the landmarks that it was last asked for."""
+    key = tuple(landmarks)
+    if key not in _words:
+        _words.clear()
+        _words[key] = WordRows(landmarks)
+    return _words[key]
+
+
 def _evidence(rows: np.ndarray, total: np.ndarray, n_words: int, weights: np.ndarray) -> tuple[float, float, float]:
     worst = max(0.0, float((rows @ weights).max())) if len(rows) else 0.0
     sum_ = max(0.0, float(total @ weights))
@@ -307,7 +324,7 @@ def score_column(model: ToxicityModel) -> Callable:
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = WordRows(model.landmarks)
+        known = words_of(model.landmarks)
         for texts in batches:
             texts = texts.tolist()
             yield pd.Series([model.score(*m) for lo in range(0, len(texts), 400) for m in known.read(texts[lo : lo + 400])], dtype="float64")
