@@ -34,7 +34,7 @@ from .exact_dedup import possibly_repeated
 
 WIDTH = 50
 GRAM = 24
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 HOT_PIECES = 20_000
 _POSITION_BITS = np.uint64(24)
 _LOW_BITS = np.uint64(48)
@@ -345,8 +345,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     pieces = written(
         texts.join(wanted, "doc_id").select("doc_id", "text", "at")
         .mapInPandas(_cut_pieces(width, gram), "doc_id long, start long, piece binary, lead_at int")
-        .select("doc_id", "start", "piece", lead.alias("lead"), F.unhex(F.md5("piece")).alias("key"))
-    )
+    ).withColumns({"lead": lead, "key": F.unhex(F.md5("piece"))})
 
     hot = pieces.groupBy(F.xxhash64("lead").alias("lead_hash")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PIECES)
     hot = cut(hot.select("lead_hash"))  # at most a HOT_PIECES-th of the pieces
