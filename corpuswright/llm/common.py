@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-SUB_BATCH_BYTES = 4 << 20
+SUB_BATCH_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
 

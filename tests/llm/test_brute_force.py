@@ -172,7 +172,9 @@ def _jaccard(a, b):
     return least / max(1, sum(a.values()) + sum(b.values()) - least)
 
 
-def test_near_classes(spark, documents):
+@pytest.mark.parametrize("small", [64, 1])
+def test_near_classes(spark, documents, monkeypatch, small):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     rnd = random.Random(1)
     rows = list(documents)
     for k, (i, text) in enumerate(documents[:40]):
