@@ -89,6 +89,21 @@ def parroting_pairs(turns: DataFrame) -> DataFrame:
     return told.select("conv_id", chosen.alias("chosen"), F.concat(F.slice("turns", F.lit(1), F.col("last") - 1), F.array(parrot)).alias("rejected"))
 
 
+def whole_pairs(turns: DataFrame) -> DataFrame:
+    """A pair from every conversation, with all its turns on both sides: in rejected one answer has the text of the
+    conversation's first turn instead, or nothing if it is the first turn. The answer is drawn by conv_id, so pairs part
+    anywhere; a conversation without an answer is on both sides as it is.
+    """
+    is_answer = F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1))
+    told = conversations(turns).withColumn("answers", F.filter(is_answer, lambda i: i.isNotNull()))
+    drawn = F.pmod(F.crc32(F.col("conv_id").cast("string")), F.size("answers")).cast("int") + 1
+    told = told.withColumn("at", F.when(F.size("answers") > 0, F.element_at("answers", drawn)))
+    text = F.when(F.col("at") > 1, F.element_at("turns", 1)["text"]).otherwise("")
+    parrot = F.struct(F.lit("assistant").alias("role"), text.alias("text"))
+    swapped = F.transform("turns", lambda t, i: F.when(F.col("at") == i + 1, parrot).otherwise(t))
+    return told.select("conv_id", F.col("turns").alias("chosen"), swapped.alias("rejected"))
+
+
 ORACLE = r"""
     WITH t AS (
       SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,

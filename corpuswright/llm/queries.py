@@ -28,6 +28,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_pairs(chat_format.parroting_pairs(read_table(spark, sf_dir, "conversations")), "conv_id")
 
 
+def op1_chat_format_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_pairs(chat_format.whole_pairs(read_table(spark, sf_dir, "conversations")), "conv_id")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_literal")
@@ -71,8 +75,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_chat_format, op2_secrets, op3_token_counts, op4_decontamination, op5_packing, op6_substring_dedup, op7_exact_dedup, op8_personal_data,
-        op9_near_dedup, op10_toxicity,
+        op1_chat_format, op1_chat_format_whole, op2_secrets, op3_token_counts, op4_decontamination, op5_packing, op6_substring_dedup, op7_exact_dedup,
+        op8_personal_data, op9_near_dedup, op10_toxicity,
     )
 }
 
