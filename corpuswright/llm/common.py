@@ -44,6 +44,27 @@ def text_rows(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
+def with_ids(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """`docs` with an id of its own in place of each null doc_id, and the largest doc_id; None for it where none is null.
+
+    New ids are above all others. Rows that get one are written, so that they have the same id however often they are read.
+    """
+    unknown = F.col("doc_id").isNull()
+    seen = docs.agg(F.max("doc_id").cast("long").alias("top"), F.count(F.when(unknown, 1)).alias("n")).first()
+    if not seen["n"]:
+        return docs, None
+    top = -1 if seen["top"] is None else seen["top"]
+    given = written(docs.where(unknown).withColumn("doc_id", F.monotonically_increasing_id() + F.lit(top + 1).cast("long")))
+    return docs.where(~unknown).unionByName(given), top
+
+
+def without_ids(rows: DataFrame, top: int | None, *names: str) -> DataFrame:
+    """`rows` with the ids of with_ids in the columns named (doc_id if none is) null again."""
+    if top is None:
+        return rows
+    return rows.withColumns({name: F.when(F.col(name) <= top, F.col(name)) for name in names or ("doc_id",)})
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

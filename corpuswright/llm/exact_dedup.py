@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, cut, mix64, text_rows
+from .common import GOLDEN, cut, mix64, text_rows, with_ids, without_ids
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 PROBES = 4
@@ -87,18 +87,29 @@ def possibly_repeated(rows: DataFrame, h: str, n_rows: int, cells_per_row: int =
     return probe
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(F.translate(text, WHITE_SPACE, ""), 256)
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of `docs` (doc_id, text; other columns are ignored).
 
     Texts are equal when identical after all characters of [\\x20\\x09-\\x0D] are deleted; a null text is an empty one and
     empty texts equal each other. Of equal texts the row with most code points, then smallest doc_id, stays. A repeated
-    doc_id gives a row each time, all pointing to the same keep_id. An empty table gives an empty result.
+    doc_id gives a row each time, all pointing to the same keep_id. A row without doc_id stays only where no row of its group
+    has one, and then one of them does; their keep_id is null. An empty table gives an empty result.
     """
+    known, top = with_ids(docs)
+    return without_ids(_groups(known, top), top, "doc_id", "keep_id")
+
+
+def _groups(docs: DataFrame, top: int | None) -> DataFrame:
+    """exact_groups of rows which all have a doc_id; those up to `top` come before those above it."""
     digests = cut(
         text_rows(docs).select(
             "doc_id",
             F.length("text").cast("long").alias("n_chars"),
-            F.sha2(F.translate("text", WHITE_SPACE, ""), 256).alias("text_sha256"),
+            _digest(F.col("text")).alias("text_sha256"),
         ).withColumn("h", F.xxhash64("text_sha256"))
     )
     probe = possibly_repeated(digests, "h", digests.count())
@@ -107,8 +118,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     some = flagged.where("maybe")
+    own = F.lit(True) if top is None else F.col("doc_id") <= top
     groups = some.groupBy("text_sha256").agg(
-        F.count(F.lit(1)).alias("group_size"), F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("id"))).alias("best")
+        F.count(F.lit(1)).alias("group_size"), F.max(F.struct(own.alias("own"), F.col("n_chars"), (-F.col("doc_id")).alias("id"))).alias("best")
     ).select("text_sha256", "group_size", (-F.col("best.id")).alias("keep_id"))
     grouped = some.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
@@ -118,5 +130,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that exact_groups keeps, with all their columns."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    docs, top = with_ids(docs)
+    kept = _groups(docs, top).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
+    same = (docs["doc_id"] == kept["_kept_id"]) & (_digest(F.coalesce(docs["text"], F.lit(""))) == kept["_kept_text"])
+    return without_ids(docs.join(kept, same, "left_semi"), top)

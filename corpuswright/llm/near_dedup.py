@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import GOLDEN, SHINGLE_WORDS, cut, lowered, mix64, shingle_hashes, sub_batches, text_rows, utf8_buffers, word_hashes
+from .common import GOLDEN, SHINGLE_WORDS, cut, lowered, mix64, shingle_hashes, sub_batches, text_rows, utf8_buffers, with_ids, without_ids, word_hashes
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
@@ -203,8 +203,15 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
 
     Texts are compared in lower case, as multisets of five-word shingles (a text of one to four words is one shingle). Texts
     with equal multisets are in one class; null, empty and white-space texts have no shingle and stand alone. doc_id must
-    identify a row (repeated ones share their class); an empty table gives an empty result; other columns are ignored.
+    identify a row (repeated ones share their class). A row without doc_id is compared like any other; a class in which no row
+    has one has a null class_id. An empty table gives an empty result; other columns are ignored.
     """
+    known, top = with_ids(docs)
+    return without_ids(_classes(known, threshold), top, "doc_id", "class_id")
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """near_duplicate_classes of rows which all have a doc_id."""
     rows = text_rows(docs)
     signed = cut(rows.mapInPandas(_sign, "doc_id long, bag binary, n_words long, bands array<long>"))
     nodes = signed.where(F.length("bag") > 0).groupBy("bag").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words"))
@@ -244,5 +251,6 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, with all their columns, that are the first of their class."""
-    kept = near_duplicate_classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    docs, top = with_ids(docs)
+    kept = _classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_kept_id"))
+    return without_ids(docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi"), top)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, cut, mix64, powers, text_rows, utf8_buffers, written
+from .common import BYTE_VALUES, cut, mix64, powers, text_rows, utf8_buffers, with_ids, without_ids, written
 from .exact_dedup import possibly_repeated
 
 WIDTH = 50
@@ -322,9 +322,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for every row of `docs`.
 
     Strings are judged on the input, overlaps count, and repeats inside one document or between rows with one doc_id stay.
-    Null texts are empty; texts under `width` bytes are never touched; an empty table gives an empty result. doc_id must not
-    be null.
+    Null texts are empty; texts under `width` bytes are never touched; an empty table gives an empty result. Each row without
+    doc_id is a document of its own, after all that have one.
     """
+    known, top = with_ids(docs)
+    return without_ids(_remove_repeats(known, width, gram), top)
+
+
+def _remove_repeats(docs: DataFrame, width: int, gram: int) -> DataFrame:
+    """remove_repeats of rows which all have a doc_id."""
     spark = docs.sparkSession
     rows = text_rows(docs)
     digests = cut(rows.select("doc_id", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("digest")).withColumn("h", F.xxhash64("digest")))
