@@ -32,12 +32,12 @@ NAME_WEIGHTS = {
     "credentials": 0.65, "apikey": 0.7, "api": 0.3, "key": 0.35, "auth": 0.45, "bearer": 0.55, "private": 0.4, "signature": 0.4, "salt": 0.4,
 }
 _PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.\-])(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,127}+)(?P=q)\ {0,8}(?P<op>:=|=>|=|:)(?![=/])\ {0,8}
-    (?:(?P<lit>"(?:[^"\\\n]|\\.){1,4096}"|'(?:[^'\\\n]|\\.){1,4096}')(?P<more>(?:\ {0,8}[+.]\ {0,8}(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'))*)
+    r"""(?<![A-Za-z0-9_.\-])(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?P=q)[\ \t]*+(?P<op>:=|=>|=|:)(?![=/])[\ \t]*+
+    (?:(?P<lit>"(?:[^"\\\n]++|\\.)++"|'(?:[^'\\\n]++|\\.)++')(?P<more>(?:[\ \t]*+[+.][\ \t]*+(?:"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'))*)
       |(?P<bare>[^\s"'`,;(){}\[\]<>|]+))""",
     re.X,
 )
-_QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'")
+_QUOTED = re.compile(r"\"((?:[^\"\\\n]++|\\.)*+)\"|'((?:[^'\\\n]++|\\.)*+)'")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _IDENTIFIER = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?$")
 _PLACEHOLDER = re.compile(r"(?i)^(?:none|null|true|false|changeme|example|xxx+|\*+|<.*>|todo|your[_-].*)$")
