@@ -3,20 +3,23 @@
 A byte goes if a `width`-byte string over it also starts in a document with a smaller doc_id. Windows of `width` bytes are the
 suffixes that matter; they are compared by sorting, but only those that can repeat.
 
-1. Anchors. Each window has an anchor: the gram of GRAM bytes in it with the least hash (the leftmost on a tie). Equal windows
-   have equal anchors at the same place, so a window whose anchor occurs in no other document repeats in none. Anchors go, as
-   packed blobs of hashes, to ranges of the hash; those seen in two documents come back. An anchor with copies inside a task's
-   batch is sent once for all of them, so a passage that a third of all documents hold does not gather anywhere.
-2. Pieces. Consecutive windows with the same repeated anchor make one piece of text. Equal pieces are one row with the least
-   doc_id of its documents, by an aggregate with map-side combining.
-3. Suffix buckets. Sampled splitters range-partition the pieces by their anchor's bytes, the leading tokens of all its
-   windows. A bucket sorts its windows' suffixes by multikey quicksort, eight bytes at a time, and neighbours that agree over
-   `width` bytes share the least doc_id of both. A splitter never parts equal keys. A key with more than HOT_PIECES pieces
-   (the edge of a passage that very many documents share) is not one bucket's: its suffixes are dealt by all their bytes, and
-   equal ones meet in an aggregate.
-4. Each document's removed windows come back to its text.
-
-Copies of a whole text are found first (only rows whose digest may repeat shuffle) and are removed as wholes.
+1. Groups. Documents are dealt by hash into groups of about GROUP_BYTES of text, once; all three steps below that need texts
+   read that one exchange again. What a group sends is pre-aggregated over all its documents, and what comes back names
+   content, not places, so a lost task that runs again finds the same.
+2. Anchors. Each window has an anchor: the gram of GRAM bytes in it with the least hash (the leftmost on a tie). Equal windows
+   have equal anchors at the same place, so a window whose anchor occurs in no other document repeats in none. A group sends
+   the hashes of its anchors, each once, to ranges of the hash; those that another group has come back.
+3. Pieces. Consecutive windows with one repeated anchor make a piece, sent as a record of fixed length: the bytes around the
+   anchor, those outside the piece's windows zero. A group sends equal pieces once, with the least doc_id that holds them.
+4. Suffix buckets. Sampled splitters range-partition the pieces by their anchor's bytes, the leading tokens of all their
+   windows. A bucket sorts its windows' suffixes by multikey quicksort, eight bytes at a time; equal ones share the least
+   doc_id. A splitter never parts equal leads, so there is nothing to compare across boundaries. A lead of over HOT_DOCS
+   documents (the edge of a passage that very many share) is not one bucket's: its windows are dealt by all their bytes.
+5. A bucket tells a group which windows of its pieces a smaller document outside has; what its own documents repeat of each
+   other the group sees itself.
+
+Copies of a whole text are found first, by digest, and are removed as wholes. Keys of 64 bits stand for the pieces of one
+group (about 80,000 at most, so that two different ones meet in a group with odds of 2e-10).
 """
 
 from __future__ import annotations
@@ -24,20 +27,21 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, cut, mix64, powers, text_rows, utf8_buffers, with_ids, without_ids, written
-from .exact_dedup import possibly_repeated
+from .common import BYTE_VALUES, GOLDEN, cut, mix64, powers, text_rows, utf8_buffers, with_ids, without_ids
 
 WIDTH = 50
-GRAM = 24
-CHUNK = 1 << 20
-HOT_PIECES = 20_000
+GRAM = 16
+CHUNK = 1 << 18
+GROUP_BYTES = 1 << 23
+HOT_DOCS = 20_000
+SPLITTER_DOCS = 1000  # about so many documents are read for the splitters; they only balance the buckets
 _POSITION_BITS = np.uint64(24)
-_LOW_BITS = np.uint64(48)
+_LOW_BITS = np.uint64(16)
+_LETTER = "g int, copy_id long, copy_h long, keys binary, masks binary, grams binary, hot binary"
 
 
 def window_anchors(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -59,160 +63,76 @@ def window_anchors(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tu
     return (least & np.uint64((1 << 24) - 1)).astype(np.int64), hashes
 
 
-def chunks(starts: np.ndarray, width: int):
-    """(first byte, last byte, first text, last text + 1) of pieces of about CHUNK bytes: whole texts, or parts of a long one
+def chunks(starts: np.ndarray, width: int, chunk: int):
+    """(first byte, last byte, first text, last text + 1) of pieces of about `chunk` bytes: whole texts, or parts of a long one
     that overlap by width - 1, so that each window is in exactly one piece."""
     i, n = 0, len(starts) - 1
     while i < n:
-        if starts[i + 1] - starts[i] > CHUNK:
+        if starts[i + 1] - starts[i] > chunk:
             at = starts[i]
             while True:
-                end = min(at + CHUNK, starts[i + 1])
+                end = min(at + chunk, starts[i + 1])
                 yield at, end, i, i + 1
                 if end == starts[i + 1]:
                     break
                 at = end - (width - 1)
             i += 1
         else:
-            j = max(i + 1, int(np.searchsorted(starts, starts[i] + CHUNK, side="right")) - 1)
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + chunk, side="right")) - 1)
             yield starts[i], starts[j], i, j
             i = j
 
 
-def _send_anchors(buckets: int, width: int, gram: int):
-    def run(batches):
-        for b in batches:
-            ids = b["doc_id"].to_numpy()
-            data, starts = utf8_buffers(pa.array(b["text"], type=pa.large_string()))
-            for lo, hi, i, j in chunks(starts, width):
-                anchor, hashes = window_anchors(data[lo:hi], width, gram)
-                if not len(anchor):
-                    continue
-                first = np.maximum(starts[i:j] - lo, 0)
-                valid = np.zeros(len(anchor) + 1, dtype=np.int32)  # windows that do not cross into the next text
-                np.add.at(valid, np.minimum(first, len(anchor)), 1)
-                stop = np.clip(np.minimum(starts[i + 1 : j + 1], hi) - lo - width + 1, first, None)
-                np.add.at(valid, np.minimum(stop, len(anchor)), -1)
-                used = np.zeros(len(hashes), dtype=bool)
-                used[anchor[np.cumsum(valid[:-1]) > 0]] = True
-                at = np.flatnonzero(used)
-                if not len(at):
-                    continue
-                h = hashes[at]
-                text = np.searchsorted(first, at, side="right") - 1
-                order = np.argsort(h, kind="stable")
-                h, at, text = h[order], at[order], text[order]
-                begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                many = np.minimum.reduceat(text, begin) != np.maximum.reduceat(text, begin)
-                mine = np.repeat(many, np.diff(np.r_[begin, len(h)]))
-                inside = at + lo - starts[i + text]
-                rows = []
-                if mine.any():  # seen in several of these texts: no one has to ask
-                    rows.append((-1, ids[i + text[mine]].tobytes(), b"", inside[mine].tobytes()))
-                send = ~mine
-                send[begin[many]] = True
-                h, inside, who = h[send], np.where(mine, -1, inside)[send], ids[i + text][send]
-                bucket = ((h >> _LOW_BITS) * np.uint64(buckets)) >> np.uint64(16)
-                edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-                low = np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
-                for k in range(buckets):
-                    s = slice(edges[k], edges[k + 1])
-                    if edges[k + 1] > edges[k]:
-                        seen, where = np.unique(who[s], return_inverse=True)
-                        rows.append((k, _pack(seen, where), low[s].tobytes(), _spell(inside[s])))
-                out = pd.DataFrame(rows, columns=["bucket", "docs", "low", "at"])
-                out["route"] = np.where(out["bucket"] >= 0, out["bucket"], np.int64(int(ids[i]) % buckets))
-                yield out
-
-    return run
-
-
-def _pack(seen: np.ndarray, where: np.ndarray) -> bytes:
-    """Distinct doc_ids and, for each entry, its number among them."""
-    small = np.uint16 if len(seen) < 65536 else np.uint32
-    return np.array([len(seen)], dtype=np.int64).tobytes() + seen.astype(np.int64).tobytes() + where.astype(small).tobytes()
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    n = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
-    seen = np.frombuffer(blob, dtype=np.int64, count=n, offset=8)
-    return seen[np.frombuffer(blob, dtype=np.uint16 if n < 65536 else np.uint32, offset=8 + 8 * n)]
-
-
-def _spell(at: np.ndarray) -> bytes:
-    return at.astype(np.int32).tobytes() if at.max() < 2**31 else b"8" + at.tobytes()
-
-
-def _positions(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, dtype=np.int32).astype(np.int64) if len(blob) == 4 * n else np.frombuffer(blob[1:], dtype=np.int64)
-
-
-def _by_doc(docs: np.ndarray, at: np.ndarray) -> pd.DataFrame:
-    order = np.lexsort((at, docs))
-    docs, at = docs[order], at[order]
-    begin = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, np.int64)
-    end = np.r_[begin[1:], len(docs)]
-    return pd.DataFrame({"doc_id": docs[begin], "at": [at[i:j].astype(np.int64).tobytes() for i, j in zip(begin, end)]})
-
-
-def _return_repeated(batches):
-    """Of a bucket's anchors, those with a hash that occurs in two documents."""
-    parts: dict[int, list] = {}
-    for b in batches:
-        for bucket, docs, low, at in zip(b["bucket"], b["docs"], b["low"], b["at"]):
-            if bucket < 0:
-                yield _by_doc(np.frombuffer(docs, dtype=np.int64), np.frombuffer(at, dtype=np.int64))
-            else:
-                parts.setdefault(int(bucket), []).append((docs, low, at))
-    for bucket in sorted(parts):
-        blobs = parts.pop(bucket)
-        low = np.frombuffer(b"".join(x for _, x, _ in blobs), dtype=np.uint8).reshape(-1, 6)
-        h = np.zeros((len(low), 8), dtype=np.uint8)
-        h[:, :6] = low
-        h = h.view("<u8").reshape(-1)
-        docs = np.concatenate([_unpack(d) for d, _, _ in blobs])
-        at = np.concatenate([_positions(a, len(x) // 6) for _, x, a in blobs])
-        order = np.argsort(h, kind="stable")
-        h, docs, at = h[order], docs[order], at[order]
-        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        repeated = (np.minimum.reduceat(docs, begin) != np.maximum.reduceat(docs, begin)) | (np.minimum.reduceat(at, begin) < 0)
-        keep = np.repeat(repeated, np.diff(np.r_[begin, len(h)])) & (at >= 0)
-        yield _by_doc(docs[keep], at[keep])
-
-
-def _cut_pieces(width: int, gram: int):
-    """Pieces of text under consecutive windows with the same repeated anchor."""
-
-    def of_part(doc_id: int, data: np.ndarray, base: int, wanted: np.ndarray, rows: list) -> None:
-        anchor, _ = window_anchors(data, width, gram)
-        if not len(anchor):
-            return
-        repeated = np.zeros(len(data), dtype=bool)
-        inside = wanted[(wanted >= base) & (wanted < base + len(data))] - base
-        repeated[inside] = True
-        on = np.flatnonzero(repeated[anchor])
+def anchored_runs(data: np.ndarray, starts: np.ndarray, width: int, gram: int, chunk: int = CHUNK) -> list[np.ndarray]:
+    """Text, first window, last window, anchor and 48-bit hash of each run of consecutive windows with one anchor."""
+    parts = [[np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]]
+    for lo, hi, i, j in chunks(starts, width, chunk):
+        anchor, hashes = window_anchors(data[lo:hi], width, gram)
+        n = len(anchor)
+        first = np.clip(starts[i:j] - lo, 0, n)
+        stop = np.clip(np.minimum(starts[i + 1 : j + 1], hi) - lo - width + 1, first, n)
+        edge = np.zeros(n + 1, dtype=np.int32)  # windows that do not cross into the next text
+        np.add.at(edge, first, 1)
+        np.add.at(edge, stop, -1)
+        on = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
         if not len(on):
-            return
-        runs = np.flatnonzero(np.r_[True, (on[1:] != on[:-1] + 1) | (anchor[on[1:]] != anchor[on[:-1]])])
-        begins, ends = on[runs], on[np.r_[runs[1:] - 1, len(on) - 1]]
-        raw = data.tobytes()
-        for s, e, a in zip(begins.tolist(), ends.tolist(), anchor[begins].tolist()):
-            rows.append((doc_id, base + s, raw[s : e + width], a - s))
-
-    def run(batches):
-        for b in batches:
-            rows: list = []
-            for doc_id, text, at in zip(b["doc_id"].tolist(), b["text"], b["at"]):
-                data = np.frombuffer(text.encode(), dtype=np.uint8)
-                wanted = np.unique(np.frombuffer(b"".join(at), dtype=np.int64))
-                for lo, hi, _, _ in chunks(np.array([0, len(data)]), width):
-                    of_part(doc_id, data[lo:hi], int(lo), wanted, rows)
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["doc_id", "start", "piece", "lead_at"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "piece", "lead_at"])
-
-    return run
+            continue
+        begin = np.flatnonzero(np.r_[True, (on[1:] != on[:-1] + 1) | (anchor[on[1:]] != anchor[on[:-1]])])
+        s, e = on[begin], on[np.r_[begin[1:] - 1, len(on) - 1]]
+        text = i + np.searchsorted(starts[i:j] - lo, s, side="right") - 1
+        parts.append([text, s + lo, e + lo, anchor[s] + lo, hashes[anchor[s]] >> _LOW_BITS])
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
+def piece_words(data: np.ndarray, s: np.ndarray, e: np.ndarray, a: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """A row of 8-byte words a piece: 2 * width - gram bytes around the anchor, zero outside the windows s to e, and how far
+    before the anchor the first and the last window start."""
+    reach = width - gram
+    used = 2 * width - gram
+    size = -(-(used + 2) // 8) * 8
+    padded = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(size, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, size)
+    out = np.empty((len(s), size), dtype=np.uint8)
+    place = np.arange(size)
+    for lo in range(0, len(s), 8192):
+        p = slice(lo, lo + 8192)
+        begin, end = (reach - (a[p] - s[p]))[:, None], (reach - (a[p] - e[p]) + width)[:, None]
+        out[p] = np.where((place >= begin) & (place < end), view[a[p]], 0)
+    out[:, used], out[:, used + 1] = a - s, a - e
+    return out.view(np.uint64)
+
+
+def _keys(words: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(words), dtype=np.uint64)
+    for d in range(words.shape[1]):
+        out = mix64(out ^ words[:, d]) + GOLDEN
+    return out
+
+
+def _gram_hashes(raw: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """The 48-bit hash of each record's anchor."""
+    up, _ = powers(gram)
+    return mix64((BYTE_VALUES[raw[:, width - gram : width]] * up).sum(axis=1, dtype=np.uint64)) >> _LOW_BITS
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,142 +158,308 @@ def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def _suffix_words(pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of the pieces as rows of big-endian 8-byte words, and the piece of each."""
-    lengths = np.array([len(p) for p in pieces])
-    counts = lengths - width + 1
-    of = np.repeat(np.arange(len(pieces)), counts)
-    starts = np.cumsum(lengths) - lengths
-    at = starts[of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    windows = np.zeros((len(of), -(-width // 8) * 8), dtype=np.uint8)
-    windows[:, :width] = np.lib.stride_tricks.sliding_window_view(raw, width)[at]
-    return windows.view(">u8").astype(np.uint64), of
+def _six(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(blobs: list[bytes]) -> np.ndarray:
+    low = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(low), 8), dtype=np.uint8)
+    out[:, :6] = low
+    return out.view("<u8").reshape(-1).astype(np.uint64)
+
+
+def _values(table: pa.Table, name: str) -> list:
+    """A column's values; the side of a cogroup that has no rows has no columns either."""
+    return table[name].to_pylist() if table.num_rows else []
+
+
+def _blobs(table: pa.Table, name: str) -> list[bytes]:
+    return [b for b in _values(table, name) if b is not None]
+
+
+def _numbers(table: pa.Table, name: str, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(_blobs(table, name)), dtype=dtype)
 
 
-def _least_owner(width: int):
-    """For each piece of a bucket, the least doc_id that has each of its windows, if one is below its own largest."""
+def _texts(table: pa.Table, letters: pa.Table):
+    """doc_ids, bytes and starts of a group's texts, h, and which of the rows are copies of another document's text."""
+    text = table["text"].cast(pa.large_string()).combine_chunks()
+    data, starts = utf8_buffers(text) if isinstance(text, pa.Array) else utf8_buffers(pa.concat_arrays(text.chunks))
+    ids, h = (table[c].to_numpy() for c in ("doc_id", "h"))
+    told = {p for p in zip(_values(letters, "copy_id"), _values(letters, "copy_h")) if p[1] is not None}
+    copy = np.fromiter(((i, x) in told for i, x in zip(ids.tolist(), h.tolist())), dtype=bool, count=len(ids)) if told else np.zeros(len(ids), bool)
+    return ids, data, starts, copy
 
-    def some(held: list[pd.DataFrame]) -> pd.DataFrame:
-        bucket = pd.concat(held, ignore_index=True)
-        owners, tops = bucket["owner"].to_numpy(), bucket["top"].to_numpy()
-        words, of = _suffix_words(bucket["piece"].tolist(), width)
-        order, new = multikey_order(words)
+
+def _runs_of(table: pa.Table, letters: pa.Table, width: int, gram: int, chunk: int):
+    ids, data, starts, copy = _texts(table, letters)
+    text, s, e, a, h = anchored_runs(data, starts, width, gram, chunk)
+    if copy.any():
+        text, s, e, a, h = (x[~copy[text]] for x in (text, s, e, a, h))
+    return ids, data, starts, copy, text, s, e, a, h
+
+
+def _shared_here(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, and in how many of the group's texts each occurs."""
+    order = np.lexsort((text, h))
+    h, text = h[order], text[order]
+    new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+    apart = new | np.r_[True, text[1:] != text[:-1]] if len(h) else new
+    begin = np.flatnonzero(new)
+    return h[begin], np.add.reduceat(apart.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+
+
+def _ask(buckets: int, width: int, gram: int, chunk: int):
+    """Each anchor hash of a group once: those of one text, and those of several with how many."""
+
+    def run(key, table: pa.Table, letters: pa.Table) -> pa.Table:
+        _, _, _, _, text, _, _, _, h = _runs_of(table, letters, width, gram, chunk)
+        h, n = _shared_here(text, h)
+        bucket = (h * np.uint64(buckets)) >> np.uint64(48)
+        edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        rows = []
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            p = slice(edges[k], edges[k + 1])
+            one = n[p] == 1
+            rows.append((k, _six(h[p][one]), _six(h[p][~one]), np.minimum(n[p][~one], 2**31).astype(np.uint32).tobytes()))
+        return _table(rows, "bucket int, g int, one binary, several binary, counts binary", g=key[0].as_py())
+
+    return run
+
+
+def _arrow_type(name: str):
+    return {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[name]
+
+
+def _table(rows: list[tuple], schema: str, **fixed) -> pa.Table:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = iter(zip(*rows)) if rows else iter([()] * len(fields))
+    arrays = [pa.array([fixed[n]] * len(rows) if n in fixed else next(columns), type=_arrow_type(t)) for n, t in fields]
+    return pa.table(arrays, names=[n for n, _ in fields])
+
+
+def _answer(most: int):
+    """To each group, those of its anchors that another group has too, and those that very many documents have."""
+
+    def run(table: pa.Table) -> pa.Table:
+        one, several = table["one"].to_pylist(), table["several"].to_pylist()
+        h = np.concatenate([_from_six(one), _from_six(several)])
+        who = np.arange(len(one))
+        of = np.concatenate([np.repeat(who, [len(b) // 6 for b in x]) for x in (one, several)])
+        single = sum(map(len, one)) // 6
+        n = np.ones(len(h), dtype=np.int64)
+        n[single:] = _numbers(table, "counts", np.uint32)
+        order = np.argsort(h, kind="stable")
+        begin = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+        total = np.empty(len(h), dtype=np.int64)
+        total[order] = np.repeat(np.add.reduceat(n[order], begin), np.diff(np.r_[begin, len(h)]))
+        found, hot = np.flatnonzero((total > 1) & (n == 1)), np.flatnonzero(total > most)
+        pick = lambda at: (lambda o: (h[o], np.searchsorted(of[o], np.arange(len(one) + 1))))(at[np.argsort(of[at], kind="stable")])
+        (fh, fe), (hh, he) = pick(found), pick(hot)
+        g = table["g"].to_pylist()
+        rows = [
+            (g[k], None, None, None, None, _six(fh[fe[k] : fe[k + 1]]), _six(hh[he[k] : he[k + 1]]))
+            for k in range(len(g)) if fe[k + 1] > fe[k] or he[k + 1] > he[k]
+        ]
+        return _table(rows, _LETTER)
+
+    return run
+
+
+def _pieces(data, starts, text, s, e, a, h, wanted: np.ndarray, hot: np.ndarray, width: int, gram: int):
+    """Text, first and last window, anchor, words and key of the pieces with a wanted anchor; hot ones window by window."""
+    use = np.isin(h, wanted)
+    text, s, e, a, h = (x[use] for x in (text, s, e, a, h))
+    many = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
+    if many.any():
+        n = np.where(many, e - s + 1, 1)
+        first = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(first, n)
+        text, a, whole, last = (np.repeat(x, n) for x in (text, a, ~many, e))
+        s = np.repeat(s, n) + step
+        e = np.where(whole, last, s)
+        many = ~whole
+    words = piece_words(data, s, e, a, width, gram)
+    return text, s, e, a, many, words, _keys(words)
+
+
+def _send(splitters: np.ndarray, buckets: int, width: int, gram: int, chunk: int):
+    def run(key, table: pa.Table, letters: pa.Table) -> pa.Table:
+        ids, data, starts, _, text, s, e, a, h = _runs_of(table, letters, width, gram, chunk)
+        known, n = _shared_here(text, h)
+        wanted = np.concatenate([known[n > 1], _from_six(_blobs(letters, "grams"))])
+        hot = _from_six(_blobs(letters, "hot"))
+        text, s, e, a, many, words, keys = _pieces(data, starts, text, s, e, a, h, np.concatenate([wanted, hot]), hot, width, gram)
+        order = np.lexsort((ids[text], keys))  # equal pieces once, for the least doc_id
+        order = order[np.r_[True, keys[order][1:] != keys[order][:-1]]] if len(order) else order
+        raw = words.view(np.uint8).reshape(len(words), 8 * words.shape[1])[order]
+        owner, many = ids[text][order].astype(np.int64), many[order]
+        lead = np.ascontiguousarray(raw[:, width - gram : width]).view(f"S{gram}").reshape(-1)
+        bucket = np.where(many, (keys[order] % np.uint64(buckets)).astype(np.int64), np.searchsorted(splitters, lead, side="right"))
+        by = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        rows = []
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            p = by[edges[k] : edges[k + 1]]
+            rows.append((k, raw[p].tobytes(), owner[p].tobytes(), many[p].tobytes()))
+        return _table(rows, "bucket int, g int, pieces binary, owners binary, many binary", g=key[0].as_py())
+
+    return run
+
+
+def _resolve(width: int, gram: int):
+    """To each group, which windows of its pieces a document outside with a smaller doc_id has, and its hot anchors."""
+    used = 2 * width - gram
+    size = -(-(used + 2) // 8) * 8
+    reach = width - gram
+
+    def masks_of(raw: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        before, last = raw[:, used].astype(np.int64), raw[:, used + 1].astype(np.int64)
+        counts = before - last + 1
+        of = np.repeat(np.arange(len(raw)), counts)
+        at = reach - np.repeat(before, counts) + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        windows = np.zeros((len(of), -(-width // 8) * 8), dtype=np.uint8)
+        windows[:, :width] = np.lib.stride_tricks.sliding_window_view(raw, width, axis=1)[of, at]
+        order, new = multikey_order(windows.view(">u8").astype(np.uint64))
         begin = np.flatnonzero(new)
         least = np.empty(len(of), dtype=np.int64)
         least[order] = np.repeat(np.minimum.reduceat(owners[of[order]], begin), np.diff(np.r_[begin, len(of)]))
-        edges = np.searchsorted(of, np.arange(len(bucket) + 1))
-        use = np.flatnonzero(np.minimum.reduceat(least, edges[:-1]) < tops)
-        return pd.DataFrame({"key": bucket["key"].to_numpy()[use], "owners": [least[edges[k] : edges[k + 1]].tobytes() for k in use]})
-
-    def run(batches):
-        held: list[pd.DataFrame] = []
-        size, last = 0, None
-        for b in batches:  # sorted by lead: a bucket's rows are taken in runs of whole leads
-            b = b.reset_index(drop=True)
-            cuts = np.flatnonzero((b["lead"] != b["lead"].shift()).to_numpy())
-            lo = 0
-            for s in cuts.tolist():
-                if size + s - lo > 40_000 and (s > 0 or b["lead"].iloc[0] != last):
-                    held.append(b.iloc[lo:s])
-                    yield some(held)
-                    held, size, lo = [], 0, s
-            held.append(b.iloc[lo:])
-            size, last = size + len(b) - lo, b["lead"].iloc[-1] if len(b) else last
-        if size:
-            yield some(held)
+        bits = np.where(least < owners[of], np.uint64(1) << at.astype(np.uint64), np.uint64(0))
+        return np.bitwise_or.reduceat(bits, np.cumsum(counts) - counts)
+
+    def run(table: pa.Table) -> pa.Table:
+        blobs = table["pieces"].to_pylist()
+        raw = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, size)
+        owners, many = _numbers(table, "owners", np.int64), _numbers(table, "many", np.bool_)
+        lead = np.ascontiguousarray(raw[:, reach:width]).view(f"S{gram}").reshape(-1)
+        order = np.argsort(lead, kind="stable")
+        begin = np.flatnonzero(np.r_[True, lead[order][1:] != lead[order][:-1]])
+        masks = np.empty(len(raw), dtype=np.uint64)
+        lo = 0
+        while lo < len(order):  # whole leads, about 4,000 pieces at a time
+            nxt = np.searchsorted(begin, lo + 4000)
+            hi = len(order) if nxt >= len(begin) else max(int(begin[nxt]), lo + 1)
+            p = order[lo:hi]
+            masks[p] = masks_of(raw[p], owners[p])
+            lo = hi
+        edges = np.r_[0, np.cumsum([len(b) // size for b in blobs])]
+        rows = []
+        for k, g in enumerate(table["g"].to_pylist()):
+            mine = raw[edges[k] : edges[k + 1]]
+            tell, hot = masks[edges[k] : edges[k + 1]] > 0, many[edges[k] : edges[k + 1]]
+            if not (tell | hot).any():
+                continue
+            keys = _keys(np.ascontiguousarray(mine[tell]).view(np.uint64))
+            grams, hots = (np.unique(_gram_hashes(mine[x], width, gram)) for x in (tell & ~hot, hot))
+            rows.append((g, None, None, keys.tobytes(), masks[edges[k] : edges[k + 1]][tell].tobytes(), _six(grams), _six(hots)))
+        return _table(rows, _LETTER)
 
     return run
 
 
-def _hot_owners(pieces: DataFrame, width: int) -> DataFrame:
-    """The same for pieces of hot leads: one row a suffix, and equal suffixes meet in an aggregate with map-side combining."""
-    at = F.explode(F.sequence(F.lit(0), F.octet_length("piece") - F.lit(width))).alias("i")
-    suffixes = cut(pieces.select("key", "owner", "top", "piece", at).select("key", "owner", "top", "i", F.substring(F.col("piece"), F.col("i") + 1, F.lit(width)).alias("suffix")))
-    least = suffixes.groupBy("suffix").agg(F.min("owner").alias("least"))
-    parts = suffixes.join(least, "suffix").groupBy("key").agg(F.max("top").alias("top"), F.array_sort(F.collect_list(F.struct("i", "least"))).alias("all"))
-    kept = parts.select("key", "top", F.transform("all", lambda x: x["least"]).alias("least")).where(F.array_min("least") < F.col("top"))
-    as_bytes = F.pandas_udf(lambda arrays: arrays.map(lambda a: np.asarray(a, dtype=np.int64).tobytes()), "binary")
-    return kept.select("key", as_bytes("least").alias("owners"))
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
+def _erase(width: int, gram: int, chunk: int):
+    reach = width - gram
+
+    def run(key, table: pa.Table, letters: pa.Table) -> pa.Table:
+        ids, data, starts, copy, text, s, e, a, h = _runs_of(table, letters, width, gram, chunk)
+        known, n = _shared_here(text, h)
+        grams, hot = _from_six(_blobs(letters, "grams")), _from_six(_blobs(letters, "hot"))
+        text, s, e, a, _, _, keys = _pieces(data, starts, text, s, e, a, h, np.concatenate([known[n > 1], grams, hot]), hot, width, gram)
+        told, masks = _numbers(letters, "keys", np.uint64), _numbers(letters, "masks", np.uint64)
+        by = np.argsort(told, kind="stable")
+        told, masks = told[by], masks[by]
+        owner = ids[text].astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        begin = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+        least = np.empty(len(keys), dtype=np.int64)
+        if len(order):
+            least[order] = np.repeat(np.minimum.reduceat(owner[order], begin), np.diff(np.r_[begin, len(order)]))
+        mask = np.zeros(len(keys), dtype=np.uint64)
+        if len(told):
+            at = np.minimum(np.searchsorted(told, keys), len(told) - 1)
+            mask = np.where(told[at] == keys, masks[at], np.uint64(0))
+        mask[owner > least] = np.uint64(2**64 - 1)  # another document of this group has the whole piece
+        on = np.flatnonzero(mask)
+        counts = e[on] - s[on] + 1
+        of = np.repeat(on, counts)
+        start = s[of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        start = start[(mask[of] >> (reach - (a[of] - start)).astype(np.uint64)) & np.uint64(1) > 0]
+        edge = np.zeros(len(data) + 1, dtype=np.int16)  # at most `width` windows start in reach of a byte
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + width, -1)
+        gone = np.empty(len(data), dtype=bool)
+        level = 0
+        for lo in range(0, len(data), chunk):
+            depth = level + np.cumsum(edge[lo : min(lo + chunk, len(data))], dtype=np.int64)
+            gone[lo : lo + chunk] = depth > 0
+            level = int(depth[-1])
+        rows = []
+        for k, doc_id in enumerate(ids.tolist()):
+            lost, mine = gone[starts[k] : starts[k + 1]], data[starts[k] : starts[k + 1]]
+            kept = b"" if copy[k] else mine[~lost].tobytes()
+            spans = int(copy[k]) if copy[k] or not len(lost) else int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum())
+            rows.append((doc_id, len(mine), len(mine) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+        return _table(rows, _RESULT)
 
+    return run
+
+
+def _splitters(rows: DataFrame, n_rows: int, buckets: int, width: int, gram: int) -> np.ndarray:
+    """At most buckets - 1 anchors' bytes that part those of a sample of documents into equal shares."""
 
-def _erase(width: int):
     def run(batches):
         for b in batches:
-            rows = []
-            for doc_id, text, found in zip(b["doc_id"].tolist(), b["text"], b["found"]):
-                data = text.encode()
-                edge = np.zeros(len(data) + 1, dtype=np.int64)
-                for piece in found:
-                    owners = np.frombuffer(piece["owners"], dtype=np.int64)
-                    at = int(piece["start"]) + np.flatnonzero(owners < doc_id)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + width, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                rows.append((doc_id, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            data, starts = utf8_buffers(b["text"])
+            _, _, _, a, h = anchored_runs(data, starts, width, gram)
+            a = a[h % np.uint64(16) == 0]
+            yield pa.record_batch([pa.array([data[x : x + gram].tobytes() for x in a.tolist()], type=pa.binary())], names=["lead"])
 
-    return run
+    every = max(1, n_rows // SPLITTER_DOCS)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    leads = sorted(r["lead"] for r in sample.mapInArrow(run, "lead binary").collect())
+    picks = [leads[len(leads) * k // buckets] for k in range(1, buckets)] if leads else []
+    return np.array(sorted(set(picks)), dtype=f"S{gram}")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_docs: int = HOT_DOCS, group_bytes: int = GROUP_BYTES, chunk: int = CHUNK
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for every row of `docs`.
 
     Strings are judged on the input, overlaps count, and repeats inside one document or between rows with one doc_id stay.
-    Null texts are empty; texts under `width` bytes are never touched; an empty table gives an empty result. Each row without
-    doc_id is a document of its own, after all that have one.
+    A repeated doc_id gives a row each time, each judged by its own text. Null texts are empty; texts under `width` bytes are
+    never touched; an empty table gives an empty result. Each row without doc_id is a document of its own, after all that have
+    one. `gram` is less than `width`, and `width` at most 63 more. The last three parameters deal
+    the work and change no result.
     """
     known, top = with_ids(docs)
-    return without_ids(_remove_repeats(known, width, gram), top)
+    return without_ids(_remove_repeats(known, width, gram, hot_docs, group_bytes, chunk), top)
 
 
-def _remove_repeats(docs: DataFrame, width: int, gram: int) -> DataFrame:
+def _remove_repeats(docs: DataFrame, width: int, gram: int, hot_docs: int, group_bytes: int, chunk: int) -> DataFrame:
     """remove_repeats of rows which all have a doc_id."""
     spark = docs.sparkSession
-    rows = text_rows(docs)
-    digests = cut(rows.select("doc_id", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("digest")).withColumn("h", F.xxhash64("digest")))
+    rows = text_rows(docs).withColumn("h", F.xxhash64("text"))
+    digests = cut(rows.select("doc_id", "h", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("digest")))
     size = digests.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
-    probe = possibly_repeated(digests, "h", size["n"])
-    keyed = rows.withColumn("maybe", probe(F.xxhash64(F.sha2("text", 256))))
-    maybe = digests.where(probe("h") & (F.col("n_bytes") >= width))
-    owners = maybe.groupBy("digest").agg(F.min("doc_id").alias("owner"))
-    copies = cut(maybe.join(owners, "digest").where("doc_id > owner").select("doc_id", "n_bytes"))
-    several = keyed.where("maybe").join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text")
-    texts = keyed.where(~F.col("maybe")).select("doc_id", "text").unionByName(several)
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size["bytes"]) >> 25)
-    anchors = texts.mapInPandas(_send_anchors(parts, width, gram), "bucket long, docs binary, low binary, at binary, route long")
-    back = anchors.repartition(parts, "route").mapInPandas(_return_repeated, "doc_id long, at binary")
-    wanted = back.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    lead = F.substring(F.col("piece"), F.col("lead_at") + 1, F.lit(gram))
-    pieces = written(
-        texts.join(wanted, "doc_id").select("doc_id", "text", "at")
-        .mapInPandas(_cut_pieces(width, gram), "doc_id long, start long, piece binary, lead_at int")
-    ).withColumns({"lead": lead, "key": F.unhex(F.md5("piece"))})
-
-    hot = pieces.groupBy(F.xxhash64("lead").alias("lead_hash")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PIECES)
-    hot = cut(hot.select("lead_hash"))  # at most a HOT_PIECES-th of the pieces
-    distinct = pieces.groupBy("key").agg(
-        F.first("piece").alias("piece"), F.first("lead").alias("lead"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")
-    )
-    marked = distinct.withColumn("lead_hash", F.xxhash64("lead"))
-    ranged = marked.join(hot, "lead_hash", "left_anti").repartitionByRange(parts, "lead").sortWithinPartitions("lead")
-    least = ranged.select("key", "piece", "lead", "owner", "top").mapInPandas(_least_owner(width), "key binary, owners binary")
-    least = least.unionByName(_hot_owners(marked.join(hot, "lead_hash", "left_semi"), width))
-    back = pieces.select("key", "doc_id", "start").join(least, "key")
-    found = back.groupBy("doc_id").agg(F.collect_list(F.struct("start", "owners")).alias("found"))
-    erased = texts.join(found, "doc_id", "left")
-    none = erased.where(F.col("found").isNull()).select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-        F.sha2("text", 256).alias("kept_sha256"), F.encode("text", "UTF-8").alias("kept"),
-    )
-    some = erased.where(F.col("found").isNotNull()).select("doc_id", "text", "found").mapInPandas(
-        _erase(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
-    whole = copies.select(
-        "doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), F.col("n_bytes").cast("long").alias("n_removed"),
-        F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit(bytearray()).alias("kept"),
-    )
-    return none.unionByName(some).unionByName(whole)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, int(size["bytes"]) // group_bytes, size["n"] >> 16)
+    group = F.pmod(F.xxhash64("doc_id", "h"), F.lit(groups)).cast("int").alias("g")
+    several = digests.where(F.col("n_bytes") >= width).groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where("owner < top")
+    copies = cut(digests.join(several.select("digest", "owner"), "digest").where("doc_id > owner").select("doc_id", "h", group).distinct())
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("keys", "masks", "grams", "hot")]
+    letters = copies.select(F.col("g").alias("g"), F.col("doc_id").alias("copy_id"), F.col("h").alias("copy_h"), *nothing)
+
+    texts = rows.select("doc_id", "h", "text", group).groupBy("g")
+    ask_buckets = max(least, int(size["bytes"]) >> 26)
+    buckets = max(least, int(size["bytes"]) >> 24)
+    splitters = _splitters(rows, size["n"], buckets, width, gram)
+    asked = texts.cogroup(letters.groupBy("g")).applyInArrow(_ask(ask_buckets, width, gram, chunk), "bucket int, g int, one binary, several binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answer(hot_docs), _LETTER).unionByName(letters)
+    sent = texts.cogroup(answers.groupBy("g")).applyInArrow(_send(splitters, buckets, width, gram, chunk), "bucket int, g int, pieces binary, owners binary, many binary")
+    resolved = sent.groupBy("bucket").applyInArrow(_resolve(width, gram), _LETTER).unionByName(letters)
+    return texts.cogroup(resolved.groupBy("g")).applyInArrow(_erase(width, gram, chunk), _RESULT)

@@ -145,21 +145,33 @@ def _brute_repeats(rows, width):
     return out
 
 
-def test_substrings(spark, documents, monkeypatch):
-    for hot in (20_000, 2):  # with the second, nearly every lead goes the way of hot ones
-        monkeypatch.setattr(substring_dedup, "HOT_PIECES", hot)
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op6_substring_dedup(spark, SF).collect()}
-        assert got == _brute_repeats(documents, 50)
+def _removed(docs, **how):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(docs, **how).collect()}
 
 
-def test_substrings_in_long_and_odd_texts(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CHUNK", 1000)
+def test_substrings(spark, documents):
+    want = _brute_repeats(documents, 50)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op6_substring_dedup(spark, SF).collect()} == want
+    docs = spark.createDataFrame(documents, "doc_id long, text string")
+    assert _removed(docs, group_bytes=20_000) == want  # repeats within and between groups
+    assert _removed(docs, group_bytes=20_000, hot_docs=2) == want  # nearly every anchor goes the way of hot ones
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_substrings_in_long_and_odd_texts(spark, hot):
     rnd = random.Random(5)
     words = [" ".join(rnd.choices(["ab", "cde", "fü", "日本", "x"], k=12)) for _ in range(40)]
     rows = [(i * 3 + 1, " ".join(rnd.choices(words, k=rnd.choice([0, 1, 3, 80])))) for i in range(60)] + [(500, "a" * 400), (501, "a" * 120), (502, "a" * 49)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect()}
-    assert got == _brute_repeats(rows, 50)
+    assert _removed(docs, group_bytes=30_000, hot_docs=hot, chunk=1000) == _brute_repeats(rows, 50)
+
+
+def test_substrings_with_repeated_ids(spark):
+    """Rows that share a doc_id are judged each by its own text, and not against each other."""
+    a, b = ("".join(random.Random(k).choices("abcdefgh ", k=200)) for k in (1, 2))
+    rows = [(1, a), (5, a), (5, b + a[:70]), (5, b), (7, b), (7, b), (9, a + b)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=300).collect())
+    assert got == [(1, 200, 0), (5, 200, 0), (5, 200, 200), (5, 270, 70), (7, 200, 200), (7, 200, 200), (9, 400, 400)]
 
 
 def _bag(text):
