@@ -19,7 +19,7 @@ suffixes that matter; they are compared by sorting, but only those that can repe
    other the group sees itself.
 
 Copies of a whole text are found first, by digest, and are removed as wholes. Keys of 64 bits stand for the pieces of one
-group (about 80,000 at most, so that two different ones meet in a group with odds of 2e-10).
+group (some ten thousand, so that two different ones meet in a group with odds of 1e-11).
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from .common import BYTE_VALUES, GOLDEN, cut, mix64, powers, text_rows, utf8_buf
 WIDTH = 50
 GRAM = 16
 CHUNK = 1 << 18
-GROUP_BYTES = 1 << 23
+GROUP_BYTES = 1 << 22
 HOT_DOCS = 20_000
 SPLITTER_DOCS = 1000  # about so many documents are read for the splitters; they only balance the buckets
 _POSITION_BITS = np.uint64(24)
@@ -245,15 +245,15 @@ def _answer(most: int):
     def run(table: pa.Table) -> pa.Table:
         one, several = table["one"].to_pylist(), table["several"].to_pylist()
         h = np.concatenate([_from_six(one), _from_six(several)])
-        who = np.arange(len(one))
+        who = np.arange(len(one), dtype=np.int32)
         of = np.concatenate([np.repeat(who, [len(b) // 6 for b in x]) for x in (one, several)])
         single = sum(map(len, one)) // 6
-        n = np.ones(len(h), dtype=np.int64)
+        n = np.ones(len(h), dtype=np.uint32)
         n[single:] = _numbers(table, "counts", np.uint32)
         order = np.argsort(h, kind="stable")
         begin = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
         total = np.empty(len(h), dtype=np.int64)
-        total[order] = np.repeat(np.add.reduceat(n[order], begin), np.diff(np.r_[begin, len(h)]))
+        total[order] = np.repeat(np.add.reduceat(n[order], begin, dtype=np.int64), np.diff(np.r_[begin, len(h)]))
         found, hot = np.flatnonzero((total > 1) & (n == 1)), np.flatnonzero(total > most)
         pick = lambda at: (lambda o: (h[o], np.searchsorted(of[o], np.arange(len(one) + 1))))(at[np.argsort(of[at], kind="stable")])
         (fh, fe), (hh, he) = pick(found), pick(hot)
@@ -455,8 +455,8 @@ def _remove_repeats(docs: DataFrame, width: int, gram: int, hot_docs: int, group
     letters = copies.select(F.col("g").alias("g"), F.col("doc_id").alias("copy_id"), F.col("h").alias("copy_h"), *nothing)
 
     texts = rows.select("doc_id", "h", "text", group).groupBy("g")
-    ask_buckets = max(least, int(size["bytes"]) >> 26)
-    buckets = max(least, int(size["bytes"]) >> 24)
+    ask_buckets = max(least, int(size["bytes"]) >> 24)
+    buckets = max(least, int(size["bytes"]) >> 23)
     splitters = _splitters(rows, size["n"], buckets, width, gram)
     asked = texts.cogroup(letters.groupBy("g")).applyInArrow(_ask(ask_buckets, width, gram, chunk), "bucket int, g int, one binary, several binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer(hot_docs), _LETTER).unionByName(letters)
