@@ -6,13 +6,12 @@ Parquet and read again as the next one's documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuswright.llm.common import read_table
+from corpuswright.llm.common import read_table, shared_folder
 from corpuswright.llm.decontaminate import drop_contaminated
 from corpuswright.llm.exact_dedup import drop_exact_copies
 from corpuswright.llm.near_dedup import keep_one_of_each
@@ -55,8 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table `documents`; the stages between are kept in the shared folder of the cluster."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    base = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"

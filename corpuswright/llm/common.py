@@ -16,26 +16,31 @@ SUB_BATCH_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises `df` in the shared checkpoint folder and drops its lineage.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; a private one is made only where that is unset.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, also set for checkpoints; a private one is made only where
+    neither is set and driver and executors are one process. Elsewhere that is an error: not all could reach it."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialises `df` in the shared checkpoint folder and drops its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as Parquet in the shared checkpoint folder: what is read again in parts, or is too wide for a checkpoint."""
-    sc = df.sparkSession.sparkContext
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if shared is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        shared = sc.getCheckpointDir()
-    path = f"{shared}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def written(df: DataFrame, *folders: str) -> DataFrame:
+    """`df` as Parquet in the shared checkpoint folder: what is read again in parts, or is too wide for a checkpoint. It is laid
+    out in a folder for each value of the columns named."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -65,6 +70,29 @@ def without_ids(rows: DataFrame, top: int | None, *names: str) -> DataFrame:
     return rows.withColumns({name: F.when(F.col(name) <= top, F.col(name)) for name in names or ("doc_id",)})
 
 
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """`rows` joined to the one row that `groups` has for their keys, where `weight` is the group's number of rows.
+
+    Groups with over a thousandth of the `total` rows are broadcast: they are under a thousand, whatever the data, and their
+    rows do not shuffle, so no key is hot in the join of the others.
+    """
+    hot, cold = (groups.where(cond) for cond in (F.col(weight) * HOT_SHARE > total, F.col(weight) * HOT_SHARE <= total))
+    few = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return few.unionByName(rows.join(F.broadcast(hot), keys))
+
+
+def first_of_each(rows: DataFrame, keys: list[str], repeated: DataFrame) -> DataFrame:
+    """`rows` with one row for each of the keys in `repeated` (those that several rows share); the others pass as they are."""
+    if repeated.isEmpty():
+        return rows
+    marked = rows.join(repeated.select(*keys, F.lit(True).alias("_again")), keys, "left")
+    again = marked.where("_again").dropDuplicates(keys)
+    return marked.where(F.col("_again").isNull()).unionByName(again).drop("_again").select(*rows.columns)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -303,22 +303,3 @@ def test_inserted_characters_do_not_hide(spark):
     got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
     assert all(got[i] == t for i, t in labels) and got[2000] == 0
     assert [got[1000 + k] for k in range(3)] == [1, 1, 1]
-
-
-def test_surrogates_are_distinct_and_coreferent(spark):
-    texts = [
-        "Call +1 (212) 555-0100 or 212-555-0100, write to Ann.Lee@mail.example.com.", "ANN.LEE@MAIL.EXAMPLE.COM and 10.0.0.1 and 078-05-1120",
-        "Mrs Ada Brown met Mr Brown; MR BROWN left.", "card 4111 1111 1111 1111 = 4111111111111111",
-    ]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.text for r in queries.replace_personal_data(docs, "k").collect()}
-    again = {r.doc_id: r.text for r in queries.replace_personal_data(docs, "k").collect()}
-    assert got == again
-    a, b = re.findall(r"\S+@\S+[a-z]", got[0])[0], got[1].split()[0]
-    assert a.upper() == b and "ann.lee" not in got[0].lower()
-    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{3}-\d{4},", got[0])
-    x, y = re.findall(r"[\d ]{16,}", got[3])
-    assert x.replace(" ", "").strip() == y.strip() != "4111111111111111"
-    assert re.match(r"Mrs [A-Z]\w+ [A-Z]\w+ met Mr [A-Z]\w+;", got[2]) and "Brown" not in got[2]
-    many = spark.range(0, 3000).selectExpr("id AS doc_id", "concat('ip 10.', id div 256, '.', id % 256, '.7') AS text")
-    assert queries.replace_personal_data(many, "k").selectExpr("count(DISTINCT text) AS n").first().n == 3000
