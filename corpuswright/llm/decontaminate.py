@@ -5,12 +5,14 @@ are laid: the longest common runs of unmarked words first, found by rolling hash
 length down to the seed length. Tiles cover an item in any order, so reordered passages count. Coverage is the share of the
 item's words under tiles.
 
-The benchmark is a stated query set. Each block of at most `block_chars` characters of it is broadcast (the bound is checked;
-a larger benchmark goes in several passes over the documents, with the same result). Documents never shuffle.
+The benchmark is a stated query set. Each block of at most about `block_chars` characters of it is broadcast, and its index (numpy
+arrays, some 30 bytes a word) is built once a worker. A larger benchmark goes in several passes over the documents, each
+written before the next begins, with the same result. Documents never shuffle.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -18,13 +20,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lowered, shingle_hashes, sub_batches, text_rows, utf8_buffers, word_hashes
+from .common import lowered, shingle_hashes, sub_batches, text_rows, utf8_buffers, word_hashes, written
 
 SEED_WORDS = 5
 COVERAGE = 0.5
+BLOCK_CHARS = 16_000_000
 _MODULUS = (1 << 61) - 1
 _BASE = 1_000_003
 MATCH = "array<struct<item_id:bigint,coverage:double,n_tiles:int,n_words:int>>"
@@ -100,22 +103,23 @@ def greedy_tiles(item: list[int], text: list[int], least: int) -> list[tuple[int
 
 
 class Items:
-    """Benchmark items with an index from seeds to the items that have them."""
+    """Benchmark items with an index from seeds to the items that have them: flat arrays only."""
 
     def __init__(self, ids: list[int], texts: list[str], least: int = SEED_WORDS):
         self.ids, self.least = ids, least
         words = tile_words(pa.array(texts, type=pa.large_string()))
-        self.words = [w.tolist() for w in words]
-        pairs = []
-        for k, w in enumerate(words):
-            if len(w) >= least:
-                hashes, _ = shingle_hashes(w, np.zeros(len(w), np.int64), 1, least)
-                pairs += [(h, k) for h in np.unique(hashes).tolist()]
-        pairs.sort()
-        seeds = np.array([h for h, _ in pairs], dtype=np.uint64)
-        self.owner = np.array([k for _, k in pairs], dtype=np.int64)
-        self.seeds, self.begin = np.unique(seeds, return_index=True)
-        self.end = np.r_[self.begin[1:], len(pairs)].astype(np.int64)
+        self.first = np.r_[0, np.cumsum([len(w) for w in words], dtype=np.int64)]
+        self.words = np.concatenate([np.zeros(0, np.uint64), *words])
+        of = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(self.first))
+        hashes, owner = shingle_hashes(self.words, of, len(words), least)
+        long = np.diff(self.first)[owner] >= least
+        hashes, owner = hashes[long], owner[long].astype(np.int32)
+        order = np.lexsort((owner, hashes))
+        hashes, owner = hashes[order], owner[order]
+        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])] if len(hashes) else np.zeros(0, bool)
+        hashes, self.owner = hashes[new], owner[new]
+        self.seeds, self.begin = np.unique(hashes, return_index=True)
+        self.end = np.r_[self.begin[1:], len(hashes)].astype(np.int64)
 
     def matches(self, words: np.ndarray, coverage: float) -> list[tuple[int, float, int, int]]:
         """(item_id, coverage, tiles, words covered) of each item that the text's words cover well enough."""
@@ -133,7 +137,7 @@ class Items:
                 where[k].append(p)
         out = []
         for k, starts in sorted(where.items()):
-            item, text, last = self.words[k], [], -1
+            item, text, last = self.words[self.first[k] : self.first[k + 1]].tolist(), [], -1
             if len(starts) + (self.least - 1) * len(starts) < coverage * len(item):
                 continue  # even disjoint seeds could not cover enough
             for p in starts:  # the stretches under this item's seeds, with a gap that matches nothing between them
@@ -149,13 +153,25 @@ class Items:
         return out
 
 
-def contamination(items: list[tuple[int, str]], coverage: float = COVERAGE, least: int = SEED_WORDS) -> Callable:
+_index: dict[str, Items] = {}
+
+
+def _index_of(name: str, block, least: int) -> Items:
+    """The index that this Python worker keeps: that of the block which it was last asked for."""
+    if name not in _index:
+        _index.clear()
+        _index[name] = Items(*block.value, least)
+    return _index[name]
+
+
+def contamination(spark: SparkSession, items: list[tuple[int, str]], coverage: float = COVERAGE, least: int = SEED_WORDS) -> Callable:
     """A column function from whole texts (not null) to the benchmark items that they cover."""
-    ids, texts = [i for i, _ in items], [t or "" for _, t in items]
+    name = uuid.uuid4().hex
+    block = spark.sparkContext.broadcast(([i for i, _ in items], [t or "" for _, t in items]))
 
     @F.pandas_udf(MATCH)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Items(ids, texts, least)
+        index = _index_of(name, block, least)
         for b in batches:
             out = []
             sizes = np.r_[0, np.cumsum([len(t) for t in b])]
@@ -167,30 +183,36 @@ def contamination(items: list[tuple[int, str]], coverage: float = COVERAGE, leas
     return found
 
 
-def benchmark_blocks(benchmark: DataFrame, block_chars: int = 32_000_000) -> Iterator[list[tuple[int, str]]]:
-    """The items (item_id, text) in blocks of about `block_chars` characters, one in the driver's memory at a time."""
+def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[int, list[tuple[int, str]]]]:
+    """The number of blocks left, and the items (item_id, text) of the next, of about `block_chars` characters: one at a time."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_chars))
     for k in range(blocks):
-        yield [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
+        yield blocks - k - 1, [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, coverage, n_tiles, n_words for each document and item of which it holds at least `coverage`.
 
     Words are runs of letters and digits, in lower case. Items of under five words have no seed and match nothing, nor do null
     and empty texts. Repeated rows give rows each; empty tables give an empty result; other columns are ignored.
     """
     rows, out = text_rows(docs), None
-    for block in benchmark_blocks(benchmark):
-        hits = rows.select("doc_id", F.explode(contamination(block, coverage)("text")).alias("m")).select("doc_id", "m.*")
+    for more, block in benchmark_blocks(benchmark, block_chars):
+        found = contamination(docs.sparkSession, block, coverage)
+        hits = rows.select("doc_id", F.explode(found("text")).alias("m")).select("doc_id", "m.*")
+        if more or out is not None:
+            hits = written(hits)
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of `docs`, with all their columns, that hold no benchmark item; nothing shuffles."""
-    for block in benchmark_blocks(benchmark):
-        docs = docs.where(F.size(contamination(block, coverage)(F.coalesce(docs["text"], F.lit("")))) == 0)
+    for more, block in benchmark_blocks(benchmark, block_chars):
+        found = contamination(docs.sparkSession, block, coverage)
+        docs = docs.where(F.size(found(F.coalesce(docs["text"], F.lit("")))) == 0)
+        if more:
+            docs = written(docs)
     return docs

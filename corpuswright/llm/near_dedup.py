@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import GOLDEN, SHINGLE_WORDS, cut, lowered, mix64, shingle_hashes, sub_batches, text_rows, utf8_buffers, with_ids, without_ids, word_hashes
+from .common import (
+    GOLDEN, SHINGLE_WORDS, cut, first_of_each, join_groups, lowered, mix64, shingle_hashes, sub_batches, text_rows, utf8_buffers, with_ids, without_ids, word_hashes,
+)
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 SMALL = 64
-BLOCK_WORDS = 200_000
+BLOCK_WORDS, BLOCK_ROWS = 200_000, 2000  # so a pair of blocks has a matrix of at most about 4,000 squared numbers
 
 
 def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -189,8 +191,9 @@ def _block_links(threshold: float):
 
 
 def _links_in_blocks(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """a, b: links that join the components of each leader's nodes; its nodes are dealt into blocks of about BLOCK_WORDS."""
-    blocks = F.ceil(F.col("words") / F.lit(BLOCK_WORDS)).cast("int")
+    """a, b: links that join the components of each leader's nodes; its nodes are dealt into blocks of about BLOCK_WORDS or
+    BLOCK_ROWS, whichever is less."""
+    blocks = F.ceil(F.greatest(F.col("words") / F.lit(BLOCK_WORDS), F.col("n") / F.lit(BLOCK_ROWS))).cast("int")
     mine = rows.select("leader", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("mine"))
     dealt = mine.select("leader", "node", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     keyed = dealt.select("leader", "node", "component", F.least("mine", F.col("other")).alias("lo"), F.greatest("mine", F.col("other")).alias("hi"))
@@ -214,7 +217,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     """near_duplicate_classes of rows which all have a doc_id."""
     rows = text_rows(docs)
     signed = cut(rows.mapInPandas(_sign, "doc_id long, bag binary, n_words long, bands array<long>"))
-    nodes = signed.where(F.length("bag") > 0).groupBy("bag").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words"))
+    nodes = signed.where(F.length("bag") > 0).groupBy("bag").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("copies"))
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other")
     stars = banded.join(shared.select("bucket", "leader"), "bucket").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
@@ -244,13 +247,16 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     more = cut(more.unionByName(_links_in_blocks(open_rows.where(F.col("n") > SMALL), texts, threshold)))
     classes = connected_components(near.unionByName(more))
 
-    known = nodes.select("bag", "node").join(classes, "node", "left").select("bag", F.coalesce("component", "node").alias("class_id"))
-    found = signed.where(F.length("bag") > 0).select("doc_id", "bag").join(known, "bag").select("doc_id", "class_id")
+    known = cut(nodes.select("bag", "node", "copies").join(classes, "node", "left").select("bag", "copies", F.coalesce("component", "node").alias("class_id")))
+    told = signed.where(F.length("bag") > 0).select("doc_id", "bag")
+    found = join_groups(told, known, ["bag"], "copies", signed.count()).select("doc_id", "class_id")
     return found.unionByName(signed.where(F.length("bag") == 0).select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, with all their columns, that are the first of their class."""
+    """The rows of `docs`, with all their columns, that are the first of their class; of rows with one doc_id one stays."""
     docs, top = with_ids(docs)
-    kept = _classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_kept_id"))
-    return without_ids(docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi"), top)
+    found = cut(_classes(docs, threshold))
+    gone = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).where("doc_id <> class_id").select("doc_id")
+    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    return without_ids(first_of_each(docs.join(gone, "doc_id", "left_anti").select(*docs.columns), ["doc_id"], twice), top)

@@ -19,16 +19,30 @@ from .common import text_rows
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_WORDS = 600_000
-_cache: dict[str, tuple[int, float]] = {}
+CACHE_LETTERS = 6_000_000  # of the words whose counts a worker keeps
+_cache: dict = {}
+
+
+def known_counts(words: set[str], path: str) -> dict[str, tuple[int, float]]:
+    """The counts that this Python worker keeps, for one model at a time, with those of `words`."""
+    if _cache.get("path") != path:
+        _cache.update(path=path, counts={}, letters=0)
+    known = _cache["counts"]
+    new = words - known.keys()
+    if _cache["letters"] + sum(map(len, new)) > CACHE_LETTERS:
+        known.clear()
+        _cache["letters"], new = 0, words
+    _cache["letters"] += sum(map(len, new))
+    known.update((w[1:], v) for w, v in trie_counts([SPACE + w for w in new], path).items())
+    return known
 
 
 @lru_cache(maxsize=2)
 def unigram_pieces(path: str) -> tuple[dict[str, float], int, float]:
     """Log-probability of each ordinary piece of the vocabulary file, the longest piece, and the log-probability of a byte.
 
-    The file ranks its pieces; the model gives rank r the Zipf probability 1 / (r + 1), normalised. A character that is no
-    piece is spelt in bytes, each as likely as the last rank.
+    Tokenizers are given, not trained, and the file at hand ranks its pieces without probabilities; so rank r has the Zipf
+    probability 1 / (r + 1), normalised. A character that is no piece is spelt in bytes, each as likely as the last rank.
     """
     import sentencepiece
 
@@ -75,7 +89,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_pretokens, n_tokens, log_prob of every whole text; a pre-token is a white-space-delimited word with its mark.
 
     Null and empty texts have zero tokens and log_prob 0. Rows are scored where they lie and nothing shuffles; repeated rows
-    give a row each. A worker's cache of words is emptied when it reaches CACHE_WORDS, which changes time, not results.
+    give a row each. A worker's cache of words is emptied when it reaches CACHE_LETTERS, which changes time, not results.
     """
     path = path or public_tokenizers.path(MODEL)
 
@@ -84,14 +98,10 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids, texts = b["doc_id"].tolist(), b["text"].tolist()
             for lo in range(0, len(texts), 500):
                 split = [t.split() for t in texts[lo : lo + 500]]
-                new = set().union(*split) - _cache.keys()
-                if len(_cache) + len(new) > CACHE_WORDS:
-                    _cache.clear()
-                    new = set().union(*split)
-                _cache.update((w[1:], v) for w, v in trie_counts([SPACE + w for w in new], path).items())
+                known = known_counts(set().union(*split), path)
                 rows = []
                 for doc_id, words in zip(ids[lo : lo + 500], split):
-                    found = list(map(_cache.__getitem__, words))
+                    found = list(map(known.__getitem__, words))
                     rows.append((doc_id, len(words), sum(n for n, _ in found), math.fsum(s for _, s in found)))
                 yield pd.DataFrame(rows, columns=["doc_id", "n_pretokens", "n_tokens", "log_prob"])
 

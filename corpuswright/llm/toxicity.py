@@ -3,7 +3,8 @@
 The gap-weighted subsequence kernel of order ORDER compares a word with a landmark by all their common subsequences, each
 weighted by DECAY to the power of the stretch that it covers, so `idiot` still resembles `id.i0ot` and `i d i o t`. Landmarks
 are the words and word stems of the labelled training texts that speak most for the label. A sentence's kernel row holds the
-best value of any of its words for each landmark; the Nyström map turns rows into features, and a squared-hinge SVM is fitted
+best value of any of its words for each landmark (insults are words: a kernel over the whole sentence would reward subsequences
+that run through many harmless ones); values under LEAST_KERNEL count as none, for landmarks as for words; the Nyström map turns rows into features, and a squared-hinge SVM is fitted
 on labelled sentences: for a toxic text its worst sentence (chosen anew in each round), for a clean one its most insult-like
 ones. A text's score is a logistic regression on the margin of its worst sentence, the summed evidence of its words, and
 that sum for a hundred words, since one chance resemblance weighs less in a long text.
@@ -175,8 +176,9 @@ def words_of(landmarks: list[str]) -> WordRows:
     return _words[key]
 
 
-def _evidence(rows: np.ndarray, total: np.ndarray, n_words: int, weights: np.ndarray) -> tuple[float, float, float]:
-    worst = max(0.0, float((rows @ weights).max())) if len(rows) else 0.0
+def _evidence(rows: np.ndarray, total: np.ndarray, n_words: int, weights: np.ndarray, bias: float) -> tuple[float, float, float]:
+    """The margin of the worst sentence (one that resembles no landmark has the bias), and the words' evidence twice."""
+    worst = (max(0.0, float((rows @ weights).max())) if len(rows) else 0.0) + bias
     sum_ = max(0.0, float(total @ weights))
     return worst, math.log1p(sum_), math.log1p(100 * sum_ / (n_words + 20))
 
@@ -188,20 +190,20 @@ class ToxicityModel:
     landmarks: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     logit: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, 0.0, -1.0]))
+    bias: float = 0.0
 
     def score(self, rows: np.ndarray, total: np.ndarray, n_words: int) -> float:
-        z = float(np.dot(self.logit, (*_evidence(rows, total, n_words, self.weights), 1.0)))
+        z = float(np.dot(self.logit, (*_evidence(rows, total, n_words, self.weights, self.bias), 1.0)))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
 def _nystroem(landmarks: list[str]) -> np.ndarray:
-    codes, _ = _codes(landmarks)
-    n = len(landmarks)
-    left, right = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
-    k = kernel_pairs(codes[left], codes[right]).reshape(n, n)
-    d = np.sqrt(np.maximum(np.diag(k), 1e-30))
-    values, vectors = np.linalg.eigh(k / np.outer(d, d))
-    return (vectors / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+    """The inverse root of the landmarks' own kernel matrix, which is cut off as the rows of words are; directions in which the
+    cut-off kernel has next to no or negative weight are left out."""
+    k = kernel_rows(landmarks, landmarks).astype(float)
+    values, vectors = np.linalg.eigh((k + k.T) / 2)
+    root = np.where(values > 1e-2, 1 / np.sqrt(np.maximum(values, 1e-2)), 0.0)
+    return (vectors * root) @ vectors.T
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -295,7 +297,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 12_000, n_land
                 out.append((int(toxic > 0), top.astype(np.float32).tobytes(), total.astype(np.float32).tobytes(), n_words))
             yield pd.DataFrame(out, columns=["toxic", "rows", "total", "n_words"])
 
-    got = train.mapInPandas(sample, "toxic int, rows binary, total binary, n_words long").orderBy("toxic", "n_words", "rows", "total").collect()
+    got = train.mapInPandas(sample, "toxic int, rows binary, total binary, n_words long").collect()
+    got.sort(key=lambda r: (r["toxic"], r["n_words"], r["rows"], r["total"]))  # sums do not depend on the order of arrival
     matrices = [np.frombuffer(r["rows"], dtype=np.float32).reshape(-1, len(landmarks)).astype(float) for r in got]
     y = np.array([1.0 if r["toxic"] else -1.0 for r in got])
     mapping = _nystroem(landmarks)
@@ -305,18 +308,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 12_000, n_land
     share[-1] = max(1, sum(1 for m, t in zip(matrices, y) if t < 0 and not len(m)))
     toxic = [m for m, t in zip(matrices, y) if t > 0 and len(m)]
     pick = [0] * len(toxic)
-    weights = np.zeros(len(landmarks))
+    weights, bias = np.zeros(len(landmarks)), 0.0
     for _ in range(3):
         if not toxic:
             break
         positive = np.vstack([m[k] for m, k in zip(toxic, pick)]) @ mapping
         sign = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        w, _ = _svm(np.vstack([positive, negative]), sign, np.r_[np.ones(len(positive)), share])
+        w, bias = _svm(np.vstack([positive, negative]), sign, np.r_[np.ones(len(positive)), share])
         weights = mapping @ w
         pick = [int(np.argmax(m @ weights)) for m in toxic]
     totals = [np.frombuffer(r["total"], dtype=np.float32).astype(float) for r in got]
-    x = np.array([_evidence(m, t, r["n_words"], weights) for m, t, r in zip(matrices, totals, got)])
-    return ToxicityModel(landmarks, weights, _logistic(x, y))
+    x = np.array([_evidence(m, t, r["n_words"], weights, bias) for m, t, r in zip(matrices, totals, got)])
+    return ToxicityModel(landmarks, weights, _logistic(x, y), bias)
 
 
 def score_column(model: ToxicityModel) -> Callable:
