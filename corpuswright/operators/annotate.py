@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import Lexicon, TextProfile, fold, hits, mask, negated, split_lines
+from ..functions.text import FIRST_MARK, Lexicon, TextProfile, any_surface, fold, marks_of, mask, named, negated, split_lines
+from .stage import once
 
 
 def lines_of(docs: DataFrame, text: Column, profile: TextProfile) -> DataFrame:
@@ -14,17 +15,34 @@ def lines_of(docs: DataFrame, text: Column, profile: TextProfile) -> DataFrame:
     return docs.select("doc_id", F.posexplode(split_lines(text, profile)).alias("line_no", "line"))
 
 
-def annotate_lines(lines: DataFrame, lexicons: dict[str, Lexicon], profile: TextProfile, negation: str) -> DataFrame:
-    """doc_id, line_no, kind, pos, canon, surface, negated: a row a hit; kinds have masks of their own."""
-    folded = lines.select("doc_id", "line_no", fold(F.col("line"), profile).alias("f"))
+def hits_in(texts: DataFrame, folded: str, lexicons: dict[str, Lexicon], *keep: str) -> DataFrame:
+    """kind, pos (from 0), canon, surface and the columns to keep: a row a hit in the column `folded`; kinds have masks of their
+    own. Texts without a surface leave at once; the others are masked by compiled `replace`, and the place of a kind's k-th mark
+    is the length of what stands before it."""
+    some = texts.where(F.col(folded).rlike(any_surface(*lexicons.values())))
+    masked = some.select(*keep, *(mask(F.col(folded), lexicon).alias(f"_{kind}") for kind, lexicon in lexicons.items()))
 
     def of_kind(kind: str) -> Column:
-        named = lambda h: F.struct(F.lit(kind).alias("kind"), h["pos"].alias("pos"), h["canon"].alias("canon"), h["surface"].alias("surface"))
-        return F.transform(hits(mask(F.col("f"), lexicons[kind]), lexicons[kind]), named)
+        marks = F.regexp_extract_all(f"_{kind}", F.lit(marks_of(lexicons[kind])), F.lit(0))
+        return F.transform(marks, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("k"), x.alias("mark")))
+
+    found = masked.select("*", F.explode(F.concat(*map(of_kind, lexicons))).alias("_h"))
+    one = chr(FIRST_MARK)
+    pos, canon, surface = F.lit(0), F.lit(""), F.lit("")
+    for kind, lexicon in lexicons.items():
+        own = F.col("_h.kind") == kind
+        before = F.call_function("substring_index", F.regexp_replace(f"_{kind}", marks_of(lexicon), one), F.lit(one), F.col("_h.k") + 1)
+        c, s = named(F.col("_h.mark"), lexicon)
+        pos, canon, surface = (F.when(own, x).otherwise(y) for x, y in ((F.length(before), pos), (c, canon), (s, surface)))
+    return found.select(*keep, F.col("_h.kind").alias("kind"), pos.cast("long").alias("pos"), canon.alias("canon"), surface.alias("surface"))
 
-    every = F.concat(*map(of_kind, lexicons))
-    found = folded.select("doc_id", "line_no", "f", F.explode(every).alias("h"))
-    return found.select("doc_id", "line_no", "h.kind", F.col("h.pos").cast("long").alias("pos"), "h.canon", "h.surface", negated(F.col("f"), F.col("h.pos"), negation).alias("negated"))
+
+def annotate_lines(lines: DataFrame, lexicons: dict[str, Lexicon], profile: TextProfile, negation: str) -> DataFrame:
+    """doc_id, line_no, kind, pos, canon, surface, negated: a row a hit. Hits are few and narrow, and what is built on them reads
+    them more than once, so they are materialised."""
+    folded = lines.select("doc_id", "line_no", fold(F.col("line"), profile).alias("f"))
+    found = hits_in(folded, "f", lexicons, "doc_id", "line_no", "f")
+    return once(found.select("doc_id", "line_no", "kind", "pos", "canon", "surface", negated(F.col("f"), F.col("pos").cast("int"), negation).alias("negated")))
 
 
 def roll_up(found: DataFrame) -> DataFrame:

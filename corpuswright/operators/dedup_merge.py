@@ -1,53 +1,62 @@
 """Merging of one work's records from several collections.
 
-Records meet by a key (folded author and the first content characters). In order of arrival, a record whose body is a prefix
-of the kept one's, or has it as a prefix, merges with it: the longer text wins, tags and origins are united in order. Others
-are kept apart if their secondary key (key, longer prefix, length) is new. Short bodies never merge.
+Records of one author whose bodies are the same, or of which one is a prefix of the other (an excerpt and the whole), are one
+work, whose text is the longest. Prefixes stand directly before what continues them when bodies are sorted, so a family is a run
+of sorted bodies in which each is a prefix of the next: one range-partitioned sort finds all, without a group that could grow.
+Of works that share author, first SECOND_HEAD characters and length without being a family the first stays (variants of one
+text). Bodies under LEAST_BODY characters never merge, and prefixes only from HEAD characters on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .stage import once
 
 LEAST_BODY, HEAD, SECOND_HEAD = 8, 12, 24  # fixed values
 
 
+def with_family(texts: DataFrame) -> DataFrame:
+    """Adds `top`, the last of the run of prefixes that a body begins or continues, to distinct (author, body) rows.
+
+    The sort is by ranges, so no author and no common head is one task's. What partitions need of each other, the first row of
+    the next one and the end of a run that crosses over, is a row a partition.
+    """
+    parts = once(texts.repartitionByRange("author", "body").withColumn("_part", F.spark_partition_id()))
+    forward = Window.partitionBy("_part").orderBy("author", "body")
+    back = Window.partitionBy("_part").orderBy(F.desc("author"), F.desc("body")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.orderBy("_part")  # a row a partition
+    row = F.struct("author", "body")
+    first = parts.groupBy("_part").agg(F.min(row).alias("_first")).select("_part", F.lead("_first").over(later).alias("_beyond"))
+    told = parts.join(F.broadcast(first), "_part").withColumn("_next", F.coalesce(F.lead(row).over(forward), F.col("_beyond")))
+    goes_on = F.coalesce((F.col("_next.author") == F.col("author")) & F.startswith("_next.body", F.col("body")), F.lit(False))
+    told = once(told.withColumn("_end", F.when(~goes_on, F.col("body"))))
+    ends = told.where(F.col("_end").isNotNull()).groupBy("_part").agg(F.min(row).alias("_e"))
+    every = first.select("_part").join(ends, "_part", "left")
+    ahead = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select("_part", F.last("_e.body", ignorenulls=True).over(ahead).alias("_carried"))
+    run = F.coalesce(F.last("_end", ignorenulls=True).over(back), F.col("_carried"))
+    return told.join(F.broadcast(carried), "_part").withColumn("top", run).drop("_part", "_beyond", "_next", "_end", "_carried")
+
+
 def merge_collections(records: DataFrame) -> DataFrame:
-    """ord, key_owner, body, n_merged, origins for each surviving record of `records` (ord, author, body, origin).
+    """ord, author, body, n_merged, origins for each surviving work of `records` (ord, author, body, origin).
 
-    A group is the records that share an author and a head of HEAD characters; identical bodies in it are pre-aggregated, so
-    a text that a third of all records hold is one element of the fold.
+    Null authors and bodies are empty. Equal bodies are pre-aggregated, so a text that a third of all records hold is one row.
     """
-    keyed = records.select("ord", "origin", F.coalesce("author", F.lit("")).alias("author"), F.coalesce("body", F.lit("")).alias("body"))
-    keyed = keyed.withColumn("head", F.substring("body", 1, HEAD))
-    same = keyed.groupBy("author", "head", "body").agg(
-        F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.struct("origin"))).alias("origins")
-    )
-    short = same.where(F.length("body") < LEAST_BODY)
-    groups = (
-        same.where(F.length("body") >= LEAST_BODY).groupBy("author", "head")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "body", "n", "origins"))).alias("rows"))
-    )
-
-    def family(kept: Column, row: Column) -> Column:
-        return F.startswith(kept["body"], row["body"]) | F.startswith(row["body"], kept["body"])
-
-    def step(acc: Column, row: Column) -> Column:
-        """Merge into the first kept record of the family, else append."""
-        hit = F.exists(acc, lambda k: family(k, row))
-        first = F.array_min(F.transform(F.filter(acc, lambda k: family(k, row)), lambda k: k["ord"]))
-
-        def merged(k: Column) -> Column:
-            body = F.when(F.length(row["body"]) > F.length(k["body"]), row["body"]).otherwise(k["body"])
-            return F.struct(k["ord"].alias("ord"), body.alias("body"), (k["n"] + row["n"]).alias("n"), F.array_union(k["origins"], row["origins"]).alias("origins"))
-
-        joined = F.transform(acc, lambda k: F.when(k["ord"] == first, merged(k)).otherwise(k))
-        return F.when(hit, joined).otherwise(F.concat(acc, F.array(row)))
-
-    start = F.slice("rows", 1, 1)
-    folded = groups.select("author", F.explode(F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), start, step)).alias("r")).select("author", "r.*")
-    alone = short.select("author", "ord", "body", "n", "origins")
-    return folded.unionByName(alone).select(
-        "ord", "author", "body", F.col("n").alias("n_merged"), F.array_join(F.transform("origins", lambda o: o["origin"]), ",").alias("origins")
-    )
+    known = records.select("ord", "origin", F.coalesce("author", F.lit("")).alias("author"), F.coalesce("body", F.lit("")).alias("body"))
+    short = known.where(F.length("body") < LEAST_BODY).select("ord", "author", "body", F.lit(1).cast("long").alias("n"), F.array("origin").alias("origins"))
+    same = known.where(F.length("body") >= LEAST_BODY).groupBy("author", "body").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"), F.collect_set("origin").alias("origins"))
+    same = once(same)
+    long = same.where(F.length("body") >= HEAD)
+    family = with_family(long.select("author", "body")).select("author", "body", "top")
+    merged = long.join(family, ["author", "body"]).groupBy("author", "top").agg(
+        F.min("ord").alias("ord"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("origins"))).alias("origins")
+    ).select("ord", "author", F.col("top").alias("body"), "n", "origins")
+    middle = same.where(F.length("body") < HEAD).select("ord", "author", "body", "n", "origins")
+    variant = [F.col("author"), F.left("body", F.lit(SECOND_HEAD)), F.length("body")]
+    stays = once(merged.unionByName(middle))
+    first = stays.groupBy(*(c.alias(f"k{i}") for i, c in enumerate(variant))).agg(F.min("ord").alias("ord")).select("ord")
+    return stays.join(first, "ord").unionByName(short).select("ord", "author", "body", F.col("n").alias("n_merged"), F.array_join(F.array_sort("origins"), ",").alias("origins"))

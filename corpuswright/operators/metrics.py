@@ -45,9 +45,9 @@ def resolve_genre(explicit: Column, tags: Column, known: list[str], form: Column
     return F.coalesce(F.when(F.trim(explicit) != "", F.trim(explicit)), F.when(F.size(tagged) > 0, F.element_at(tagged, 1)), form)
 
 
-def describe(lines: Column, profile: TextProfile) -> list[Column]:
-    counts = line_counts(lines, profile)
+def describe(counts: Column) -> list[Column]:
+    """n_lines, n_chars, whether lines are even, and their pattern, from the stored counts."""
     return [
-        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).alias("n_chars"),
-        (F.size(lines) > 0) & is_uniform(counts), char_pattern(counts).alias("pattern"),
+        F.size(counts).cast("long").alias("n_lines"), F.coalesce(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).alias("n_chars"),
+        (F.size(counts) > 0) & is_uniform(counts), char_pattern(counts).alias("pattern"),
     ]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import TextProfile, tokens
+from ..functions.text import TextProfile, fold, n_tokens, tokens
+from .stage import once
 
 K1, B = 1.5, 0.75  # fixed values of the ranking function
 
@@ -26,12 +28,25 @@ class TextIndex:
 def build_index(docs: DataFrame, text: Column, profile: TextProfile) -> TextIndex:
     """Tokens are counted where they lie before the (doc_id, term) shuffle; the constants are one row."""
     split = docs.select("doc_id", tokens(text, profile).alias("tokens"))
-    lengths = split.select("doc_id", F.size("tokens").cast("long").alias("dl"))
+    lengths = once(docs.select("doc_id", (F.size(tokens(text, profile)).cast("long") if profile.bigrams else n_tokens(text, profile)).alias("dl")))
     postings = split.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     one = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("a")).first()
     return TextIndex(postings, lengths, one["n"], one["a"] or 1.0)
 
 
+def index_terms(docs: DataFrame, text: Column, profile: TextProfile, terms: list[str]) -> TextIndex:
+    """The same with the postings of some terms only, for a single query: one pass over the texts, which extracts just these
+    words and counts the others, and leaves a narrow row a document that everything after it reads."""
+    wanted = "|".join(sorted({re.escape(t) for t in terms}, key=lambda t: (-len(t), t)))
+    edge = profile.token.removesuffix("+")
+    folded = fold(text, profile)
+    found = F.regexp_extract_all(folded, F.lit(f"(?<!{edge})(?:{wanted})(?!{edge})"), F.lit(0))
+    counted = once(docs.select("doc_id", n_tokens(text, profile).alias("dl"), found.alias("found")))
+    postings = counted.select("doc_id", F.explode("found").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    one = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("a")).first()
+    return TextIndex(postings, counted.select("doc_id", "dl"), one["n"], one["a"] or 1.0)
+
+
 def _weight(index: TextIndex) -> Column:
     idf = F.log(1 + (index.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.avg_length))

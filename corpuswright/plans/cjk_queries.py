@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import CJK_PROFILE, Lexicon, TextProfile, char_pattern, content, hits, mask, negated, split_lines, tokens
-from ..operators import metrics, prosody, verify
+from ..functions.text import CJK_PROFILE, Lexicon, TextProfile, char_pattern, content, negated, split_lines, tokens
+from ..operators import annotate, metrics, prosody, verify
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -80,13 +80,10 @@ def _hits_sql(kind: str, lexicon: Lexicon) -> str:
            kind = 'image' AND canon = '月' AND regexp_matches(left(f, pos), '{MONTH}') AS month FROM h""")
 def cjk_annotate(spark, sf_dir):
     folded = _poems(spark).where("text <> ''").withColumn("f", F.translate("text", FOLD_FROM, FOLD_TO))
-    parts = []
-    for kind, lexicon in (("image", IMAGES), ("feeling", FEELINGS)):
-        marked = folded.withColumn("m", mask(F.col("f"), lexicon))
-        parts.append(marked.select("poem_id", "f", F.lit(kind).alias("kind"), F.explode(hits(F.col("m"), lexicon)).alias("h")))
-    every = parts[0].unionByName(parts[1])
-    month = (F.col("kind") == "image") & (F.col("h.canon") == "月") & F.substring(F.col("f"), F.lit(1), F.col("h.pos")).rlike(MONTH)
-    return every.select("poem_id", "kind", F.col("h.pos").cast("long").alias("pos"), "h.canon", negated(F.col("f"), F.col("h.pos"), NEGATION).alias("negated"), month.alias("month"))
+    every = annotate.hits_in(folded, "f", {"image": IMAGES, "feeling": FEELINGS}, "poem_id", "f")
+    pos = F.col("pos").cast("int")
+    month = (F.col("kind") == "image") & (F.col("canon") == "月") & F.substring(F.col("f"), F.lit(1), pos).rlike(MONTH)
+    return every.select("poem_id", "kind", "pos", "canon", negated(F.col("f"), pos, NEGATION).alias("negated"), month.alias("month"))
 
 
 ANSWERS = [
@@ -130,16 +127,16 @@ def cjk_line_tones(spark, sf_dir):
     return _verse_tones(spark)
 
 
-_TEMPLATES = "template(n_chars, n_lines, k, name, line_no, want) AS (VALUES " + ", ".join(
-    f"({c}, {n}, {k}, '{name}', {i}, '{line}')" for c in (5, 7) for n in (4, 8) for k, name in enumerate(prosody.OPENINGS) for i, line in enumerate(prosody.template(name, c, n))
-) + ")"
+_TEMPLATES = "template(n_chars, n_lines, k, name, line_no, j, want) AS (VALUES " + ", ".join(
+    f"({c}, {n}, {k}, '{name}', {i}, {j}, '{tone}')"
+    for c in (5, 7) for n in (4, 8) for k, name in enumerate(prosody.OPENINGS) for i, line in enumerate(prosody.template(name, c, n)) for j, tone in line.items()
+) + ")"
 
 
 @_register(f"""WITH {_TONES}, {_TEMPLATES}, shape AS (SELECT poem_id, count(*) AS n_lines, min(length(tones)) AS n_chars, max(length(tones)) AS top FROM tones GROUP BY 1),
     rhymes AS (SELECT poem_id, bool_or(first_rhymes) AS r FROM verse GROUP BY 1),
-    off AS (SELECT s.poem_id, t.k, t.name, count(*) FILTER (WHERE substr(tones, j, 1) IN ('平', '仄') AND substr(tones, j, 1) <> substr(want, j, 1)) AS off
-      FROM shape s JOIN template t ON t.n_lines = s.n_lines AND t.n_chars = s.n_chars AND s.top = s.n_chars JOIN tones o ON o.poem_id = s.poem_id AND o.line_no = t.line_no,
-           unnest(CASE WHEN s.n_chars = 7 THEN [2, 4, 6, 7] ELSE [2, 4, 5] END) AS g(j) GROUP BY 1, 2, 3),
+    off AS (SELECT s.poem_id, t.k, t.name, count(*) FILTER (WHERE substr(tones, j, 1) IN ('平', '仄') AND substr(tones, j, 1) <> want) AS off
+      FROM shape s JOIN template t ON t.n_lines = s.n_lines AND t.n_chars = s.n_chars AND s.top = s.n_chars JOIN tones o ON o.poem_id = s.poem_id AND o.line_no = t.line_no GROUP BY 1, 2, 3),
     ranked AS (SELECT poem_id, name, off, row_number() OVER (PARTITION BY poem_id ORDER BY off + CASE WHEN coalesce(r, false) AND contains(name, '不入韵') THEN 2 ELSE 0 END, k) AS place FROM off JOIN rhymes USING (poem_id))
     SELECT poem_id, name AS best_fit, off AS deviations FROM shape LEFT JOIN (SELECT * FROM ranked WHERE place = 1) USING (poem_id)""")
 def cjk_template_match(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions.text import LATIN, contains_verbatim, dice, pairs_of, split_lin
 from ..operators import annotate, intertext, metrics, retrieve, review
 from ..operators.components import connected_components
 from ..operators.dedup_merge import merge_collections
+from ..sources import corpus
 from .lexicons import FEELINGS, IMAGES, LEXICONS, NEGATION
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,21 +63,21 @@ TERMS = ["thanea", "ering", "mente", "schen"]
 @_register(f"""WITH {_bm25(TERMS)}
     SELECT doc_id, round(score, 4) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 20""")
 def search_bm25(spark, sf_dir):
-    return retrieve.search(retrieve.build_index(_docs(spark, sf_dir), F.col("text"), LATIN), TERMS, 20)
+    return retrieve.search(retrieve.index_terms(_docs(spark, sf_dir), F.col("text"), LATIN, TERMS), TERMS, 20)
 
 
 @_register(f"""WITH {_bm25(TERMS, "WHERE lang = 'en'")}
     SELECT doc_id, round(score, 4) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 20""")
 def search_bm25_filtered(spark, sf_dir):
     docs = _docs(spark, sf_dir).where(F.col("lang") == "en")  # before ranking: the filter reaches the scan
-    return retrieve.search(retrieve.build_index(docs, F.col("text"), LATIN), TERMS, 20)
+    return retrieve.search(retrieve.index_terms(docs, F.col("text"), LATIN, TERMS), TERMS, 20)
 
 
 @_register(f"""WITH {_bm25(TERMS)}, pool AS (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 40)
     SELECT doc_id, round(score, 4) AS score, lang FROM pool JOIN documents USING (doc_id) WHERE lang = 'fr' ORDER BY score DESC, doc_id LIMIT 8""")
 def search_pool_then_filter(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    pool = retrieve.score(retrieve.build_index(docs, F.col("text"), LATIN), TERMS).orderBy(F.desc("score"), "doc_id").limit(40)
+    pool = retrieve.score(retrieve.index_terms(docs, F.col("text"), LATIN, TERMS), TERMS).orderBy(F.desc("score"), "doc_id").limit(40)
     hits = docs.select("doc_id", "lang").join(F.broadcast(pool), "doc_id").where(F.col("lang") == "fr")  # at most 40 rows
     return hits.orderBy(F.desc("score"), "doc_id").limit(8).select("doc_id", F.round("score", 4).alias("score"), "lang")
 
@@ -88,7 +90,7 @@ def search_pool_then_filter(spark, sf_dir):
     SELECT doc_id, round(value, 4) AS value, pool_rank FROM k WHERE nth = 1 ORDER BY value DESC, pool_rank LIMIT 8""")
 def search_rerank(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    pool = retrieve.score(retrieve.build_index(docs, F.col("text"), LATIN), TERMS).orderBy(F.desc("score"), "doc_id").limit(40)
+    pool = retrieve.score(retrieve.index_terms(docs, F.col("text"), LATIN, TERMS), TERMS).orderBy(F.desc("score"), "doc_id").limit(40)
     one = Window.orderBy(F.desc("score"), "doc_id")  # over the pool's 40 rows
     pool = pool.withColumn("pool_rank", F.row_number().over(one).cast("long")).withColumn("top", F.max("score").over(Window.partitionBy(F.lit(1))))
     covered = sum((F.contains(F.lower("text"), F.lit(t)).cast("int") for t in TERMS), F.lit(0)) / 4.0
@@ -139,22 +141,42 @@ def manifest_source_counts(spark, sf_dir):
 
 @_register(None)
 def file_fingerprints(spark, sf_dir):
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/nation.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
+    """Name, size and digest of every file of every table."""
+    return corpus.manifest(spark, sf_dir, "*.parquet")
 
 
-@_register("""WITH b AS (SELECT DISTINCT lang AS author, text AS body FROM documents),
-    k AS (SELECT lang AS author, text AS body, min(doc_id) AS ord, count(*) AS n, list_sort(list(DISTINCT source)) AS origins FROM documents GROUP BY 1, 2)
-    SELECT ord, author, n AS n_merged, array_to_string(origins, ',') AS origins, CAST(length(body) AS BIGINT) AS n_chars FROM k x
-    WHERE length(body) < 8 OR NOT EXISTS (SELECT 1 FROM k y WHERE y.author = x.author AND left(y.body, 12) = left(x.body, 12) AND y.body <> x.body
-          AND length(y.body) >= 8 AND (starts_with(y.body, x.body) OR starts_with(x.body, y.body)))""")
-def corpus_dedup_survivors(spark, sf_dir):
-    """Works whose merge needed no prefix: the survivors with one body."""
+KEYS = {
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey",
+    "events": "props", "documents": "text", "embeddings": "vec_id", "pages": "html", "benchmark": "text", "labels": "doc_id", "conversations": "text",
+}
+
+
+@_register(" UNION ALL ".join(f"""SELECT '{t}' AS name, count(*) AS n_rows, CAST(sum(CAST('0x' || left(md5(CAST({c} AS VARCHAR)), 8) AS BIGINT)) AS BIGINT) AS checksum FROM {t}""" for t, c in KEYS.items()))
+def table_fingerprints(spark, sf_dir):
+    """Rows and an order-free checksum of the key or text of every table: whether two corpora hold the same."""
+    parts = [
+        _table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.conv(F.left(F.md5(F.col(c).cast("string")), F.lit(8)), 16, 10).cast("long")).alias("checksum"))
+        .select(F.lit(t).alias("name"), "n_rows", "checksum") for t, c in KEYS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_MERGED = """WITH r AS (SELECT doc_id AS ord, lang AS author, coalesce(text, '') AS body, source AS origin FROM documents),
+    same AS (SELECT author, body, min(ord) AS ord, count(*) AS n, list(DISTINCT origin) AS origins FROM r WHERE length(body) >= 8 GROUP BY 1, 2),
+    l AS (SELECT *, lead(body) OVER (PARTITION BY author ORDER BY body) AS nb FROM same WHERE length(body) >= 12),
+    e AS (SELECT *, CASE WHEN nb IS NULL OR NOT starts_with(nb, body) THEN body END AS fin FROM l),
+    i AS (SELECT *, first_value(fin IGNORE NULLS) OVER (PARTITION BY author ORDER BY body ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS top FROM e),
+    m AS (SELECT min(ord) AS ord, author, top AS body, sum(n) AS n, list_sort(list_distinct(flatten(list(origins)))) AS origins FROM i GROUP BY author, top
+          UNION ALL SELECT ord, author, body, n, list_sort(origins) FROM same WHERE length(body) < 12),
+    k AS (SELECT *, row_number() OVER (PARTITION BY author, left(body, 24), length(body) ORDER BY ord) AS nth FROM m)"""
+
+
+@_register(f"""{_MERGED} SELECT ord, author, CAST(n AS BIGINT) AS n_merged, array_to_string(origins, ',') AS origins, CAST(length(body) AS BIGINT) AS n_chars, sha256(body) AS sha256 FROM k WHERE nth = 1
+    UNION ALL SELECT ord, author, 1, origin, CAST(length(body) AS BIGINT), sha256(body) FROM r WHERE length(body) < 8""")
+def corpus_dedup_merged(spark, sf_dir):
+    """All works after the merge, with the records that each has taken in."""
     records = _docs(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.col("lang").alias("author"), F.col("text").alias("body"), F.col("source").alias("origin"))
-    merged = merge_collections(records)
-    return merged.join(
-        records.groupBy("author", "body").agg(F.count(F.lit(1)).alias("n_merged")), ["author", "body", "n_merged"], "left_semi"
-    ).select("ord", "author", "n_merged", "origins", F.length("body").cast("long").alias("n_chars"))
+    return merge_collections(records).select("ord", "author", "n_merged", "origins", F.length("body").cast("long").alias("n_chars"), F.sha2("body", 256).alias("sha256"))
 
 
 @_register("""SELECT doc_id, item_id FROM documents d JOIN benchmark b
@@ -193,8 +215,8 @@ _FORM = """CASE WHEN len(c) = 0 THEN '未详' WHEN len(list_distinct(c)) = 1 AND
            array_to_string(c, '-') AS pattern, {_FORM} AS form FROM t""")
 def form_metrics(spark, sf_dir):
     lines = _docs(spark, sf_dir).select("doc_id", split_lines(F.col("text"), LATIN).alias("lines"))
-    counted = lines.withColumn("c", metrics.line_counts(F.col("lines"), LATIN))
-    n_lines, n_chars, uniform, pattern = metrics.describe(F.col("lines"), LATIN)
+    counted = lines.select("doc_id", metrics.line_counts(F.col("lines"), LATIN).alias("c"))
+    n_lines, n_chars, uniform, pattern = metrics.describe(F.col("c"))
     return counted.select("doc_id", n_lines, n_chars, uniform.alias("uniform"), pattern, metrics.detect_form(F.col("c")).alias("form"))
 
 
@@ -296,7 +318,7 @@ def rules_extract(spark, sf_dir):
 
 @_register(f"""{_RULES}, lang_of AS (SELECT doc_id, lang FROM documents)
     SELECT image, feeling, count(*) AS support, count(*) FILTER (WHERE strength = 0) AS same_line, count(DISTINCT doc_id) AS n_docs, count(DISTINCT lang) AS n_langs,
-           round(least(0.95, 0.6 + 0.02 * count(*)), 4) AS score, CASE WHEN count(*) >= 8 THEN 'gold' WHEN count(*) >= 3 THEN 'silver' ELSE 'bronze' END AS level
+           round(CAST(least(0.95, 0.6 + 0.02 * count(*)) AS DOUBLE), 4) AS score, CASE WHEN count(*) >= 8 THEN 'gold' WHEN count(*) >= 3 THEN 'silver' ELSE 'bronze' END AS level
     FROM rules JOIN lang_of USING (doc_id) GROUP BY 1, 2""")
 def term_profiles(spark, sf_dir):
     rules = annotate.image_feeling_rules(_annotated(spark, sf_dir)).join(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")

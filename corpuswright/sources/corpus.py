@@ -120,7 +120,7 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """file, sha256 and n_bytes of each file under a path."""
-    files = spark.read.format("binaryFile").load(path)
+def manifest(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """file, sha256 and n_bytes of each file under a path, and under its folders, whose name fits."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", True).load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))

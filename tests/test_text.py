@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from corpuswright.functions import text as T
 from corpuswright.operators import metrics
+from corpuswright.operators.annotate import hits_in
 from corpuswright.operators.components import connected_components
-from corpuswright.operators.dedup_merge import merge_collections
+from corpuswright.operators.dedup_merge import merge_collections, with_family
 from corpuswright.operators.review import consensus, release
 
 
@@ -55,10 +56,12 @@ def test_mask_is_longest_first_and_not_leftmost(spark):
     lexicon = T.Lexicon((("A", ("ab", "bcd")), ("B", ("b", "dd", "cdab"))))
     rnd = random.Random(3)
     texts = ["".join(rnd.choices("abcd", k=rnd.randrange(0, 14))) for _ in range(300)]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("m", T.mask(F.col("t"), lexicon))
-    got = {r.t: [tuple(h) for h in r.h] for r in df.select("t", T.hits(F.col("m"), lexicon).alias("h")).collect()}
+    df = spark.createDataFrame([(t,) for t in set(texts)], "t string")
+    got = {}
+    for r in hits_in(df, "t", {"x": lexicon}, "t").collect():
+        got.setdefault(r.t, []).append((r.pos, r.canon, r.surface))
     for t in texts:
-        assert got[t] == plain_hits(t, lexicon.ranked()), t
+        assert sorted(got.get(t, [])) == plain_hits(t, lexicon.ranked()), t
 
 
 def test_negation_looks_back_three_characters(spark):
@@ -86,9 +89,27 @@ def test_worked_scores(spark, strength, n, conf, external, want, level):
 
 
 def test_merge_by_prefix(spark):
-    rows = [(1, "a", "0123456789abcdefgh", "x"), (2, "a", "0123456789abcdefghijkl", "y"), (3, "a", "0123456789ab-other", "z"), (4, "b", "0123456789abcdefgh", "x"), (5, "a", "short", "x"), (6, "a", "shorter", "x")]
+    rows = [
+        (1, "a", "0123456789abcdefgh", "x"), (2, "a", "0123456789abcdefghijkl", "y"), (3, "a", "0123456789ab-other", "z"), (4, "b", "0123456789abcdefgh", "x"), (5, "a", "short", "x"), (6, "a", "short", "x"),
+        (7, "a", "0123456789abcdefghijkl", "x"), (8, "a", "a variant of one text, first", "x"), (9, "a", "a variant of one text, fi!st", "x"), (10, None, None, "x"), (11, "a", "9 letters", "x"), (12, "a", "9 letters and more", "x"),
+    ]
     got = {r.ord: (r.body, r.n_merged, r.origins) for r in merge_collections(spark.createDataFrame(rows, "ord long, author string, body string, origin string")).collect()}
-    assert set(got) == {1, 3, 4, 5, 6} and got[1] == ("0123456789abcdefghijkl", 2, "x,y")
+    assert got[1] == ("0123456789abcdefghijkl", 3, "x,y") and set(got) == {1, 3, 4, 5, 6, 8, 10, 11, 12}
+
+
+@pytest.mark.parametrize("partitions", ["1", "7", "40"])
+def test_families_across_partitions(spark, partitions):
+    rnd = random.Random(6)
+    bodies = sorted({"".join(rnd.choices("ab", k=rnd.randrange(12, 30))) for _ in range(300)} | {"x" * k for k in range(12, 60)})
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.body: r.top for r in with_family(spark.createDataFrame([("a", b) for b in bodies], "author string, body string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    top = None
+    for b, after in reversed(list(zip(bodies, bodies[1:] + [None]))):
+        top = top if after and after.startswith(b) else b
+        assert got[b] == top
 
 
 def test_components(spark):
