@@ -13,6 +13,7 @@ from ..functions.text import LATIN, contains_verbatim, dice, pairs_of, split_lin
 from ..operators import annotate, intertext, metrics, retrieve, review
 from ..operators.components import connected_components
 from ..operators.dedup_merge import merge_collections
+from ..operators.profiles import modal_profiles
 from ..sources import corpus
 from .lexicons import FEELINGS, IMAGES, LEXICONS, NEGATION
 
@@ -474,22 +475,10 @@ def intertext_pairs(spark, sf_dir):
     r AS (SELECT *, sum(n) OVER (PARTITION BY l_suppkey) AS total, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, p_brand) AS k FROM c)
     SELECT l_suppkey, p_brand AS mode, n AS mode_n, CAST(total AS BIGINT) AS n, round(n / total, 4) AS consistency FROM r WHERE k = 1""")
 def modal_brand(spark, sf_dir):
-    """The mode of a group with its consistency, ties by name: the tune-profile operator on suppliers."""
+    """The tune profile on suppliers: the mode of their parts' brands."""
     part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    counts = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").join(part, "l_partkey").groupBy("l_suppkey", "p_brand").agg(F.count(F.lit(1)).alias("k"))
-    best = counts.groupBy("l_suppkey").agg(F.min_by("p_brand", F.struct(-F.col("k"), "p_brand")).alias("mode"), F.max("k").alias("mode_n"), F.sum("k").alias("n"))
-    return best.withColumn("consistency", F.round(F.col("mode_n") / F.col("n"), 4))
-
-
-@_register("""WITH c AS (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 5), o AS (SELECT * FROM orders JOIN c USING (o_custkey))
-    SELECT n_name AS nation, count(*) AS n_orders, count(DISTINCT o_custkey) AS n_customers, round(sum(o_totalprice) / count(*), 2) AS mean_price
-    FROM o JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""")
-def author_profile(spark, sf_dir):
-    """Groups with at least five members, profiled by a dimension: the author-profile operator on customers."""
-    orders = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")).where("n >= 5")
-    who = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
-    joined = orders.join(who, "o_custkey").join(_table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation")), "n_nationkey")
-    return joined.groupBy("nation").agg(F.sum("n").alias("n_orders"), F.count(F.lit(1)).alias("n_customers"), F.round(F.sum("total") / F.sum("n"), 2).alias("mean_price"))
+    sold = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").join(part, "l_partkey")
+    return modal_profiles(sold, "l_suppkey", "p_brand", least=1).drop("level")
 
 
 @_register("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
