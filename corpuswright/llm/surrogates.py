@@ -59,7 +59,9 @@ PATTERNS = {
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: The same, and every other word with a capital: read only in texts that have a name.
 LOOSE = rf"{ALL}|(?:(?<![\p{{L}}\p{{M}}\p{{N}}'’])(?=\p{{Lu}}){_WORD})"
-MAYBE = rf"@|[0-9]{{3}}|[0-9]{{2}}[ .\-][0-9]{{2}}|[0-9]\.[0-9]|[0-9A-Fa-f]?:[0-9A-Fa-f]{{0,4}}:|(?<![\p{{L}}\p{{N}}])(?:{_TITLES})[. ]|{_CUED}"
+_HEADS = "".join(sorted({t[0] for t in _TITLES.split("|")}))
+#: What every match has a part of, tried only where its first character stands.
+MAYBE = rf"(?=[0-9:@{_HEADS}])(?:@|[0-9](?:[0-9][0-9]|[0-9]?[ .\-][0-9])|:[0-9A-Fa-f]{{0,4}}:|(?<![\p{{L}}\p{{N}}])(?:{_TITLES})[. ])"
 #: The country calling codes of one and two digits; all others have three.
 _COUNTRY = r"1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 _FIRST = {
@@ -252,7 +254,10 @@ def assign_surrogates(entities: DataFrame, key: str, rounds: int = 64) -> DataFr
 def _mentions() -> Column:
     """What the pattern finds in a text, in order."""
     none = F.array().cast("array<string>")
-    return F.when(F.col("text").rlike(MAYBE), F.regexp_extract_all(F.col("text"), F.lit(ALL), F.lit(0))).otherwise(none)
+    maybe = F.col("text").rlike(MAYBE)
+    for cue in _CUES:
+        maybe = maybe | F.contains("text", F.lit(cue))
+    return F.when(maybe, F.regexp_extract_all(F.col("text"), F.lit(ALL), F.lit(0))).otherwise(none)
 
 
 def _parts(kind: Column, value: Column, sure: Column) -> Column:
