@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 #: Fixed values of the score and of the release levels.
 RELEASE = ((0.90, "gold"), (0.78, "silver"), (0.62, "bronze"))
 LEAST_SPAN, BROAD_CHARS, BROAD_SHARE = 3, 120, 0.9
+LITERAL = ("form", "rhyme", "annotation")
 STAGES = ("schema", "evidence", "semantics", "critic", "repair", "release")
 
 
@@ -47,15 +48,20 @@ def _hard(flags: str) -> Column:
 
 
 def consensus(rules: DataFrame) -> DataFrame:
-    """score: evidence .50; semantics .12 or .06; critic .16 or .08; strength .08, .05; conditions up to .06; confidence .04."""
+    """score: evidence .50; semantics .12 or .06; critic .16 or .08; strength .08, .05, .02 (literal types .08); conditions up to
+    .06; confidence .04; an outside analysis costs .06."""
+    typed = "rule_type" in rules.columns
+    literal = F.col("rule_type").isin(*LITERAL) if typed else F.lit(False)
+    outside = F.when(F.col("evidence_type") == "external_analysis", 0.06).otherwise(0.0) if typed else F.lit(0.0)
     warned = lambda c: F.size(c) > 0
     raw = (
         F.when(F.size("f_evidence") == 0, 0.50).otherwise(0.0)
         + F.when(_hard("f_semantics"), 0.0).when(warned("f_semantics"), 0.06).otherwise(0.12)
         + F.when(_hard("f_critic"), 0.0).when(warned("f_critic"), 0.08).otherwise(0.16)
-        + F.when(F.col("strength") == 0, 0.08).when(F.col("strength") == 1, 0.05).otherwise(0.02)
+        + F.when(literal | (F.col("strength") == 0), 0.08).when(F.col("strength") == 1, 0.05).when(F.col("strength") == 2, 0.02).otherwise(0.0)
         + F.least(F.lit(0.06), 0.02 * F.col("n_conditions"))
-        + 0.04 * F.col("model_confidence")
+        + 0.04 * F.least(F.lit(1.0), F.col("model_confidence"))
+        - outside
     )
     capped = F.when(F.col("repaired"), F.least(raw, F.lit(0.92))).otherwise(raw)
     return rules.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.98), capped)), 3))

@@ -505,7 +505,7 @@ def html_title(spark, sf_dir):
 
 
 @_register("""SELECT quality, toxic, lang, count(*) AS n, round(avg(n_chars), 2) AS mean_chars FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2, 3""")
-def metric_eval(spark, sf_dir):
+def label_counts(spark, sf_dir):
     joined = _docs(spark, sf_dir).select("doc_id", "lang", "n_chars").join(_table(spark, sf_dir, "labels"), "doc_id")
     return joined.groupBy("quality", "toxic", "lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 2).alias("mean_chars"))
 
