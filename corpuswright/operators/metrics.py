@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TextProfile, char_pattern, content
 
-#: Line count and line length of the regular forms, and the lengths between which feet are read.
+#: Line count and line length of the regular forms, the lengths between which feet are read, and other names.
 REGULAR_FORMS = {(4, 5): "五绝", (4, 7): "七绝", (8, 5): "五律", (8, 7): "七律"}
 FOOT_LENGTHS = (4, 7)
-LONG_REGULAR = {5: "五言古诗", 7: "七言古诗", 4: "四言诗", 6: "六言诗"}
+LONG_FORMS = {5: ("五言齐言长篇", "五言古体"), 7: ("七言齐言长篇", "七言古体")}
+EVEN_FORMS = {4: "四言", 6: "六言"}
+LYRIC, MIXED, LONG_FROM = "词", "杂言", 8
 
 
 def line_counts(lines: Column, profile: TextProfile) -> Column:
@@ -27,16 +29,26 @@ def feet(lines: Column, profile: TextProfile, letters: int = 1) -> Column:
     return F.filter(F.transform(even, lambda x: F.right(content(x, profile), F.lit(letters))), lambda x: x != "")
 
 
-def detect_form(counts: Column, tune: Column | None = None) -> Column:
-    """A tune makes a lyric; then line count and length name the regular forms; uneven lines are mixed."""
-    n, width = F.size(counts), F.element_at(counts, 1)
-    out = F.when(F.coalesce(tune, F.lit("")) != "", "词") if tune is not None else F.when(F.lit(False), "")
-    out = out.when(n == 0, "未详")
+def rhyme_feet(lines: Column, counts: Column, profile: TextProfile) -> Column:
+    """The feet of works whose lines are of one length from 4 to 7; of others none, as the foot cannot be told."""
+    even = (F.size(counts) >= 2) & is_uniform(counts) & F.element_at(counts, 1).between(*FOOT_LENGTHS)
+    return F.when(even, feet(lines, profile)).otherwise(F.array().cast("array<string>"))
+
+
+def detect_form(counts: Column, tune: Column | None = None, collection: Column | None = None) -> Column:
+    """A tune makes a lyric, a collection of one form has that form (`collection` is its name or null); then line count and
+    length name the regular forms and the long ones; works with uneven lines are mixed."""
+    n, width = F.size(counts), F.try_element_at(counts, F.lit(1))
+    out = F.when(F.coalesce(tune, F.lit("")) != "", LYRIC) if tune is not None else F.when(F.lit(False), "")
+    if collection is not None:
+        out = out.when(F.coalesce(collection, F.lit("")) != "", collection)
     for (lines, chars), name in REGULAR_FORMS.items():
         out = out.when(is_uniform(counts) & (n == lines) & (width == chars), name)
-    for chars, name in LONG_REGULAR.items():
+    for chars, (long, short) in LONG_FORMS.items():
+        out = out.when(is_uniform(counts) & (width == chars), F.when((n > LONG_FROM) & (n % 2 == 0), long).otherwise(short))
+    for chars, name in EVEN_FORMS.items():
         out = out.when(is_uniform(counts) & (width == chars), name)
-    return out.otherwise("杂言")
+    return out.otherwise(MIXED)
 
 
 def resolve_genre(explicit: Column, tags: Column, known: list[str], form: Column) -> Column:

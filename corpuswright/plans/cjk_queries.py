@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import CJK_PROFILE, Lexicon, TextProfile, char_pattern, content, negated, split_lines, tokens
-from ..operators import annotate, metrics, prosody, verify
+from ..functions.text import CJK_PROFILE, Lexicon, TextProfile, canonical, char_pattern, content, erase, negated, normalized_query, split_lines, tokens, with_variants
+from ..operators import annotate, claims, guards, metrics, prosody, verify
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -58,12 +58,12 @@ def cjk_split_lines(spark, sf_dir):
     return _poems(spark).select("poem_id", F.size(lines).cast("long").alias("n"), F.array_join(lines, "/").alias("lines"))
 
 
-@_register(f"""WITH {_VALUES}, l AS (SELECT poem_id, list_transform({_LINES}, lambda x: length(array_to_string(regexp_extract_all(x, '{_CJK}'), ''))) AS c FROM poems)
-    SELECT poem_id, array_to_string(c, '-') AS pattern, CASE WHEN len(c) = 0 THEN '未详' WHEN len(list_distinct(c)) = 1 AND len(c) = 4 AND c[1] = 5 THEN '五绝'
-    WHEN len(list_distinct(c)) = 1 AND c[1] = 7 THEN '七言古诗' ELSE '杂言' END AS form FROM l""")
+@_register(f"""WITH {_VALUES}, l AS (SELECT poem_id, author, list_transform({_LINES}, lambda x: length(array_to_string(regexp_extract_all(x, '{_CJK}'), ''))) AS c FROM poems)
+    SELECT poem_id, array_to_string(c, '-') AS pattern, CASE WHEN author = '丁' THEN '曲' WHEN len(list_distinct(c)) = 1 AND len(c) = 4 AND c[1] = 5 THEN '五绝'
+    WHEN len(list_distinct(c)) = 1 AND c[1] = 7 THEN '七言古体' ELSE '杂言' END AS form FROM l""")
 def cjk_forms(spark, sf_dir):
     counts = metrics.line_counts(split_lines(F.col("text"), FOLDED), FOLDED)
-    return _poems(spark).select("poem_id", char_pattern(counts).alias("pattern"), metrics.detect_form(counts).alias("form"))
+    return _poems(spark).select("poem_id", char_pattern(counts).alias("pattern"), metrics.detect_form(counts, collection=F.when(F.col("author") == "丁", "曲")).alias("form"))
 
 
 def _hits_sql(kind: str, lexicon: Lexicon) -> str:
@@ -167,3 +167,115 @@ def cjk_couplet(spark, sf_dir):
     tones = prosody.line_tones(sides, readings)
     side = lambda k, name: tones.where(F.col("line_no") == k).select(F.col("poem_id").alias("pair_id"), F.col("tones").alias(name))
     return prosody.couplets(pairs.join(side(0, "ta"), "pair_id").join(side(1, "tb"), "pair_id"), CATEGORIES)
+
+
+# --- labels, numerals, intents -------------------------------------------------------------------------------------------------
+LABELS = [(1, " 七言絕句 "), (2, "七绝"), (3, "绝句"), (4, None), (5, "牀前峯"), (6, "詞 如梦令 与浣溪沙")]
+GENRES, LABEL_FROM, LABEL_TO = {"七言绝句": "七绝", "绝句": "七绝"}, "絕詞", "绝词"
+LABELLED = with_variants(TextProfile("cjk", CJK_PROFILE.token, CJK_PROFILE.breaks, CJK_PROFILE.notes, CJK_PROFILE.trim, LABEL_FROM, LABEL_TO, bigrams=True))
+_LABELS = "labels0(label_id, label) AS (VALUES " + ", ".join(f"({i}, {'NULL' if t is None else repr(t)})" for i, t in LABELS) + ")"
+_FOLDED = f"translate(trim(coalesce(label, '')), '{LABELLED.fold_from}', '{LABELLED.fold_to}')"
+
+
+@_register(f"""WITH {_LABELS}, f AS (SELECT label_id, {_FOLDED} AS folded FROM labels0)
+    SELECT label_id, folded, CASE folded WHEN '七言绝句' THEN '七绝' WHEN '绝句' THEN '七绝' ELSE folded END AS genre, replace(replace(folded, '如梦令', ' '), '浣溪沙', ' ') AS without_tunes FROM f""")
+def cjk_labels(spark, sf_dir):
+    """Queries normalised, variants folded, genres by alias, names of tunes erased."""
+    rows = spark.createDataFrame(LABELS, "label_id int, label string").withColumn("folded", normalized_query(F.coalesce("label", F.lit("")), LABELLED))
+    return rows.select("label_id", "folded", canonical(F.col("label"), GENRES, LABELLED).alias("genre"), erase(F.col("folded"), ["浣溪沙", "如梦令"]).alias("without_tunes"))
+
+
+NUMBERS = [(1, "八"), (2, "十二"), (3, "16"), (4, "百"), (5, ""), (6, None)]
+
+
+@_register("WITH n(id, t) AS (VALUES " + ", ".join(f"({i}, {'NULL' if t is None else repr(t)})" for i, t in NUMBERS) + ") SELECT id, CAST(CASE t WHEN '八' THEN 8 WHEN '十二' THEN 12 WHEN '16' THEN 16 END AS BIGINT) AS n FROM n")
+def cjk_numerals(spark, sf_dir):
+    return spark.createDataFrame(NUMBERS, "id int, t string").select("id", claims.numeral(F.col("t")).alias("n"))
+
+
+ASKED = [(1, "请统计意象分布"), (2, "这首诗怎么背诵"), (3, "你好"), (4, "伪造是李白的诗"), (5, "帮我写一首"), (6, None)]
+
+
+@_register("WITH q(id, t) AS (VALUES " + ", ".join(f"({i}, {'NULL' if t is None else repr(t)})" for i, t in ASKED) + """) SELECT id, CASE id WHEN 1 THEN 'researcher' WHEN 2 THEN 'student' ELSE 'reader' END AS role,
+    id <> 4 AS allowed, CASE id WHEN 4 THEN 'forgery' WHEN 5 THEN 'own work' ELSE '' END AS notice FROM q""")
+def cjk_intents(spark, sf_dir):
+    role, allowed, notice = guards.intent(F.coalesce("t", F.lit("")))
+    return spark.createDataFrame(ASKED, "id int, t string").select("id", role.alias("role"), allowed.alias("allowed"), notice.alias("notice"))
+
+
+# --- rhyme and rules of verse ---------------------------------------------------------------------------------------------------
+#: A few characters with rhyme and tone, and the departments of their rhymes; real tables are read as dimensions.
+RHYMES = [("流", "平", "尤"), ("楼", "平", "侯"), ("留", "平", "尤"), ("留", "去", "宥"), ("尽", "上", "軫"), ("光", "平", "唐"), ("霜", "平", "陽"), ("乡", "平", "陽"), ("东", "平", "東")]
+DEPARTMENTS = {"尤": "尤", "侯": "尤", "宥": "宥", "軫": "轸", "唐": "阳", "陽": "阳", "東": "东"}
+WIDER = {"尤": ["第十二部"], "宥": ["第十二部"], "轸": ["第六部"], "阳": ["第二部"], "东": ["第一部"]}
+FEET = [(1, 0, "尽"), (1, 1, "流"), (1, 3, "楼"), (2, 0, "光"), (2, 1, "霜"), (2, 3, "乡"), (3, 0, "留"), (3, 1, "流"), (4, 0, "东"), (5, 0, "流"), (5, 1, "无")]
+_READ = "rd(ch, tone, rhyme, dept) AS (VALUES " + ", ".join(f"('{c}', '{t}', '{r}', '{DEPARTMENTS[r]}')" for c, t, r in RHYMES) + ")"
+_WIDER = "wider(dept, part) AS (VALUES " + ", ".join(f"('{d}', '{p}')" for d, ps in WIDER.items() for p in ps) + ")"
+_FEET = "ft(poem_id, line_no, ch) AS (VALUES " + ", ".join(f"({i}, {k}, '{c}')" for i, k, c in FEET) + ")"
+
+
+def _rhyme_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RHYMES, "char string, tone string, rhyme string")
+
+
+@_register(f"""WITH {_READ}, {_FEET}, one AS (SELECT ch, min(tone) AS tone FROM rd GROUP BY 1 HAVING count(DISTINCT tone) = 1),
+    v AS (SELECT poem_id, tone, count(*) AS n FROM ft JOIN one USING (ch) WHERE line_no % 2 = 1 GROUP BY 1, 2), t AS (SELECT poem_id, arg_min(tone, (-n, tone)) AS rt FROM v GROUP BY 1),
+    d AS (SELECT ft.poem_id, line_no, dept FROM ft JOIN rd USING (ch) LEFT JOIN t USING (poem_id) WHERE (rt IS NULL OR tone = rt) AND (line_no = 0 OR line_no % 2 = 1)),
+    s AS (SELECT poem_id, coalesce(list(DISTINCT dept) FILTER (WHERE line_no = 0), []) AS a, coalesce(list(DISTINCT dept) FILTER (WHERE line_no > 0), []) AS b FROM d GROUP BY 1)
+    SELECT p.poem_id, CASE WHEN len(b) > 0 THEN len(list_intersect(a, b)) > 0 END AS first_rhymes FROM (SELECT DISTINCT poem_id FROM ft) p LEFT JOIN s USING (poem_id)""")
+def cjk_first_rhyme(spark, sf_dir):
+    feet = spark.createDataFrame(FEET, "poem_id int, line_no int, char string")
+    return prosody.first_line_rhymes(feet, _rhyme_table(spark), DEPARTMENTS)
+
+
+@_register(f"""WITH {_READ}, {_WIDER}, c AS (SELECT DISTINCT ch FROM rd UNION SELECT '无') SELECT ch AS char, coalesce(array_to_string(list_sort(list(DISTINCT rhyme) FILTER (WHERE rhyme IS NOT NULL)), ','), '') AS rhymes,
+    coalesce(array_to_string(list_sort(list(DISTINCT rd.dept) FILTER (WHERE rd.dept IS NOT NULL)), ','), '') AS departments, coalesce(array_to_string(list_sort(list(DISTINCT part) FILTER (WHERE part IS NOT NULL)), ','), '') AS wider
+    FROM c LEFT JOIN rd USING (ch) LEFT JOIN wider ON wider.dept = rd.dept GROUP BY 1""")
+def cjk_rhyme_depts(spark, sf_dir):
+    chars = spark.createDataFrame([(c,) for c, _, _ in RHYMES] + [("无",)], "char string")
+    return prosody.departments_of(chars, _rhyme_table(spark), DEPARTMENTS, WIDER)
+
+
+GROUPS = [(1, "流"), (1, "楼"), (1, "留"), (2, "霜"), (2, "光"), (2, "无")]
+_GROUPS = "gr(group_id, ch) AS (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in GROUPS) + ")"
+
+
+@_register(f"""WITH {_READ}, {_GROUPS}, y AS (SELECT group_id, rhyme, count(DISTINCT ch) AS n, row_number() OVER (PARTITION BY group_id ORDER BY count(DISTINCT ch) DESC, rhyme) AS k FROM gr JOIN rd USING (ch) GROUP BY 1, 2),
+    t AS (SELECT group_id, tone, count(DISTINCT ch) AS n FROM gr JOIN rd USING (ch) GROUP BY 1, 2), a AS (SELECT group_id, string_agg(rhyme || ':' || n, ',' ORDER BY k) AS top_rhymes FROM y WHERE k <= 4 GROUP BY 1)
+    SELECT group_id, any_value(top_rhymes) AS top_rhymes, string_agg(tone || ':' || n, ',' ORDER BY tone) AS tones, round(max(n) / sum(n), 3) AS tone_purity FROM t JOIN a USING (group_id) GROUP BY 1""")
+def cjk_group_profile(spark, sf_dir):
+    return prosody.group_profile(spark.createDataFrame(GROUPS, "group_id int, char string"), _rhyme_table(spark))
+
+
+TONED = [(1, ["仄仄平平仄", "平平仄仄平", "平平平仄仄", "仄仄仄平平"]), (2, ["平平平平平", "平平平仄仄", "仄平仄仄仄", "平仄两平平"]), (3, ["平平平"]), (4, ["平两平仄仄仄平", "平平仄仄仄平平", "平仄平平仄仄平", "仄仄平平平仄仄"])]
+#: What is wrong with them, counted by hand from the rules.
+BREACHES = [
+    (2, "三平尾", 1), (2, "三仄尾", 3), (2, "二四六不交替", 1), (2, "失对", 1), (3, "三平尾", 1), (4, "二四六不交替", 1), (4, "失对", 1), (4, "失对", 2), (4, "失粘", 1),
+]
+
+
+@_register("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r}', CAST({p} AS BIGINT))" for i, r, p in BREACHES) + ") AS b(poem_id, rule, place)")
+def cjk_issues(spark, sf_dir):
+    return prosody.issues(spark.createDataFrame(TONED, "poem_id int, tones array<string>"))
+
+
+@_register("SELECT * FROM (VALUES ('1/颔联', 'c', 'd'), ('1/颈联', 'e', 'f')) AS c(pair_id, a, b)")
+def cjk_middle_couplets(spark, sf_dir):
+    return prosody.middle_couplets(spark.createDataFrame([(1, list("abcdefgh")), (2, list("abcd"))], "poem_id int, lines array<string>"))
+
+
+# --- candidates of a reader of meanings -----------------------------------------------------------------------------------------
+CANDIDATES = [
+    (1, 1, "月", ["床前明月光", "举头望明月"], 0.9, True, ""), (2, 1, "月", ["疑是地上霜"], 0.9, True, ""), (3, 1, "床", ["床前明月光"], 0.8, False, ""), (4, 1, "龙", ["床前明月光"], 0.8, False, ""),
+    (5, 1, "月", ["床前明月亮"], 0.9, True, ""), (6, 1, "月", [], 0.9, True, "means something"), (7, 1, "明月", ["床前明月光"], None, True, ""),
+]
+VERDICTS = [
+    (1, "known", "", 0.9), (2, "known", "span_irrelevant", None), (3, "candidate", "", 0.432), (4, "rejected", "image_unsupported", None), (5, "known", "span_not_verbatim", None), (6, "known", "claim_without_spans,no_support_spans", None), (7, "candidate", "", 0.3),
+]
+
+
+@_register("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', '{f}', CAST({'NULL' if c is None else c} AS DOUBLE))" for i, s, f, c in VERDICTS) + ") AS v(cand_id, status, flags, confidence)")
+def cjk_semantic_candidates(spark, sf_dir):
+    cands = spark.createDataFrame(CANDIDATES, "cand_id int, poem_id int, image string, spans array<string>, confidence double, has_counter boolean, claim string")
+    works = _poems(spark).select("poem_id", content(F.col("text"), FOLDED).alias("hay"))
+    return guards.verify_candidates(cands.join(works, "poem_id"), IMAGES, FOLDED).select("cand_id", "status", F.array_join(F.array_sort("flags"), ",").alias("flags"), F.col("score").alias("confidence"))

@@ -205,10 +205,10 @@ def dice_adjacent_turns(spark, sf_dir):
 
 # --- metrics -------------------------------------------------------------------------------------------------------------
 _COUNTS = f"list_transform({_LINES}, lambda x: length(array_to_string(regexp_extract_all(lower(x), '[a-zß-ÿ]+'), '')))"
-_FORM = """CASE WHEN len(c) = 0 THEN '未详' WHEN len(list_distinct(c)) = 1 AND len(c) = 4 AND c[1] = 5 THEN '五绝' WHEN len(list_distinct(c)) = 1 AND len(c) = 4 AND c[1] = 7 THEN '七绝'
+_FORM = """CASE WHEN len(list_distinct(c)) = 1 AND len(c) = 4 AND c[1] = 5 THEN '五绝' WHEN len(list_distinct(c)) = 1 AND len(c) = 4 AND c[1] = 7 THEN '七绝'
     WHEN len(list_distinct(c)) = 1 AND len(c) = 8 AND c[1] = 5 THEN '五律' WHEN len(list_distinct(c)) = 1 AND len(c) = 8 AND c[1] = 7 THEN '七律'
-    WHEN len(list_distinct(c)) = 1 AND c[1] = 5 THEN '五言古诗' WHEN len(list_distinct(c)) = 1 AND c[1] = 7 THEN '七言古诗'
-    WHEN len(list_distinct(c)) = 1 AND c[1] = 4 THEN '四言诗' WHEN len(list_distinct(c)) = 1 AND c[1] = 6 THEN '六言诗' ELSE '杂言' END"""
+    WHEN len(list_distinct(c)) = 1 AND c[1] IN (5, 7) THEN CASE c[1] WHEN 5 THEN '五' ELSE '七' END || CASE WHEN len(c) > 8 AND len(c) % 2 = 0 THEN '言齐言长篇' ELSE '言古体' END
+    WHEN len(list_distinct(c)) = 1 AND c[1] = 4 THEN '四言' WHEN len(list_distinct(c)) = 1 AND c[1] = 6 THEN '六言' ELSE '杂言' END"""
 
 
 @_register(f"""WITH t AS (SELECT doc_id, {_COUNTS} AS c FROM documents)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,30 +28,68 @@ def _lines(*names: str) -> Column:
 
 
 def standard(raw: DataFrame) -> DataFrame:
-    """title, cipai, author, dynasty, genre, paragraphs, notes, tags, appreciation; works without a paragraph are left out."""
-    out = raw.select(
-        *(c for c in raw.columns if c.startswith("_")),
-        F.coalesce(_text("title", "chapter", "rhythmic"), F.lit("")).alias("title"), F.coalesce(_text("rhythmic"), F.lit("")).alias("cipai"),
-        F.coalesce(_text("author"), F.lit("佚名")).alias("author"), F.coalesce(_text("dynasty"), F.lit("")).alias("dynasty"), F.coalesce(_text("genre"), F.lit("")).alias("genre"),
-        _lines("paragraphs", "para", "content").alias("paragraphs"), _lines("notes").alias("notes"), _lines("tags").alias("tags"), F.coalesce(_text("prologue", "desc"), F.lit("")).alias("appreciation"),
+    """title, cipai, author, dynasty, genre, section, paragraphs, notes, tags, appreciation; works without a paragraph are left
+    out. Columns that begin with an underscore pass through."""
+    return with_text(
+        raw.select(
+            *(c for c in raw.columns if c.startswith("_")),
+            F.coalesce(_text("title", "chapter", "rhythmic"), F.lit("")).alias("title"), F.coalesce(_text("rhythmic"), F.lit("")).alias("cipai"),
+            F.coalesce(_text("author"), F.lit("佚名")).alias("author"), F.coalesce(_text("dynasty"), F.lit("")).alias("dynasty"), F.coalesce(_text("genre"), F.lit("")).alias("genre"),
+            F.coalesce(_text("section", "chapter"), F.lit("")).alias("section"), _lines("paragraphs", "para", "content").alias("paragraphs"), _lines("notes").alias("notes"),
+            _lines("tags").alias("tags"), F.coalesce(_text("prologue", "desc"), F.lit("")).alias("appreciation"),
+        )
     )
-    return out.where(F.size("paragraphs") > 0)
+
+
+def with_text(works: DataFrame) -> DataFrame:
+    return works.where(F.size("paragraphs") > 0)
 
 
 def odes(raw: DataFrame) -> DataFrame:
     """Anonymous works of a chapter and a section; both, if there, name the section."""
     section = F.concat_ws("·", F.nullif(F.trim("chapter"), F.lit("")), F.nullif(F.trim("section"), F.lit("")))
-    return standard(raw.withColumn("author", F.lit("佚名"))).drop("genre").join(
-        raw.select("_file", "_pos", section.alias("genre")), ["_file", "_pos"]
-    )
+    named = raw.withColumns({"_section": section, "author": F.lit("佚名"), "genre": F.lit("诗经体")})
+    return standard(named).withColumn("section", F.col("_section")).drop("_section")
+
+
+def songs_of_chu(raw: DataFrame) -> DataFrame:
+    return standard(raw.withColumn("genre", F.lit("楚辞体")))
 
 
 def arias(raw: DataFrame) -> DataFrame:
-    """Titles `play・mode/tune`: the play is the title, the tune the cipai, and the mode a tag."""
-    play, rest = F.split_part("title", F.lit("・"), F.lit(1)), F.split_part("title", F.lit("・"), F.lit(2))
-    mode, tune = F.split_part(rest, F.lit("/"), F.lit(1)), F.split_part(rest, F.lit("/"), F.lit(2))
-    out = standard(raw).withColumn("_mode", mode).withColumn("cipai", F.when(tune != "", tune).otherwise(F.col("cipai"))).withColumn("tags", F.array_compact(F.concat("tags", F.array(F.nullif("_mode", F.lit(""))))))
-    return out.withColumn("title", F.when(play != "", play).otherwise(F.col("title"))).drop("_mode")
+    """Titles `play・mode/tune`: the play is the section, the tune the cipai, the mode a tag. Where there is no body and what
+    follows the mark is punctuated or long, it is the body, and what stands before is the tune."""
+    head, tail = F.trim(F.substring_index("title", "・", 1)), F.regexp_replace("title", "^.*?・", "")
+    split, lost = F.contains("title", F.lit("・")), (F.size(_lines("paragraphs", "para", "content")) == 0) & (tail.rlike("[，。！？；]") | (F.length(tail) > 15))
+    rescued, parted = split & lost, split & ~lost
+    mode, tune = F.when(F.contains(tail, F.lit("/")), F.trim(F.substring_index(tail, "/", 1))).otherwise(""), F.trim(F.regexp_replace(tail, "^[^/]*/", ""))
+    told = raw.withColumns({
+        "_mode": F.when(parted & (mode != ""), F.concat(F.lit("宫调:"), mode)), "_play": F.when(parted, head), "_tune": F.when(rescued, F.left(head, F.lit(8))).when(parted, F.left(tune, F.lit(12))),
+        "paragraphs": F.when(rescued, F.array(tail)).otherwise(F.col("paragraphs")), "title": F.when(rescued, F.when(head == "", "支曲").otherwise(head)).otherwise(F.col("title")),
+    })
+    out = standard(told).withColumns({
+        "cipai": F.coalesce("_tune", "cipai"), "section": F.coalesce("_play", "section"), "tags": F.array_compact(F.concat("tags", F.array("_mode"))),
+    })
+    return out.drop("_mode", "_play", "_tune")
+
+
+def titled_by_tune(raw: DataFrame) -> DataFrame:
+    """Titles `tune·first line`: what stands before the first mark is the tune, if it has two to seven characters."""
+    head = F.trim(F.regexp_extract("title", "^(.*?)[·・‧]", 1))
+    return standard(raw.withColumn("rhythmic", F.when(F.length(head).between(2, 7), head).otherwise(F.col("rhythmic"))))
+
+
+def nested_sections(raw: DataFrame) -> DataFrame:
+    """A file of sections, each a genre with its works, whose authors are written `（dynasty）name`."""
+    each = raw.select("_file", "_pos", F.posexplode("content").alias("_i", "s")).select("_file", "_pos", "_i", F.trim("s.type").alias("_genre"), F.posexplode("s.content").alias("_j", "w"))
+    pattern = "^（(.*?)）(.*)$"
+    found = F.trim(F.regexp_extract("w.author", pattern, 1))
+    flat = each.select(
+        "_file", (F.col("_pos") * (1 << 24) + F.col("_i") * (1 << 16) + F.col("_j")).alias("_pos"), F.trim("w.chapter").alias("title"), F.col("_genre").alias("genre"), F.col("_genre").alias("section"),
+        F.when(found != "", found).alias("dynasty"), F.when(found != "", F.trim(F.regexp_extract("w.author", pattern, 2))).otherwise(F.trim("w.author")).alias("author"), F.col("w.paragraphs").alias("paragraphs"),
+    )
+    missing = [f for f in RAW.fields if f.name not in flat.columns]
+    return standard(flat.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in missing)))
 
 
 def prefixed_dynasty(raw: DataFrame) -> DataFrame:
@@ -60,7 +100,14 @@ def prefixed_dynasty(raw: DataFrame) -> DataFrame:
     )
 
 
-PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"standard": standard, "odes": odes, "arias": arias, "prefixed_dynasty": prefixed_dynasty}
+SECTIONS = T.StructType([T.StructField("content", T.ArrayType(T.StructType([
+    T.StructField("type", T.StringType()),
+    T.StructField("content", T.ArrayType(T.StructType([T.StructField("chapter", T.StringType()), T.StructField("author", T.StringType()), T.StructField("paragraphs", T.ArrayType(T.StringType()))]))),
+])))])
+PARSERS: dict[str, tuple[T.StructType, Callable[[DataFrame], DataFrame]]] = {
+    "standard": (RAW, standard), "odes": (RAW, odes), "songs_of_chu": (RAW, songs_of_chu), "arias": (RAW, arias), "titled_by_tune": (RAW, titled_by_tune), "prefixed_dynasty": (RAW, prefixed_dynasty),
+    "nested_sections": (SECTIONS, nested_sections),
+}
 
 
 @dataclass(frozen=True)
@@ -75,13 +122,41 @@ class Source:
     over: dict[str, str] = field(default_factory=dict)
 
 
+#: The collections that are known, by key, place under the corpus folder, book, era and parser.
+COLLECTIONS = (
+    Source("SHIJING", "shijing/shijing.json", "诗经", "先秦", "odes"),
+    Source("CHUCI", "chuci/chuci.json", "楚辞", "先秦", "songs_of_chu"),
+    Source("CAOCAO", "caocao/caocao.json", "曹操诗集", "汉魏", over={"author": "曹操", "genre": "乐府"}),
+    Source("TANG300", "tang300/tang300.json", "唐诗三百首", "唐"),
+    Source("QIANJIA", "qianjiashi/qianjiashi.json", "千家诗", "", "nested_sections"),
+    Source("SHUIMO", "shuimo/shuimotangshi.json", "水墨唐诗", "唐"),
+    Source("QTS", "quantangshi/poet.tang.*.json", "全唐诗（抽样）", "唐"),
+    Source("HUAJIAN", "wudai/huajianji-*.json", "花间集", "五代"),
+    Source("NANTANG", "wudai/nantang.json", "南唐二主词", "五代"),
+    Source("QSS", "quansongshi/poet.song.*.json", "全宋诗（抽样）", "宋"),
+    Source("SONGCI300", "songci300/songci300.json", "宋词三百首", "宋"),
+    Source("SONGCI", "songci/ci.song.*.json", "全宋词（抽样）", "宋"),
+    Source("YUANQU", "yuanqu/yuanqu.json", "元曲", "元", "arias", {"genre": "曲"}),
+    Source("NALAN", "nalan/nalan.json", "纳兰词", "清", "titled_by_tune", {"genre": "词"}),
+)
+
+
+def known_sources(folder: str, *keys: str) -> list[Source]:
+    """The collections with these keys (all without any) under a folder; an unknown key is an error, never a guess."""
+    by_key = {s.key: s for s in COLLECTIONS}
+    if unknown := [k for k in keys if k not in by_key]:
+        raise ValueError(f"no collection is registered as {', '.join(unknown)}")
+    return [replace(by_key[k], path=f"{folder}/{by_key[k].path}") for k in keys or by_key]
+
+
 def read_source(spark: SparkSession, source: Source) -> DataFrame:
     """The works of a collection with file and position; a file is one JSON array and one task."""
     if source.parser not in PARSERS:
         raise ValueError(f"no parser is registered as {source.parser}")
-    raw = spark.read.schema(RAW).option("multiLine", True).json(source.path)
+    schema, parse = PARSERS[source.parser]
+    raw = spark.read.schema(schema).option("multiLine", True).json(source.path)
     raw = raw.select("*", F.col("_metadata.file_name").alias("_file")).withColumn("_pos", F.monotonically_increasing_id())
-    out = PARSERS[source.parser](raw)
+    out = parse(raw)
     fixed = {"dynasty": source.dynasty, **source.over}
     for name, value in fixed.items():
         if value:
@@ -107,12 +182,13 @@ def read_corpus(spark: SparkSession, sources: list[Source]) -> DataFrame:
         works = works.unionByName(f)
     works = works.withColumn("_key", natural_key(F.col("_file")))
     files = works.groupBy("_source_no", "_key").agg(F.count(F.lit(1)).alias("n"))
-    before = files.withColumn("_before", F.sum("n").over(Window.orderBy("_source_no", "_key").rowsBetween(Window.unboundedPreceding, -1)))
+    so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = files.withColumns({"_before": so_far(Window.orderBy("_source_no", "_key")), "_of_source": so_far(Window.partitionBy("_source_no").orderBy("_key"))})
     ranked = works.withColumn("_rank", F.row_number().over(Window.partitionBy("_source_no", "_key").orderBy("_pos")) - 1)
-    placed = ranked.join(before.select("_source_no", "_key", "_before"), ["_source_no", "_key"])
-    ordered = placed.withColumn("ord", (F.coalesce("_before", F.lit(0)) + F.col("_rank")).cast("long"))
-    named = ordered.withColumn("poem_id", F.format_string("CNP_%s_%05d", F.upper("source"), F.col("_rank") + 1))
-    return named.drop("_source_no", "_key", "_before", "_rank", "_pos", "_file")
+    placed = ranked.join(before.select("_source_no", "_key", "_before", "_of_source"), ["_source_no", "_key"])
+    ordered = placed.withColumn("ord", (F.col("_before") + F.col("_rank")).cast("long"))
+    named = ordered.withColumn("poem_id", F.format_string("CNP_%s_%05d", F.upper("source"), F.col("_of_source") + F.col("_rank") + 1))
+    return named.drop("_source_no", "_key", "_before", "_of_source", "_rank", "_pos", "_file")
 
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -120,7 +196,49 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def write_lines(df: DataFrame, path: str) -> None:
+    """JSON lines, a file a partition; null fields are written too, so that every line has every field."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def manifest(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
     """file, sha256 and n_bytes of each file under a path, and under its folders, whose name fits."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", True).load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
+
+
+def replace_atomically(df: DataFrame, path: str) -> None:
+    """Parquet at `path`, which changes from the old to the new in one renaming: a reader never meets half a manifest."""
+    spark = df.sparkSession
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    jvm = spark.sparkContext._jvm
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = files.exists(place(path))
+    if had:
+        files.rename(place(path), place(old))
+    if not files.rename(place(fresh), place(path)):
+        if had:
+            files.rename(place(old), place(path))
+        raise OSError(f"{path} could not be replaced")
+    if had:
+        files.delete(place(old), True)
+
+
+def write_assets(assets: dict[str, DataFrame], folder: str) -> None:
+    """Each named table under a folder of its own."""
+    for name, df in assets.items():
+        replace_atomically(df, f"{folder}/{name}")
+
+
+def ready(spark: SparkSession, folder: str, expected: dict[str, int]) -> DataFrame:
+    """asset, ok, n: whether each asset of a folder has as many rows as expected (at least one where that is negative)."""
+    rows = []
+    for name, n in expected.items():
+        try:
+            found = spark.read.parquet(f"{folder}/{name}").count()
+        except AnalysisException:
+            found = -1
+        rows.append((name, found == n if n >= 0 else found > 0, found))
+    return spark.createDataFrame(rows, "asset string, ok boolean, n long")

@@ -1,26 +1,97 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpuswright.functions.text import CJK_PROFILE, TextProfile
 from corpuswright.operators import review
-from corpuswright.sources.corpus import Source, manifest, read_corpus, read_lines
+from corpuswright.sources import corpus, dimensions
+from corpuswright.sources.corpus import Source, known_sources, manifest, read_corpus, read_lines
 from corpuswright.streaming.incremental_review import review_stream
 
 
+def dump(path, value):
+    path.write_text(json.dumps(value, ensure_ascii=False))
+
+
 def test_corpus_order_and_fields(spark, tmp_path):
     for k in (2, 10):
         works = [{"title": f"t{k}-{i}", "author": "甲", "paragraphs": ["一二三四五，", " ", "六七八九十。"]} for i in range(3)]
-        (tmp_path / f"part-{k}.json").write_text(json.dumps(works + [{"title": "none", "paragraphs": []}], ensure_ascii=False))
-    (tmp_path / "odes.json").write_text(json.dumps([{"title": "关雎", "chapter": "国风", "section": "", "content": ["关关雎鸠"]}], ensure_ascii=False))
-    (tmp_path / "arias.json").write_text(json.dumps([{"title": "窦娥冤・仙吕/点绛唇", "author": "（元）关汉卿", "para": ["满腹闲愁"], "tags": ["x"]}], ensure_ascii=False))
+        dump(tmp_path / f"part-{k}.json", works + [{"title": "none", "paragraphs": []}])
+    dump(tmp_path / "odes.json", [{"title": "关雎", "chapter": "国风", "section": "周南", "content": ["关关雎鸠"]}, {"title": "x", "chapter": "国风", "section": "", "content": ["y"]}])
+    dump(tmp_path / "arias.json", [
+        {"title": "窦娥冤・仙吕/点绛唇", "author": "关汉卿", "para": ["满腹闲愁"], "tags": ["x"]}, {"title": "山坡羊・峰峦如聚，波涛如怒。", "para": []}, {"title": "散曲", "para": ["z"]}, {"title": "失・短", "para": []},
+    ])
+    dump(tmp_path / "sections.json", {"content": [{"type": "五绝", "content": [{"chapter": "春晓", "author": "（唐）孟浩然", "paragraphs": ["春眠不觉晓"]}, {"chapter": "空", "author": "无", "paragraphs": []}]},
+                                                  {"type": "七绝", "content": [{"chapter": "早春", "author": "韩愈", "paragraphs": ["天街小雨"]}]}]})
+    dump(tmp_path / "tunes.json", [{"title": "长相思·山一程", "author": "纳兰", "para": ["山一程"]}, {"title": "一二三四五六七八·x", "para": ["y"]}, {"title": "plain", "para": ["y"]}])
+    at = lambda name: f"{tmp_path}/{name}.json"
     got = read_corpus(spark, [
-        Source("tang", f"{tmp_path}/part-*.json", "Tang", "唐"), Source("odes", f"{tmp_path}/odes.json", "Odes", "先秦", "odes"), Source("yuan", f"{tmp_path}/arias.json", "Arias", "元", "arias"),
+        Source("tang", at("part-*"), "Tang", "唐"), Source("odes", at("odes"), "Odes", "先秦", "odes"), Source("yuan", at("arias"), "Arias", "元", "arias", {"genre": "曲"}),
+        Source("qj", at("sections"), "Thousand", "", "nested_sections"), Source("nl", at("tunes"), "Tunes", "清", "titled_by_tune"),
     ]).orderBy("ord").collect()
-    assert [r.ord for r in got] == list(range(8))
+    assert [r.ord for r in got] == list(range(16)) and len({r.poem_id for r in got}) == 16
     assert [r.title for r in got[:6]] == ["t2-0", "t2-1", "t2-2", "t10-0", "t10-1", "t10-2"]
-    assert got[0].paragraphs == ["一二三四五，", "六七八九十。"] and got[0].dynasty == "唐" and got[0].poem_id == "CNP_TANG_00001"
-    assert (got[6].author, got[6].genre, got[6].dynasty) == ("佚名", "国风", "先秦")
-    assert (got[7].title, got[7].cipai, got[7].tags) == ("窦娥冤", "点绛唇", ["x", "仙吕"])
+    assert [r.poem_id for r in got[:6]] == [f"CNP_TANG_{k:05d}" for k in range(1, 7)]  # numbers go on from file to file
+    assert got[0].paragraphs == ["一二三四五，", "六七八九十。"] and got[0].dynasty == "唐"
+    assert [(r.author, r.genre, r.section, r.dynasty) for r in got[6:8]] == [("佚名", "诗经体", "国风·周南", "先秦"), ("佚名", "诗经体", "国风", "先秦")]
+    aria, rescued, plain = got[8:11]
+    assert (aria.title, aria.section, aria.cipai, aria.tags, aria.genre) == ("窦娥冤・仙吕/点绛唇", "窦娥冤", "点绛唇", ["x", "宫调:仙吕"], "曲")
+    assert (rescued.title, rescued.cipai, rescued.paragraphs) == ("山坡羊", "山坡羊", ["峰峦如聚，波涛如怒。"]) and (plain.title, plain.cipai) == ("散曲", "")
+    assert [(r.title, r.author, r.dynasty, r.genre) for r in got[11:13]] == [("春晓", "孟浩然", "唐", "五绝"), ("早春", "韩愈", "", "七绝")]
+    assert [r.cipai for r in got[13:]] == ["长相思", "", ""]
+
+
+def test_only_known_collections_are_read(spark, tmp_path):
+    assert len(known_sources("/x")) == 14 and known_sources("/x", "NALAN")[0].path == "/x/nalan/nalan.json"
+    with pytest.raises(ValueError):
+        known_sources("/x", "NALAN", "OTHER")
+    with pytest.raises(ValueError):
+        read_corpus(spark, [Source("x", str(tmp_path), "X", parser="guess")])
+
+
+FOLD = TextProfile("cjk", CJK_PROFILE.token, CJK_PROFILE.breaks, fold_from="東陽韻", fold_to="东阳韵", bigrams=True)
+
+
+def test_dimensions(spark, tmp_path):
+    dump(tmp_path / "bio.json", [{"name": "東坡", "desc": "first"}, {"name": "东坡", "desc": "second"}, {"name": "x", "desc": " "}])
+    got = {r.key: (r.name, r.description, r.dynasty) for r in dimensions.biographies(spark, {"宋": f"{tmp_path}/bio.json"}, FOLD).collect()}
+    assert got == {"东坡": ("東坡", "first", "宋")}
+    (tmp_path / "words.jsonl").write_text('{"char": "東", "gloss": "动也"}\n{"char": "东", "gloss": "later"}\nbroken\n')
+    assert {r.key: r.gloss for r in dimensions.glossary(spark, f"{tmp_path}/words.jsonl", FOLD).collect()} == {"东": "动也", "東": "动也"}
+    content = "初、哉、首，始也。\n林、烝，\n天、帝，君也。\n不合式的行\n孤，独也。"
+    (tmp_path / "groups.jsonl").write_text(json.dumps({"chapter": "释诂", "content": content}, ensure_ascii=False))
+    assert [(r.members, r.gloss) for r in dimensions.gloss_groups(spark, f"{tmp_path}/groups.jsonl").collect()] == [(["初", "哉", "首"], "始也"), (["林", "烝"], "天、帝，君也")]
+    (tmp_path / "syl.tsv").write_text("1\ta\t端\tb\t東\t德红\n2\ta\t以\tb\t陽A\t与章\n3\ta\tx\tb\t无\ty\n4\tshort\n")
+    (tmp_path / "chars.tsv").write_text("東\t1\n陽\t2\n坏\t9\n")
+    read = dimensions.readings(spark, f"{tmp_path}/syl.tsv", f"{tmp_path}/chars.tsv", {"東": "平", "陽": "平"}, {}, FOLD)
+    assert sorted((r.char, r.tone, r.rhyme) for r in read.collect()) == [("东", "平", "東"), ("東", "平", "東"), ("阳", "平", "陽"), ("陽", "平", "陽")]
+    (tmp_path / "bad.tsv").write_text("".join(f"{k}\ta\tx\tb\tr{k}\ty\n" for k in range(30)))
+    with pytest.raises(ValueError):
+        dimensions.readings(spark, f"{tmp_path}/bad.tsv", f"{tmp_path}/chars.tsv", {}, {}, FOLD)
+    xml = "<r><类别><名称>平韵</名称><词牌><名称>忆江南</名称><名称> 望江南 </名称><说明>单调</说明><正文><格律 说明=\"其一\">＋│－</格律><格律> </格律></正文></词牌><词牌><名称> </名称></词牌></类别></r>"
+    (tmp_path / "tunes.xml").write_bytes(xml.encode("utf-16"))
+    tunes = dimensions.tune_patterns(spark, f"{tmp_path}/tunes.xml")
+    row = tunes.collect()
+    assert [(r.cipai, r.aliases, r.intro, [tuple(f) for f in r.forms]) for r in row] == [("忆江南", ["望江南"], "单调", [("其一", "⊙●○")])]
+    assert {r.key: r.cipai for r in dimensions.tune_index(tunes, FOLD).collect()} == {"忆江南": "忆江南", "望江南": "忆江南"}
+    (tmp_path / "seeds.jsonl").write_text('{"_meta": 1}\n{"id": "a", "name": "n", "surfaces": ["s"]}\n{"id": "b", "name": "m", "surfaces": []}\n')
+    assert [r.id for r in dimensions.allusion_seeds(spark, f"{tmp_path}/seeds.jsonl").collect()] == ["a"]
+    (tmp_path / "prose.jsonl").write_text('{"source": "史记", "content": "x"}\n{"source": "论语", "content": "y"}\n')
+    assert [(r.work_id, r.source, r.author) for r in dimensions.classics(spark, f"{tmp_path}/prose.jsonl").orderBy("work_id").collect()] == [("CW_00000", "史记", ""), ("CW_00001", "论语", "")]
+    (tmp_path / "ext.jsonl").write_text('{"id": "e1", "author": "甲", "text": "t", "theme": "h"}\n')
+    assert dimensions.analyses(spark, f"{tmp_path}/ext.jsonl").first().ext_id == "e1"
+
+
+def test_sinks(spark, tmp_path):
+    one, two = spark.range(3), spark.range(5)
+    corpus.write_assets({"a": one, "b": two}, f"{tmp_path}/assets")
+    corpus.replace_atomically(two, f"{tmp_path}/assets/a")
+    assert sorted(p.name for p in (tmp_path / "assets").iterdir()) == ["a", "b"]
+    got = {r.asset: (r.ok, r.n) for r in corpus.ready(spark, f"{tmp_path}/assets", {"a": 5, "b": 4, "c": -1}).collect()}
+    assert got == {"a": (True, 5), "b": (False, 5), "c": (False, -1)}
+    corpus.write_lines(spark.createDataFrame([(1, None)], "doc_id long, n int"), f"{tmp_path}/lines")
+    assert read_lines(spark, f"{tmp_path}/lines", spark.createDataFrame([], "doc_id long, n int").schema).first().doc_id == 1
 
 
 def test_malformed_lines_are_skipped(spark, tmp_path):

@@ -71,9 +71,13 @@ def test_negation_looks_back_three_characters(spark):
 
 
 def test_forms(spark):
-    form = lambda *c, tune="": one(spark, metrics.detect_form(F.array(*(F.lit(x) for x in c)), F.col("tune")), tune=tune)
+    form = lambda *c, tune="": one(spark, metrics.detect_form(F.array(*(F.lit(x) for x in c)).cast("array<bigint>"), F.col("tune")), tune=tune)
     assert form(5, 5, 5, 5) == "五绝" and form(*[7] * 8) == "七律" and form(5, 7) == "杂言" and form(5, 5, tune="菩萨蛮") == "词"
-    assert one(spark, metrics.feet(F.array(*map(F.lit, ["床前明月光", "疑是地上霜"])), T.CJK_PROFILE), t=1) == ["霜"]
+    assert form(*[5] * 10) == "五言齐言长篇" and form(*[7] * 6) == "七言古体" and form() == "杂言" and form(*[4] * 3) == "四言"
+    lines = F.array(*map(F.lit, ["床前明月光", "疑是地上霜"]))
+    assert one(spark, metrics.feet(lines, T.CJK_PROFILE), t=1) == ["霜"]
+    assert one(spark, metrics.rhyme_feet(lines, metrics.line_counts(lines, T.CJK_PROFILE), T.CJK_PROFILE), t=1) == ["霜"]
+    assert one(spark, metrics.detect_form(F.array(F.lit(5)), collection=F.col("c")), c="曲") == "曲"
 
 
 @pytest.mark.parametrize(
