@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import FIRST_MARK, Lexicon, TextProfile, any_surface, fold, marks_of, mask, named, negated, split_lines
+from ..functions.text import FIRST_MARK, Lexicon, TextProfile, fold, marks_of, mask, named, negated, split_lines
 from .stage import once
 
 
@@ -17,24 +17,28 @@ def lines_of(docs: DataFrame, text: Column, profile: TextProfile) -> DataFrame:
 
 def hits_in(texts: DataFrame, folded: str, lexicons: dict[str, Lexicon], *keep: str) -> DataFrame:
     """kind, pos (from 0), canon, surface and the columns to keep: a row a hit in the column `folded`; kinds have masks of their
-    own. Texts without a surface leave at once; the others are masked by compiled `replace`, and the place of a kind's k-th mark
-    is the length of what stands before it."""
-    some = texts.where(F.col(folded).rlike(any_surface(*lexicons.values())))
-    masked = some.select(*keep, *(mask(F.col(folded), lexicon).alias(f"_{kind}") for kind, lexicon in lexicons.items()))
+    own. All texts are masked, by compiled `replace`; those that it left alone go. The place of a surface's k-th hit is the
+    length of what stands before the k-th of its marks."""
+    masked = texts.select(*keep, F.col(folded).alias("_f"), *(mask(F.col(folded), lexicon).alias(f"_{kind}") for kind, lexicon in lexicons.items()))
+    some = masked.where(F.greatest(*(F.col(f"_{kind}") != F.col("_f") for kind in lexicons)) if len(lexicons) > 1 else F.col(f"_{next(iter(lexicons))}") != F.col("_f"))
 
     def of_kind(kind: str) -> Column:
-        marks = F.regexp_extract_all(f"_{kind}", F.lit(marks_of(lexicons[kind])), F.lit(0))
-        return F.transform(marks, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("k"), x.alias("mark")))
-
-    found = masked.select("*", F.explode(F.concat(*map(of_kind, lexicons))).alias("_h"))
-    one = chr(FIRST_MARK)
-    pos, canon, surface = F.lit(0), F.lit(""), F.lit("")
+        marks = F.array_distinct(F.regexp_extract_all(f"_{kind}", F.lit(marks_of(lexicons[kind])), F.lit(0)))
+        return F.transform(marks, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("mark")))
+
+    each = some.select(*keep, *(f"_{kind}" for kind in lexicons), F.explode(F.concat(*map(of_kind, lexicons))).alias("_h"))
+    text = F.lit("")
+    for kind in lexicons:
+        text = F.when(F.col("_h.kind") == kind, F.col(f"_{kind}")).otherwise(text)
+    told = each.select(*keep, F.col("_h.kind").alias("kind"), F.col("_h.mark").alias("_mark"), text.alias("_t"))
+    times = F.length("_t") - F.length(F.replace("_t", F.col("_mark"), F.lit("")))
+    found = told.select("*", F.explode(F.sequence(F.lit(1), times)).alias("_k"))
+    canon, surface = F.lit(""), F.lit("")
     for kind, lexicon in lexicons.items():
-        own = F.col("_h.kind") == kind
-        before = F.call_function("substring_index", F.regexp_replace(f"_{kind}", marks_of(lexicon), one), F.lit(one), F.col("_h.k") + 1)
-        c, s = named(F.col("_h.mark"), lexicon)
-        pos, canon, surface = (F.when(own, x).otherwise(y) for x, y in ((F.length(before), pos), (c, canon), (s, surface)))
-    return found.select(*keep, F.col("_h.kind").alias("kind"), pos.cast("long").alias("pos"), canon.alias("canon"), surface.alias("surface"))
+        c, s = named(F.col("_mark"), lexicon)
+        canon, surface = (F.when(F.col("kind") == kind, x).otherwise(y) for x, y in ((c, canon), (s, surface)))
+    pos = F.length(F.call_function("substring_index", F.col("_t"), F.col("_mark"), F.col("_k")))
+    return found.select(*keep, "kind", pos.cast("long").alias("pos"), canon.alias("canon"), surface.alias("surface"))
 
 
 def annotate_lines(lines: DataFrame, lexicons: dict[str, Lexicon], profile: TextProfile, negation: str) -> DataFrame:
