@@ -48,3 +48,11 @@ def verify_candidates(candidates: DataFrame, images: Lexicon, profile: TextProfi
     covered = F.least(F.lit(1.0), F.size(spans) / 2.0)
     score = F.least(F.lit(MOST), model * (0.5 + 0.5 * covered) * F.when(known, 1.0).otherwise(UNKNOWN) * F.when(F.col("has_counter"), 1.0).otherwise(UNCOUNTERED))
     return candidates.withColumns({"status": status, "flags": flags}).withColumn("score", F.when(F.size("flags") == 0, F.round(score, 3)))
+
+
+def literal_candidates(hits: DataFrame, lines: DataFrame, kind: str = "image") -> DataFrame:
+    """doc_id, image, spans, confidence, has_counter, claim: what can be proposed without a model: the images, each with its line
+    as evidence and with the counter-reading that nothing beyond the letter was read."""
+    own = hits.where(F.col("kind") == kind).select("doc_id", "line_no", F.col("canon").alias("image"))
+    told = own.join(lines.select("doc_id", "line_no", "line"), ["doc_id", "line_no"])
+    return told.select("doc_id", "image", F.array("line").alias("spans"), F.lit(DEFAULT).alias("confidence"), F.lit(True).alias("has_counter"), F.lit("").alias("claim"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .stage import once
+
 GRAM, MAX_DOCS, SPAN_LEVELS = 5, 20, (10, 7)  # fixed values
 
 
@@ -18,20 +20,43 @@ def shingles(units: DataFrame, n: int = GRAM) -> DataFrame:
     return units.select("doc_id", F.explode(grams).alias("g")).select("doc_id", F.col("g.pos").alias("pos"), F.col("g.gram").alias("gram"))
 
 
-def shared_positions(grams: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """a, b, pa, pb with a < b: the same gram in two documents. Grams of over `max_docs` documents are no evidence of reuse
-    (a feature of the operator); the others make at most max_docs squared pairs each, so none is hot."""
-    counted = grams.groupBy("gram").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n").between(2, max_docs)).select("gram")
-    use = grams.join(counted, "gram", "left_semi")
-    a = use.select("gram", F.col("doc_id").alias("a"), F.col("pos").alias("pa"))
-    b = use.select("gram", F.col("doc_id").alias("b"), F.col("pos").alias("pb"))
-    return a.join(b, "gram").where("a < b").select("a", "b", "pa", "pb")
+def shared_positions(units: DataFrame, n: int = GRAM, max_docs: int = MAX_DOCS) -> DataFrame:
+    """a, b, pa, pb with a < b: the same gram in two documents of doc_id, unit. Grams of over `max_docs` documents are no evidence
+    of reuse (a feature of the operator); the others make at most max_docs squared pairs each, so none is hot.
+
+    A gram goes by 128 bits of hash. Those of one document leave first, by an aggregate with map-side combining; what is left is
+    small and materialised, as both sides of the pairs read it.
+    """
+    grams = F.when(
+        F.size("unit") >= n,
+        F.transform(
+            F.sequence(F.lit(0), F.size("unit") - n),
+            lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("unit", i + 1, F.lit(n))).alias("g"), F.xxhash64(F.lit(1), F.slice("unit", i + 1, F.lit(n))).alias("h")),
+        ),
+    )
+    keyed = units.select("doc_id", F.explode(grams).alias("x")).select("doc_id", "x.pos", "x.g", "x.h")
+    several = keyed.groupBy("g", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g", "h")
+    some = once(keyed.join(several, ["g", "h"], "left_semi"))
+    counted = some.groupBy("g", "h").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") <= max_docs).select("g", "h")
+    use = some.join(counted, ["g", "h"], "left_semi")
+    a = use.select("g", "h", F.col("doc_id").alias("a"), F.col("pos").alias("pa"))
+    b = use.select("g", "h", F.col("doc_id").alias("b"), F.col("pos").alias("pb"))
+    return a.join(b, ["g", "h"]).where("a < b").select("a", "b", "pa", "pb")
+
+
+def frequent_runs(units: DataFrame, n: int = GRAM, max_docs: int = MAX_DOCS) -> DataFrame:
+    """gram, n_docs, doc_id, pos: what shared_positions leaves out, as membership instead of pairs: the documents that share each
+    gram of over `max_docs` documents, with a place of it. Grams are kept as text."""
+    grams = shingles(units, n)
+    counted = grams.groupBy("gram", "doc_id").agg(F.min("pos").alias("pos"))
+    often = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
+    return counted.join(often, "gram").select("gram", "n_docs", "doc_id", F.col("pos").cast("long").alias("pos"))
 
 
 def runs(shared: DataFrame, n: int = GRAM) -> DataFrame:
     """a, b, pa, pb, length of the maximal runs: consecutive shared grams on one diagonal."""
     w = Window.partitionBy("a", "b", F.col("pa") - F.col("pb")).orderBy("pa")
-    step = shared.distinct().withColumn("new", F.coalesce((F.col("pa") - F.lag("pa").over(w) > 1).cast("int"), F.lit(1)))
+    step = shared.withColumn("new", F.coalesce((F.col("pa") - F.lag("pa").over(w) > 1).cast("int"), F.lit(1)))
     island = step.withColumn("island", F.sum("new").over(w))
     return island.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("diagonal"), "island").agg(
         F.min("pa").alias("pa"), F.min("pb").alias("pb"), (F.max("pa") - F.min("pa") + n).alias("length")
@@ -45,3 +70,33 @@ def best_runs(found: DataFrame, sizes: DataFrame) -> DataFrame:
     out = best.select("a", "b", "r.*").join(na, "a").join(nb, "b").withColumn("coverage", F.round(F.col("length") / F.least("na", "nb"), 4))
     mode = F.when((F.col("length") >= SPAN_LEVELS[0]) & (F.col("coverage") >= 0.8), "same").when(F.col("length") >= SPAN_LEVELS[1], "quote").otherwise("echo")
     return out.select("a", "b", "pa", "pb", "length", "coverage", mode.alias("mode"))
+
+
+def pairs_within(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which both documents are asked for (doc_id)."""
+    ids = asked.select("doc_id").distinct()
+    return pairs.join(ids.select(F.col("doc_id").alias("a")), "a", "left_semi").join(ids.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
+
+
+def pairs_of(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pairs of which either document is asked for, each once."""
+    ids = asked.select("doc_id").distinct()
+    left = pairs.join(ids.select(F.col("doc_id").alias("a")), "a", "left_semi").select("a", "b")
+    return left.unionByName(pairs.join(ids.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")).distinct()
+
+
+def without_asides(found: DataFrame, spans: DataFrame, pattern: str) -> DataFrame:
+    """The best runs (a, b, ...) whose passage (a, b, span) is no stage direction: a pair with one as its best run goes."""
+    aside = spans.where(F.col("span").rlike(pattern)).select("a", "b")
+    return found.join(aside, ["a", "b"], "left_anti")
+
+
+def with_direction(pairs: DataFrame, works: DataFrame, eras: list[str]) -> DataFrame:
+    """Adds source_id, target_id and common_source to pairs: from the earlier era to the later (in the order of `eras`, unknown
+    ones last); of one era by id, and then a common source is possible."""
+    rank = lambda c: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, eras)), c), F.lit(0)), F.lit(len(eras) + 1))
+    era = works.select("doc_id", "era")
+    told = pairs.join(era.select(F.col("doc_id").alias("a"), F.col("era").alias("ea")), "a").join(era.select(F.col("doc_id").alias("b"), F.col("era").alias("eb")), "b")
+    turned = rank(F.col("eb")) < rank(F.col("ea"))
+    out = told.withColumns({"source_id": F.when(turned, F.col("b")).otherwise(F.col("a")), "target_id": F.when(turned, F.col("a")).otherwise(F.col("b")), "common_source": rank(F.col("ea")) == rank(F.col("eb"))})
+    return out.drop("ea", "eb")

@@ -63,3 +63,9 @@ def describe(counts: Column) -> list[Column]:
         F.size(counts).cast("long").alias("n_lines"), F.coalesce(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).alias("n_chars"),
         (F.size(counts) > 0) & is_uniform(counts), char_pattern(counts).alias("pattern"),
     ]
+
+
+def is_rhyme_sample(counts: Column, rhymes: Column) -> Column:
+    """Whether a work's feet tell what rhymes: even lines, 4 or 8 of 5 or 7 characters, two feet and two that differ."""
+    shape = is_uniform(counts) & F.size(counts).isin(4, 8) & F.try_element_at(counts, F.lit(1)).isin(5, 7)
+    return F.coalesce(shape & (F.size(rhymes) >= 2) & (F.size(F.array_distinct(rhymes)) >= 2), F.lit(False))

@@ -455,7 +455,7 @@ _REUSE = f"""WITH t AS (SELECT doc_id, {_TOKENS} AS u FROM documents),
 
 def _runs(spark, sf_dir):
     unit = _docs(spark, sf_dir).select("doc_id", units(F.col("text"), LATIN).alias("unit"))
-    return intertext.runs(intertext.shared_positions(intertext.shingles(unit))), unit.select("doc_id", F.size("unit").cast("long").alias("n"))
+    return intertext.runs(intertext.shared_positions(unit)), unit.select("doc_id", F.size("unit").cast("long").alias("n"))
 
 
 @_register(f"{_REUSE} SELECT * FROM r")
@@ -470,6 +470,14 @@ def intertext_pairs(spark, sf_dir):
     return intertext.best_runs(*_runs(spark, sf_dir))
 
 
+@_register(f"""WITH t AS (SELECT doc_id, {_TOKENS} AS u FROM documents),
+    g AS (SELECT doc_id, pos, array_to_string(u[pos + 1 : pos + 5], ' ') AS gram FROM t, unnest(generate_series(0, len(u) - 5)) AS x(pos) WHERE len(u) >= 5),
+    d AS (SELECT gram, count(DISTINCT doc_id) AS n_docs FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 20) SELECT gram, n_docs, doc_id, min(pos) AS pos FROM g JOIN d USING (gram) GROUP BY 1, 2, 3""")
+def intertext_frequent(spark, sf_dir):
+    """The passages that too many documents share for pairs: which documents have them, and where first."""
+    return intertext.frequent_runs(_docs(spark, sf_dir).select("doc_id", units(F.col("text"), LATIN).alias("unit")))
+
+
 # --- other tables, same operators ------------------------------------------------------------------------------------------
 @_register("""WITH c AS (SELECT l_suppkey, p_brand, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
     r AS (SELECT *, sum(n) OVER (PARTITION BY l_suppkey) AS total, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, p_brand) AS k FROM c)

@@ -242,3 +242,11 @@ def ready(spark: SparkSession, folder: str, expected: dict[str, int]) -> DataFra
             found = -1
         rows.append((name, found == n if n >= 0 else found > 0, found))
     return spark.createDataFrame(rows, "asset string, ok boolean, n long")
+
+
+WORKS = T.StructType([T.StructField(c, T.StringType()) for c in ("poem_id", "source", "book", "dynasty", "author", "title", "cipai", "genre", "section", "appreciation")] + [T.StructField(c, T.ArrayType(T.StringType())) for c in ("paragraphs", "notes", "tags")])
+
+
+def load_works(spark: SparkSession, path: str) -> DataFrame:
+    """The stored works with their declared schema."""
+    return spark.read.schema(WORKS).parquet(path)
