@@ -70,6 +70,18 @@ def without_ids(rows: DataFrame, top: int | None, *names: str) -> DataFrame:
     return rows.withColumns({name: F.when(F.col(name) <= top, F.col(name)) for name in names or ("doc_id",)})
 
 
+_kept: dict = {}
+
+
+def worker_state(owner: tuple, make):
+    """What an operator keeps in a Python worker between batches and tasks. A worker serves many stages, but keeps the state of
+    one owner at a time: that of the last who asked."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
 HOT_SHARE = 1000
 
 

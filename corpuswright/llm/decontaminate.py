@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lowered, shingle_hashes, sub_batches, text_rows, utf8_buffers, word_hashes, written
+from .common import lowered, shingle_hashes, sub_batches, text_rows, utf8_buffers, word_hashes, worker_state, written
 
 SEED_WORDS = 5
 COVERAGE = 0.5
@@ -153,15 +153,9 @@ class Items:
         return out
 
 
-_index: dict[str, Items] = {}
-
-
 def _index_of(name: str, block, least: int) -> Items:
-    """The index that this Python worker keeps: that of the block which it was last asked for."""
-    if name not in _index:
-        _index.clear()
-        _index[name] = Items(*block.value, least)
-    return _index[name]
+    """The index of a block, kept by a Python worker."""
+    return worker_state(("benchmark", name), lambda: Items(*block.value, least))
 
 
 def contamination(spark: SparkSession, items: list[tuple[int, str]], coverage: float = COVERAGE, least: int = SEED_WORDS) -> Callable:

@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, cut, mix64, text_rows
+from .common import GOLDEN, cut, mix64, text_rows, worker_state
 
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
@@ -27,21 +27,22 @@ END_ID = 1
 LOOK_AHEAD = 2048
 OPEN_BINS = 256
 GROUP_ROWS = 1 << 18
-CACHE_WORDS = 700_000
+CACHE_WORDS = 450_000
 _MARKS = ".,;:!?%&$#*|"
-_state: dict = {}
 
 
 def _encoder(path: str):
-    """The tokenizer and its cache of words, kept for the life of a Python worker."""
-    if _state.get("path") != path:
+    """The tokenizer and its cache of words, kept by a Python worker."""
+
+    def make():
         import os
 
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), cache={"": b""})
-    return _state["tokenizer"], _state["cache"]
+        return Tokenizer.from_file(path), {"": b""}
+
+    return worker_state(("packing", path), make)
 
 
 def _parts(word: str) -> tuple[str, str]:

@@ -15,24 +15,22 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from .common import text_rows
+from .common import text_rows, worker_state
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 CACHE_LETTERS = 6_000_000  # of the words whose counts a worker keeps
-_cache: dict = {}
 
 
 def known_counts(words: set[str], path: str) -> dict[str, tuple[int, float]]:
-    """The counts that this Python worker keeps, for one model at a time, with those of `words`."""
-    if _cache.get("path") != path:
-        _cache.update(path=path, counts={}, letters=0)
-    known = _cache["counts"]
+    """The counts that this Python worker keeps for a model, with those of `words`."""
+    state = worker_state(("token counts", path), lambda: {"counts": {}, "letters": 0})
+    known = state["counts"]
     new = words - known.keys()
-    if _cache["letters"] + sum(map(len, new)) > CACHE_LETTERS:
+    if state["letters"] + sum(map(len, new)) > CACHE_LETTERS:
         known.clear()
-        _cache["letters"], new = 0, words
-    _cache["letters"] += sum(map(len, new))
+        state["letters"], new = 0, words
+    state["letters"] += sum(map(len, new))
     known.update((w[1:], v) for w, v in trie_counts([SPACE + w for w in new], path).items())
     return known
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import text_rows, worker_state
 
 ORDER = 3
 DECAY = 0.7
@@ -164,16 +164,9 @@ class WordRows:
         return out
 
 
-_words: dict[tuple[str, ...], WordRows] = {}
-
-
 def words_of(landmarks: list[str]) -> WordRows:
-    """The cache of this Python worker for the landmarks that it was last asked for."""
-    key = tuple(landmarks)
-    if key not in _words:
-        _words.clear()
-        _words[key] = WordRows(landmarks)
-    return _words[key]
+    """The cache for these landmarks, kept by a Python worker."""
+    return worker_state(("toxicity", *landmarks), lambda: WordRows(landmarks))
 
 
 def _evidence(rows: np.ndarray, total: np.ndarray, n_words: int, weights: np.ndarray, bias: float) -> tuple[float, float, float]:
