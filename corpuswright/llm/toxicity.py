@@ -43,11 +43,10 @@ _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points as a matrix padded with -1, and lengths."""
-    lengths = np.array([len(w) for w in words], dtype=np.int64)
-    out = np.full((len(words), max(1, lengths.max(initial=0))), -1, dtype=np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), dtype=np.int32)
-    return out, lengths
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    width = max(1, int(lengths.max(initial=0)))
+    flat = np.frombuffer("".join([w.ljust(width, "\0") for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
+    return np.where(np.arange(width) < lengths[:, None], flat.reshape(-1, width), np.int32(-1)), lengths
 
 
 def kernel_pairs(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -68,14 +67,10 @@ def kernel_pairs(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float
     return total
 
 
-def _masks(words: list[str]) -> np.ndarray:
-    out = np.zeros(len(words), dtype=np.uint64)
-    for i, w in enumerate(words):
-        m = 0
-        for c in set(w):
-            m |= 1 << (ord(c) & 63)
-        out[i] = m
-    return out
+def _masks(codes: np.ndarray) -> np.ndarray:
+    """A bit for each letter that a row of codes has, modulo 64."""
+    bits = np.where(codes >= 0, np.uint64(1) << (codes & 63).astype(np.uint64), np.uint64(0))
+    return np.bitwise_or.reduce(bits, axis=1)
 
 
 def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -83,14 +78,15 @@ def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
     out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
     if not words or not landmarks:
         return out
-    masks, marks = _masks(words), _masks(landmarks)
-    least = np.maximum(min(3, ORDER), np.ceil(SHARED_LETTERS * np.bitwise_count(marks).astype(float)))
-    lengths = np.array([len(w) for w in words])
+    all_codes, lengths = _codes(words)
     codes, sizes = _codes(landmarks)
+    masks, marks = _masks(all_codes), _masks(codes)
+    least = np.maximum(min(3, ORDER), np.ceil(SHARED_LETTERS * np.bitwise_count(marks).astype(float))).astype(np.uint8)
+    masks[lengths < ORDER] = 0
     own = kernel_pairs(codes, codes)
     rows, columns = [], []
     for j in range(len(landmarks)):
-        near = np.flatnonzero((np.bitwise_count(masks & marks[j]) >= least[j]) & (lengths >= ORDER))
+        near = np.flatnonzero(np.bitwise_count(masks & marks[j]) >= least[j])
         rows.append(near)
         columns.append(np.full(len(near), j))
     r, c = np.concatenate(rows), np.concatenate(columns)
@@ -98,7 +94,7 @@ def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
         return out
     used = np.unique(r)
     used = used[np.argsort(lengths[used], kind="stable")]
-    mine, own_sizes = _codes([words[i] for i in used])
+    mine, own_sizes = all_codes[used], lengths[used]
     place = np.empty(len(words), dtype=np.int64)
     place[used] = np.arange(len(used))
     slices = lambda n: (slice(lo, lo + 4096) for lo in range(0, n, 4096))
@@ -134,11 +130,10 @@ class WordRows:
         parts = [_stretches(w) for w in new]
         flat = [p for ps in parts for p in ps]
         rows = kernel_rows(flat, self.landmarks)
-        hit = rows.any(axis=1) if len(flat) else np.zeros(0, bool)
-        k = 0
-        for w, ps in zip(new, parts):
-            self.cache[w] = rows[k : k + len(ps)].max(axis=0) if hit[k : k + len(ps)].any() else None
-            k += len(ps)
+        self.cache.update(dict.fromkeys(new))
+        first = np.cumsum([0, *map(len, parts)])
+        for i in np.unique(np.searchsorted(first, np.flatnonzero(rows.any(axis=1)), side="right") - 1).tolist():
+            self.cache[new[i]] = rows[first[i] : first[i + 1]].max(axis=0)
 
     def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
         """For each text: the kernel rows of the sentences that have any, the sum of all its words' rows, and its words."""
