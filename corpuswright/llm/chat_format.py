@@ -77,7 +77,7 @@ def pair_conversations(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def parroting_pairs(turns: DataFrame) -> DataFrame:
-    """A pair from every conversation with an assistant turn: chosen ends with the last one; rejected has there the text of
+    """A pair from every conversation with an assistant turn, for training on last answers only: chosen ends with the last one; rejected has there the text of
     the conversation's first turn instead (an answer that parrots), or nothing if the answer is the first turn."""
     last = F.aggregate(
         F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1).otherwise(0)), F.lit(0), lambda acc, i: F.greatest(acc, i)
@@ -96,7 +96,8 @@ def whole_pairs(turns: DataFrame) -> DataFrame:
     """
     is_answer = F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1))
     told = conversations(turns).withColumn("answers", F.filter(is_answer, lambda i: i.isNotNull()))
-    drawn = F.pmod(F.crc32(F.col("conv_id").cast("string")), F.size("answers")).cast("int") + 1
+    draw = F.conv(F.left(F.md5(F.col("conv_id").cast("string")), F.lit(8)), 16, 10).cast("long")
+    drawn = F.pmod(draw, F.greatest(F.size("answers"), F.lit(1))).cast("int") + 1
     told = told.withColumn("at", F.when(F.size("answers") > 0, F.element_at("answers", drawn)))
     text = F.when(F.col("at") > 1, F.element_at("turns", 1)["text"]).otherwise("")
     parrot = F.struct(F.lit("assistant").alias("role"), text.alias("text"))
@@ -104,7 +105,7 @@ def whole_pairs(turns: DataFrame) -> DataFrame:
     return told.select("conv_id", F.col("turns").alias("chosen"), swapped.alias("rejected"))
 
 
-ORACLE = r"""
+ORACLE_LAST = r"""
     WITH t AS (
       SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS i
@@ -129,3 +130,30 @@ ORACLE = r"""
            CASE WHEN n_prefix = last THEN '' ELSE '22:' || (32 + length(parrot)) END AS rejected_mask
     FROM n JOIN p USING (conv_id)
 """
+
+ORACLE = r"""
+    WITH t AS (
+      SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS i
+      FROM conversations WHERE conv_id IS NOT NULL
+    ), a AS (
+      SELECT conv_id, count(*) AS n, coalesce(list(i ORDER BY i) FILTER (WHERE role = 'assistant'), []) AS answers, max(text) FILTER (WHERE i = 1) AS first_text FROM t GROUP BY 1
+    ), d AS (
+      SELECT *, answers[1 + CAST('0x' || left(md5(CAST(conv_id AS VARCHAR)), 8) AS BIGINT) % greatest(len(answers), 1)] AS place FROM a
+    ), s AS (
+      SELECT t.*, n, place, CASE WHEN i = place THEN CASE WHEN place > 1 THEN first_text ELSE '' END ELSE text END AS other FROM t JOIN d USING (conv_id)
+    ), p AS (
+      SELECT conv_id, CASE WHEN max(CASE WHEN text <> other THEN 1 ELSE 0 END) = 1 THEN max(place) - 1 ELSE max(n) END AS n_prefix FROM s GROUP BY 1
+    ), r AS (
+      SELECT s.*, n_prefix, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown, '<|im_start|>' || role || chr(10) || other || '<|im_end|>' || chr(10) AS shown_other
+      FROM s JOIN p USING (conv_id)
+    ), o AS (
+      SELECT *, sum(CASE WHEN i > n_prefix THEN length(shown) ELSE 0 END) OVER w - length(shown) AS at, sum(CASE WHEN i > n_prefix THEN length(shown_other) ELSE 0 END) OVER w - length(shown_other) AS at_other
+      FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+    )
+    SELECT conv_id, CAST(n_prefix AS BIGINT) AS n_prefix, coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE i <= n_prefix), '') AS prompt,
+           coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE i > n_prefix), '') AS chosen, coalesce(string_agg(shown_other, '' ORDER BY i) FILTER (WHERE i > n_prefix), '') AS rejected,
+           coalesce(string_agg(at + length(role) + 13 || ':' || at + length(role) + 13 + length(text) + 10, ',' ORDER BY i) FILTER (WHERE i > n_prefix AND role = 'assistant'), '') AS chosen_mask,
+           coalesce(string_agg(at_other + length(role) + 13 || ':' || at_other + length(role) + 13 + length(other) + 10, ',' ORDER BY i) FILTER (WHERE i > n_prefix AND role = 'assistant'), '') AS rejected_mask
+    FROM o GROUP BY conv_id, n_prefix
+"""

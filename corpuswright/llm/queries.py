@@ -25,11 +25,11 @@ SURROGATE_KEY = "key of the registered query"
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_pairs(chat_format.parroting_pairs(read_table(spark, sf_dir, "conversations")), "conv_id")
+    return chat_format.format_pairs(chat_format.whole_pairs(read_table(spark, sf_dir, "conversations")), "conv_id")
 
 
-def op1_chat_format_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_pairs(chat_format.whole_pairs(read_table(spark, sf_dir, "conversations")), "conv_id")
+def op1_chat_format_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_pairs(chat_format.parroting_pairs(read_table(spark, sf_dir, "conversations")), "conv_id")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,13 +75,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_chat_format, op1_chat_format_whole, op2_secrets, op3_token_counts, op4_decontamination, op5_packing, op6_substring_dedup, op7_exact_dedup,
+        op1_chat_format, op1_chat_format_last, op2_secrets, op3_token_counts, op4_decontamination, op5_packing, op6_substring_dedup, op7_exact_dedup,
         op8_personal_data, op9_near_dedup, op10_toxicity,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE,
+    "op1_chat_format_last": chat_format.ORACLE_LAST,
     "op7_exact_dedup": r"""
         WITH t AS (
           SELECT doc_id, length(coalesce(text, '')) AS n,

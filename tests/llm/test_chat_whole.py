@@ -1,6 +1,6 @@
-"""op1_chat_format_whole against plain Python: no conversation and no turn is lost, and sides part at any turn."""
+"""op1_chat_format against plain Python: no conversation and no turn is lost, and sides part at any turn."""
 
-import zlib
+import hashlib
 
 import duckdb
 
@@ -27,7 +27,7 @@ def _want(conv_id, turns):
     answers = [k for k, (role, _) in enumerate(turns) if role == "assistant"]
     other = list(turns)
     if answers:
-        k = answers[zlib.crc32(str(conv_id).encode()) % len(answers)]
+        k = answers[int(hashlib.md5(str(conv_id).encode()).hexdigest()[:8], 16) % len(answers)]
         other[k] = ("assistant", turns[0][1] if k else "")
     n = 0
     while n < len(turns) and turns[n] == other[n]:
@@ -41,7 +41,7 @@ def test_whole_conversations(spark):
               ORDER BY conv_id, turn NULLS FIRST, 2, 3"""
     for i, role, text in duckdb.sql(sql).fetchall():
         told.setdefault(i, []).append((role, text))
-    rows = queries.op1_chat_format_whole(spark, SF).collect()
+    rows = queries.op1_chat_format(spark, SF).collect()
     got = {r.conv_id: (r.n_prefix, r.prompt, r.chosen, r.rejected, r.chosen_mask, r.rejected_mask) for r in rows}
     assert len(rows) == len(told) and got == {i: _want(i, turns) for i, turns in told.items()}
     assert len({len(told[i]) - g[0] for i, g in got.items()}) > 2  # sides part early and late
@@ -57,3 +57,16 @@ def test_no_answer_and_tail_are_kept(spark):
     assert "tail" in got[1].chosen and "tail" in got[1].rejected
     assert got[2].prompt == "<|im_start|>user\nx<|im_end|>\n" and got[2].chosen == got[2].rejected == got[2].chosen_mask == ""
     assert got[3].n_prefix == 0 and got[3].rejected_mask == "22:32"
+
+
+def test_two_tables_of_turns(spark):
+    """Sides of one pair from two tables; a conversation on one side only makes no pair; very long turns are rendered whole."""
+    schema = "conv_id long, turn long, role string, text string"
+    long = "word " * 200_000
+    a = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long), (2, 0, "user", "only here"), (3, 0, "user", "same")], schema)
+    b = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "short"), (1, 2, "user", "more"), (3, 0, "user", "same")], schema)
+    got = {r.conv_id: r for r in chat_format.pair_conversations(a, b).collect()}
+    assert set(got) == {1, 3} and got[1].n_prefix == 1 and got[1].prompt == _shown([("user", "q")])
+    assert got[1].chosen == _shown([("assistant", long)]) and got[1].chosen_mask == f"22:{32 + len(long)}"
+    assert got[1].rejected == _shown([("assistant", "short"), ("user", "more")]) and got[1].rejected_mask == "22:37"
+    assert (got[3].n_prefix, got[3].chosen, got[3].rejected) == (1, "", "")

@@ -149,6 +149,24 @@ def test_stages_on_edges(spark, edge, empty, labels, items, tmp_path):
         for docs in (edge, empty):
             got = stage(spark, docs, str(tmp_path))
             assert name == "packing" or got.columns == docs.columns
-            assert got.count() >= 0
+            assert (got.count() > 0) == (docs is edge)
     edge.select("doc_id", "text", "lang", "source").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_contaminated_by_ties_and_repeats(spark):
+    """Equal items are both reported; a text and an item of one repeated word are tiled once over."""
+    items = spark.createDataFrame([(1, SENTENCE), (2, SENTENCE), (3, "again " * 60)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, SENTENCE), (2, "again " * 30_000), (3, "again " * 29 + "other words end it here now")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_words) for r in contaminated(docs, items).collect())
+    assert got == [(1, 1, 17), (1, 2, 17), (2, 3, 60)]
+
+
+def test_toxicity_of_ties(spark):
+    """Equal texts have equal scores, and rows that tie in every number do not change the fit."""
+    rows = [(i, "green field quiet evening." if i % 3 else "you idiot and moron.") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    one, two = fit(docs, labels), fit(docs.orderBy(F.desc("doc_id")), labels.repartition(3))
+    a, b = ({r.doc_id: r.score for r in score(docs, m).collect()} for m in (one, two))
+    assert a == b and len(set(a.values())) == 2 and all((a[i] >= 0.5) == (i % 3 == 0) for i in a)
