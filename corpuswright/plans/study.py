@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import annotate, intertext, profiles
+from ..functions.text import LATIN
+from ..operators import annotate, compose, intertext, profiles, rules
 from ..operators.stage import once
 from . import induced
 from . import queries as base
-from .induced import _GROUPS, _WORKS, works
+from .induced import _GROUPS, _THEMES, _WORKS, works
+from .lexicons import LEXICONS
+from .lookups import _PLAIN
 from .queries import _ROLLED, _docs, _table
 
 QUERIES: dict = {}
@@ -125,3 +128,48 @@ def intertext_direction(spark, sf_dir):
     """Pairs of reuse from the earlier era to the later."""
     pairs = base.intertext_pairs(spark, sf_dir).select("a", "b", "mode")
     return intertext.with_direction(pairs, _docs(spark, sf_dir).select("doc_id", F.col("lang").alias("era")), base.LANGS)
+
+
+# --- aids for writing ----------------------------------------------------------------------------------------------------------
+@_register(f"""{_ROLLED}, {_THEMES}, {_PLAIN}, c AS (SELECT theme, canon, count(*) AS n FROM themes JOIN rolled USING (doc_id) WHERE kind = 'image' GROUP BY 1, 2),
+    r AS (SELECT theme, canon AS image, row_number() OVER (PARTITION BY theme ORDER BY n DESC, canon) AS rank FROM c), asked AS (SELECT DISTINCT doc_id AS mood_id, kind, canon FROM wanted),
+    o AS (SELECT mood_id, 0 AS rank, canon AS image FROM asked WHERE kind = 'image' UNION ALL SELECT mood_id, rank, image FROM asked JOIN r ON theme = canon WHERE kind = 'theme' AND rank <= 6),
+    b AS (SELECT mood_id, image, min(rank) AS rank FROM o WHERE image <> 'river' GROUP BY 1, 2), k AS (SELECT mood_id, row_number() OVER (PARTITION BY mood_id ORDER BY rank, image) AS place, image FROM b) SELECT * FROM k WHERE place <= 8""")
+def image_suggestions(spark, sf_dir):
+    """Images for the mood of each benchmark item, without the river."""
+    found = base._annotated(spark, sf_dir)
+    held = rules.theme_rules(found).select("theme", "doc_id")
+    images = annotate.roll_up(found).where("kind = 'image'").select("doc_id", "canon")
+    top = profiles.top_rows(held.join(images, "doc_id").groupBy("theme", "canon").agg(F.count(F.lit(1)).alias("n")), ["theme"], "canon", "n", 6).select("theme", F.col("value").alias("image"), "rank")
+    moods = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("mood_id"), "text")
+    return compose.suggest_images(moods, top, LEXICONS, ["river"], LATIN)
+
+
+PLANS = [(1, 5, "er"), (2, 14, ""), (3, 100, "zz")]
+
+
+@_register(f"""{_GROUPS}, size AS (SELECT component, count(*) AS n_members FROM comp GROUP BY 1), q(plan_id, n_lines, foot) AS (VALUES {", ".join(f"({i}, {n}, '{f}')" for i, n, f in PLANS)}),
+    p AS (SELECT plan_id, greatest(8, least(60, n_lines)) // 4 AS n_segments, component AS wished FROM q LEFT JOIN comp ON node = foot),
+    t AS (SELECT plan_id, n_segments, label, row_number() OVER (PARTITION BY plan_id ORDER BY coalesce(l.component = wished, false) DESC, n_members DESC, l.component) AS segment FROM p, label l JOIN size USING (component) WHERE n_members <= 250 OR coalesce(l.component = wished, false))
+    SELECT plan_id, segment, (segment - 1) * 4 + 1 AS first_line, label FROM t WHERE segment <= n_segments""")
+def rhyme_plan(spark, sf_dir):
+    """Groups of rhymes for three poems to be: too short, in between, too long."""
+    components, groups = induced._groups(spark, sf_dir)
+    return compose.rhyme_plan(spark.createDataFrame(PLANS, "plan_id int, n_lines int, foot string"), groups, components)
+
+
+@_register("SELECT * FROM (VALUES ('如梦令', 0, CAST(6 AS BIGINT)), ('如梦令', 1, 6), ('如梦令', 2, 5), ('忆江南', 0, 3)) AS f(tune, line_no, n_chars)")
+def cjk_tune_frames(spark, sf_dir):
+    rows = [("如梦令", "6-6-5"), ("如梦令", "6-6-5"), ("如梦令", "6-6"), ("忆江南", "3"), ("忆江南", "3"), ("失调名", "1"), ("失调名", "1")]
+    fixed = profiles.modal_profiles(spark.createDataFrame(rows, "tune string, pattern string"), "tune", "pattern", left_out=("失调名",))
+    return compose.tune_frames(fixed, "tune", "mode")
+
+
+@_register(f"""WITH l AS (SELECT doc_id AS draft_id, line_no, ' ' || array_to_string(regexp_extract_all(lower(line), '[a-zß-ÿ]+'), ' ') || ' ' AS needle, len(regexp_extract_all(lower(line), '[a-zß-ÿ]+')) AS n FROM ({base._LINE_ROWS.replace("doc_id", "item_id").replace("documents", "benchmark").replace("SELECT item_id, unnest", "SELECT item_id AS doc_id, unnest", 1)})),
+    h AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-zß-ÿ]+'), ' ') || ' ' AS hay FROM documents)
+    SELECT draft_id, CAST(line_no AS INT) AS line_no, count(*) AS n_docs, min(doc_id) AS first_doc FROM l JOIN h ON n >= 5 AND contains(hay, needle) GROUP BY 1, 2""")
+def draft_collisions(spark, sf_dir):
+    """Each benchmark item as a draft: its lines that stand in documents."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    drafts = annotate.lines_of(items, F.col("text"), LATIN).withColumnRenamed("doc_id", "draft_id")
+    return compose.collisions(drafts, _docs(spark, sf_dir).select("doc_id", "text"), LATIN)
