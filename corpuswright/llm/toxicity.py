@@ -31,6 +31,7 @@ ORDER = 3
 DECAY = 0.7
 MAX_WORD = 32  # longer words are compared in overlapping stretches of this length
 CACHE_WORDS = 250_000
+PORTION = 500_000  # characters of texts whose words are learnt at once
 SENTENCES_A_ROW = 3
 LEAST_KERNEL = 0.35  # lower similarities count as none
 SHARED_LETTERS = 0.75  # of a landmark's distinct letters, so many at least must be in the word
@@ -67,10 +68,14 @@ def kernel_pairs(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float
     return total
 
 
-def _masks(codes: np.ndarray) -> np.ndarray:
-    """A bit for each letter that a row of codes has, modulo 64."""
-    bits = np.where(codes >= 0, np.uint64(1) << (codes & 63).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
+def _masks(words: list[str]) -> np.ndarray:
+    """A bit for each letter that a word has, modulo 64."""
+    out = np.zeros(len(words), dtype=np.uint64)
+    for lo in range(0, len(words), 8192):
+        codes, _ = _codes(words[lo : lo + 8192])
+        bits = np.where(codes >= 0, np.uint64(1) << (codes & 63).astype(np.uint64), np.uint64(0))
+        out[lo : lo + 8192] = np.bitwise_or.reduce(bits, axis=1)
+    return out
 
 
 def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -78,9 +83,9 @@ def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
     out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
     if not words or not landmarks:
         return out
-    all_codes, lengths = _codes(words)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     codes, sizes = _codes(landmarks)
-    masks, marks = _masks(all_codes), _masks(codes)
+    masks, marks = _masks(words), _masks(landmarks)
     least = np.maximum(min(3, ORDER), np.ceil(SHARED_LETTERS * np.bitwise_count(marks).astype(float))).astype(np.uint8)
     masks[lengths < ORDER] = 0
     own = kernel_pairs(codes, codes)
@@ -94,7 +99,7 @@ def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
         return out
     used = np.unique(r)
     used = used[np.argsort(lengths[used], kind="stable")]
-    mine, own_sizes = all_codes[used], lengths[used]
+    mine, own_sizes = _codes([words[i] for i in used])
     place = np.empty(len(words), dtype=np.int64)
     place[used] = np.arange(len(used))
     slices = lambda n: (slice(lo, lo + 4096) for lo in range(0, n, 4096))
@@ -116,6 +121,18 @@ def _stretches(word: str) -> list[str]:
     return [f[k : k + MAX_WORD] for f in forms for k in range(0, max(1, len(f) - MAX_WORD // 2), MAX_WORD // 2)]
 
 
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about PORTION characters; a longer text stands alone."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= PORTION):
+            size += len(texts[hi])
+            hi += 1
+        yield texts[lo:hi]
+        lo = hi
+
+
 class WordRows:
     """Kernel rows of words, kept between batches: None for a word that resembles no landmark."""
 
@@ -280,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 12_000, n_land
         known = WordRows(landmarks)
         for b in batches:
             out = []
-            for toxic, (matrix, total, n_words) in zip(b["toxic"].tolist(), known.read(b["text"].tolist())):
+            for toxic, (matrix, total, n_words) in zip(b["toxic"].tolist(), (m for part in portions(b["text"].tolist()) for m in known.read(part))):
                 top = matrix[np.argsort(-matrix.sum(axis=1), kind="stable")[:SENTENCES_A_ROW]]
                 out.append((int(toxic > 0), top.astype(np.float32).tobytes(), total.astype(np.float32).tobytes(), n_words))
             yield pd.DataFrame(out, columns=["toxic", "rows", "total", "n_words"])
@@ -317,8 +334,7 @@ def score_column(model: ToxicityModel) -> Callable:
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = words_of(model.landmarks)
         for texts in batches:
-            texts = texts.tolist()
-            yield pd.Series([model.score(*m) for lo in range(0, len(texts), 400) for m in known.read(texts[lo : lo + 400])], dtype="float64")
+            yield pd.Series([model.score(*m) for part in portions(texts.tolist()) for m in known.read(part)], dtype="float64")
 
     return scores
 
