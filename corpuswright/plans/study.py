@@ -109,8 +109,8 @@ def research_assets(spark, sf_dir):
     return nodes.unionByName(edges).unionByName(eras)
 
 
-@_register(f"""{base._REUSE}, b AS (SELECT DISTINCT a, b FROM r), s AS (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3')),
-    w AS (SELECT a, b, 'within' AS how FROM b WHERE a IN (SELECT doc_id FROM s) AND b IN (SELECT doc_id FROM s)), o AS (SELECT a, b, 'either' AS how FROM b WHERE a IN (SELECT doc_id FROM s) OR b IN (SELECT doc_id FROM s)) SELECT * FROM w UNION ALL SELECT * FROM o""")
+@_register(f"""{base._REUSE}, pairs AS (SELECT DISTINCT a, b FROM r), asked AS (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3')),
+    w AS (SELECT a, b, 'within' AS how FROM pairs WHERE a IN (SELECT doc_id FROM asked) AND b IN (SELECT doc_id FROM asked)), o AS (SELECT a, b, 'either' AS how FROM pairs WHERE a IN (SELECT doc_id FROM asked) OR b IN (SELECT doc_id FROM asked)) SELECT * FROM w UNION ALL SELECT * FROM o""")
 def intertext_of_sources(spark, sf_dir):
     """The pairs within three sources, and those that one of their documents is in."""
     pairs = once(base._runs(spark, sf_dir)[0].select("a", "b").distinct())

@@ -83,7 +83,7 @@ def readings(spark: SparkSession, syllables: str, chars: str, tones: dict[str, s
 
 def tune_patterns(spark: SparkSession, path: str, charset: str = "UTF-16") -> DataFrame:
     """cipai, aliases, intro, forms (label, pattern) from the XML of a book of tunes; its signs are shown in usual ones."""
-    form = "struct<_VALUE:string,_说明:string>"
+    form = "struct<_VALUE:string,`_说明`:string>"
     schema = f"`名称` array<string>, `说明` string, `正文` array<struct<`格律`:array<{form}>>>"
     raw = spark.read.format("xml").option("rowTag", "词牌").option("charset", charset).schema(schema).load(path)
     names = F.filter(F.transform("名称", lambda n: F.trim(n)), lambda n: n != "")
