@@ -148,12 +148,12 @@ ORACLE = r"""
       SELECT s.*, n_prefix, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown, '<|im_start|>' || role || chr(10) || other || '<|im_end|>' || chr(10) AS shown_other
       FROM s JOIN p USING (conv_id)
     ), o AS (
-      SELECT *, sum(CASE WHEN i > n_prefix THEN length(shown) ELSE 0 END) OVER w - length(shown) AS at, sum(CASE WHEN i > n_prefix THEN length(shown_other) ELSE 0 END) OVER w - length(shown_other) AS at_other
+      SELECT *, sum(CASE WHEN i > n_prefix THEN length(shown) ELSE 0 END) OVER w - length(shown) AS own_off, sum(CASE WHEN i > n_prefix THEN length(shown_other) ELSE 0 END) OVER w - length(shown_other) AS other_off
       FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i)
     )
     SELECT conv_id, CAST(n_prefix AS BIGINT) AS n_prefix, coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE i <= n_prefix), '') AS prompt,
            coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE i > n_prefix), '') AS chosen, coalesce(string_agg(shown_other, '' ORDER BY i) FILTER (WHERE i > n_prefix), '') AS rejected,
-           coalesce(string_agg(at + length(role) + 13 || ':' || at + length(role) + 13 + length(text) + 10, ',' ORDER BY i) FILTER (WHERE i > n_prefix AND role = 'assistant'), '') AS chosen_mask,
-           coalesce(string_agg(at_other + length(role) + 13 || ':' || at_other + length(role) + 13 + length(other) + 10, ',' ORDER BY i) FILTER (WHERE i > n_prefix AND role = 'assistant'), '') AS rejected_mask
+           coalesce(string_agg((own_off + length(role) + 13) || ':' || (own_off + length(role) + 23 + length(text)), ',' ORDER BY i) FILTER (WHERE i > n_prefix AND role = 'assistant'), '') AS chosen_mask,
+           coalesce(string_agg((other_off + length(role) + 13) || ':' || (other_off + length(role) + 23 + length(other)), ',' ORDER BY i) FILTER (WHERE i > n_prefix AND role = 'assistant'), '') AS rejected_mask
     FROM o GROUP BY conv_id, n_prefix
 """
