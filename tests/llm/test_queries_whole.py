@@ -137,4 +137,4 @@ def test_toxicity_on_the_held_out_fold(spark):
     area = sum((x > y) + 0.5 * (x == y) for x in bad for y in good) / (len(good) * len(bad))
     right = sum(t == p for _, t, p in rows) / len(rows)
     print("held out", len(rows), "toxic", len(bad), "AUC", round(area, 4), "accuracy", round(right, 4))
-    assert len(bad) > 50 and area > 0.94 and right > 0.96  # a tenth of the labels say otherwise than the words of the text
+    assert len(bad) > 50 and area > 0.94 and right > 0.96
