@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import FIRST_MARK, Lexicon, TextProfile, fold, marks_of, mask, named, negated, split_lines
+from ..functions.text import Lexicon, TextProfile, fold, marks_of, mask, named, negated, split_lines
 from .stage import once
 
 

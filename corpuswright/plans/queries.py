@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import LATIN, contains_verbatim, dice, pairs_of, split_lines, tokens, units
+from ..functions.text import LATIN, contains_verbatim, dice, split_lines, tokens, units
 from ..operators import annotate, intertext, metrics, retrieve, review
 from ..operators.components import connected_components
 from ..operators.dedup_merge import merge_collections
