@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format
+from . import chat_format, conversation_trie, hard_negatives, language_model
 from .common import read_table
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
@@ -72,17 +72,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~in_training_fold()).alias("held_out"), "score", "predicted")
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_model.score(docs, language_model.fit(docs.where(language_model.in_training_part())))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op1_chat_format_last, op2_secrets, op3_token_counts, op4_decontamination, op5_packing, op6_substring_dedup, op7_exact_dedup,
-        op8_personal_data, op9_near_dedup, op10_toxicity,
+        op8_personal_data, op9_near_dedup, op10_toxicity, op11_lm_scores, op12_prefix_trie, op13_hard_negatives,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE,
     "op1_chat_format_last": chat_format.ORACLE_LAST,
+    "op12_prefix_trie": conversation_trie.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
     "op7_exact_dedup": r"""
         WITH t AS (
           SELECT doc_id, length(coalesce(text, '')) AS n,
