@@ -35,9 +35,9 @@ from .common import GOLDEN, IS_SPACE, mix64, shared_folder, utf8_buffers, word_h
 
 ORDER = 2
 BEGIN, END = mix64(np.array([0x5EED0001, 0x5EED0002], dtype=np.uint64) * GOLDEN)
-CHUNK_BYTES = 2 << 20
-PORTION_TOKENS = 3 << 20
-BUCKET_BYTES = 24 << 20
+CHUNK_BYTES = 1 << 20
+PORTION_TOKENS = 2 << 20
+BUCKET_BYTES = 16 << 20
 FAN = 512
 GRAM, CONTEXT, TOKEN, STATS = range(4)
 PACKED = "kind int, level int, bucket int, keys binary, sums binary"
@@ -287,7 +287,7 @@ def _settle(level: int, order: int, buckets: int, width: int, folder: str):
 
     def run(key, table):
         kind, mine, at = (k.as_py() for k in key)
-        rows = {c: [x.as_py() for x in table.column(c)] for c in ("keys", "sums")}
+        rows = {c: [x.as_buffer() for x in table.column(c)] for c in ("keys", "sums")}
         out = list(_batches(emit(kind, mine, at, rows)))
         empty = pa.schema([("kind", pa.int32()), ("level", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("sums", pa.binary())])
         return pa.Table.from_batches(out, schema=empty)
