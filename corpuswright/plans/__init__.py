@@ -1,7 +1,7 @@
 """All registered queries of the library: name -> (spark, folder of tables) -> DataFrame, and their SQL."""
 
-from . import checks, cjk_queries, induced, lookups, queries, study
+from . import checks, cjk_queries, induced, lookups, queries, retrieval, study
 
-_MODULES = (queries, induced, lookups, checks, study, cjk_queries)
+_MODULES = (queries, induced, lookups, checks, study, retrieval, cjk_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
