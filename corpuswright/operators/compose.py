@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import Lexicon, TextProfile, fold, units
 from .annotate import hits_in
-from .intertext import shingles
+from .lookup import occurrences
 
 IMAGES_A_THEME, SUGGESTIONS = 6, 8  # fixed values
 LEAST_LINES, MOST_LINES, SEGMENT = 8, 60, 4  # fixed values
@@ -46,15 +46,10 @@ def tune_frames(profiles: DataFrame, key: str, pattern: str) -> DataFrame:
     return profiles.select(key, F.posexplode(F.split(pattern, "-")).alias("line_no", "n")).select(key, "line_no", F.col("n").cast("long").alias("n_chars"))
 
 
-def collisions(drafts: DataFrame, corpus: DataFrame, profile: TextProfile, words: int = 5) -> DataFrame:
-    """draft_id, line_no, n_docs, first_doc: lines of drafts (draft_id, line_no, line) of at least `words` units that stand in the
-    corpus (doc_id, text), unit for unit. Lines meet texts by an equi-join on their first units; equal lines are asked for once."""
-    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    asked = drafts.select("draft_id", "line_no", units(F.col("line"), profile).alias("u")).where(F.size("u") >= words)
-    asked = asked.select("draft_id", "line_no", spaced(F.col("u")).alias("needle"), F.array_join(F.slice("u", 1, words), " ").alias("gram"))
-    needles = asked.select("needle", "gram").distinct()
-    split = corpus.select("doc_id", units(F.col("text"), profile).alias("unit"))
-    met = shingles(split, words).select("doc_id", "gram").join(needles, "gram").select("doc_id", "needle").distinct()
-    found = met.join(split.select("doc_id", spaced(F.col("unit")).alias("hay")), "doc_id").where(F.contains("hay", F.col("needle")))
-    per = found.groupBy("needle").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    return asked.join(per, "needle").select("draft_id", "line_no", "n_docs", "first_doc")
+def collisions(drafts: DataFrame, corpus: DataFrame, profile: TextProfile) -> DataFrame:
+    """draft_id, line_no, n_docs, first_doc: lines of drafts (draft_id, line_no, line), of any length, that stand in the corpus
+    (doc_id, text), unit for unit. Equal lines are asked for once."""
+    asked = drafts.select("draft_id", "line_no", units(F.col("line"), profile).alias("passage"))
+    found = occurrences(corpus.select("doc_id", units(F.col("text"), profile).alias("unit")), asked)
+    per = found.groupBy("passage").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    return asked.join(per, "passage").select("draft_id", "line_no", "n_docs", "first_doc")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import TextProfile, units
-from .intertext import shingles
+from .lookup import occurrences
 
 MARKERS, NOTES, LEAST_NOTE, LEAST_FEET, MOST_LINES = 6, 20, 4, 2, 8  # fixed values
 STRONG, WEAK = 0, 2
@@ -61,25 +61,17 @@ def number_rules(*families: tuple[DataFrame, list[str]]) -> DataFrame:
     return out.withColumn("seq", seq).withColumn("rule_id", F.format_string("R%d_%03d", "doc_id", "seq")).drop("_family", "_order")
 
 
-def _spaced(text: Column, profile: TextProfile) -> Column:
-    return F.concat(F.lit(" "), F.array_join(units(text, profile), " "), F.lit(" "))
-
-
-def bind_external(works: DataFrame, external: DataFrame, profile: TextProfile, words: int = 5) -> DataFrame:
+def bind_external(works: DataFrame, external: DataFrame, profile: TextProfile) -> DataFrame:
     """doc_id, ext_id: for works (doc_id, author, first_line) the least analysis (ext_id, author, text) by the same author, other
-    than the work itself, whose text has the first line, unit for unit. Lines of under `words` units bind nothing.
+    than the work itself, whose text has the first line, unit for unit, however short it is. A line without units binds nothing.
 
-    Equal first lines of an author are asked for once, by an equi-join on their first units, and the two least analyses of each
-    are kept: so copies of a work do not meet each other pairwise.
+    Equal first lines of an author are asked for once, and the two least analyses of each are kept: so copies of a work do not
+    meet each other pairwise.
     """
-    asked = works.select("doc_id", "author", _spaced(F.col("first_line"), profile).alias("line"), F.slice(units(F.col("first_line"), profile), 1, words).alias("u"))
-    asked = asked.where(F.size("u") >= words).select("doc_id", "author", "line", F.array_join("u", " ").alias("gram"))
-    lines = asked.select("author", "line", "gram").distinct()
-    cut = external.select(F.col("ext_id").alias("doc_id"), units(F.col("text"), profile).alias("unit"))
-    grams = shingles(cut, words).select(F.col("doc_id").alias("ext_id"), "gram").join(lines.select("gram").distinct(), "gram", "left_semi").distinct()
-    tried = grams.join(external.select("ext_id", "author", _spaced(F.col("text"), profile).alias("hay")), "ext_id")
-    met = lines.join(tried, ["author", "gram"]).where(F.contains("hay", F.col("line"))).select("author", "line", "ext_id")
-    two = met.groupBy("author", "line").agg(F.min("ext_id").alias("one"))
-    other = met.join(two, ["author", "line"]).where("ext_id <> one").groupBy("author", "line").agg(F.min("ext_id").alias("two"))
-    told = asked.select("doc_id", "author", "line").join(two, ["author", "line"]).join(other, ["author", "line"], "left")
+    asked = works.select("doc_id", "author", units(F.col("first_line"), profile).alias("passage"))
+    texts = external.select(F.col("ext_id").alias("doc_id"), "author", units(F.col("text"), profile).alias("unit"))
+    met = occurrences(texts, asked.select("passage", "author"), ["author"]).select("author", "passage", F.col("doc_id").alias("ext_id"))
+    two = met.groupBy("author", "passage").agg(F.min("ext_id").alias("one"))
+    again = met.join(two, ["author", "passage"]).where(F.col("ext_id") != F.col("one")).groupBy("author", "passage").agg(F.min("ext_id").alias("two"))
+    told = asked.join(two, ["author", "passage"]).join(again, ["author", "passage"], "left")
     return told.select("doc_id", F.when(F.col("one") != F.col("doc_id"), F.col("one")).otherwise(F.col("two")).alias("ext_id")).where("ext_id IS NOT NULL")

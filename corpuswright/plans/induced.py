@@ -85,7 +85,7 @@ _SPACED = "' ' || array_to_string(regexp_extract_all(lower({}), '[a-zß-ÿ]+'),
 
 
 @_register(f"""WITH f AS (SELECT doc_id, source, {_SPACED.format("x")} AS line FROM (SELECT doc_id, source, {_LINES}[1] AS x FROM documents)
-      WHERE len(regexp_extract_all(lower(x), '[a-zß-ÿ]+')) >= 5), h AS (SELECT doc_id AS ext_id, source, {_SPACED.format("text")} AS hay FROM documents)
+      WHERE len(regexp_extract_all(lower(x), '[a-zß-ÿ]+')) > 0), h AS (SELECT doc_id AS ext_id, source, {_SPACED.format("text")} AS hay FROM documents)
     SELECT doc_id, min(ext_id) AS ext_id FROM f JOIN h ON h.source = f.source AND ext_id <> doc_id AND contains(hay, line) GROUP BY 1""")
 def external_binding(spark, sf_dir):
     """Each document bound to the first other one of its source that has its first line."""

@@ -167,7 +167,7 @@ def cjk_tune_frames(spark, sf_dir):
 
 @_register(f"""WITH l AS (SELECT doc_id AS draft_id, line_no, ' ' || array_to_string(regexp_extract_all(lower(line), '[a-zß-ÿ]+'), ' ') || ' ' AS needle, len(regexp_extract_all(lower(line), '[a-zß-ÿ]+')) AS n FROM ({base._LINE_ROWS.replace("doc_id", "item_id").replace("documents", "benchmark").replace("SELECT item_id, unnest", "SELECT item_id AS doc_id, unnest", 1)})),
     h AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-zß-ÿ]+'), ' ') || ' ' AS hay FROM documents)
-    SELECT draft_id, CAST(line_no AS INT) AS line_no, count(*) AS n_docs, min(doc_id) AS first_doc FROM l JOIN h ON n >= 5 AND contains(hay, needle) GROUP BY 1, 2""")
+    SELECT draft_id, CAST(line_no AS INT) AS line_no, count(*) AS n_docs, min(doc_id) AS first_doc FROM l JOIN h ON n > 0 AND contains(hay, needle) GROUP BY 1, 2""")
 def draft_collisions(spark, sf_dir):
     """Each benchmark item as a draft: its lines that stand in documents."""
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
