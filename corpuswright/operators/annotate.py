@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import Lexicon, TextProfile, fold, marks_of, mask, named, negated, split_lines
-from .stage import once
+from ..functions.text import Lexicon, TextProfile, fold, marks_of, mask, named, negated, split_lines, without_private
+from .stage import kept
 
 
 def lines_of(docs: DataFrame, text: Column, profile: TextProfile) -> DataFrame:
@@ -19,7 +21,8 @@ def hits_in(texts: DataFrame, folded: str, lexicons: dict[str, Lexicon], *keep:
     """kind, pos (from 0), canon, surface and the columns to keep: a row a hit in the column `folded`; kinds have masks of their
     own. All texts are masked, by compiled `replace`; those that it left alone go. The place of a surface's k-th hit is the
     length of what stands before the k-th of its marks."""
-    masked = texts.select(*keep, F.col(folded).alias("_f"), *(mask(F.col(folded), lexicon).alias(f"_{kind}") for kind, lexicon in lexicons.items()))
+    texts = texts.select(*keep, without_private(F.col(folded)).alias("_f"))
+    masked = texts.select(*dict.fromkeys([*keep, "_f"]), *(mask(F.col("_f"), lexicon).alias(f"_{kind}") for kind, lexicon in lexicons.items()))
     some = masked.where(F.greatest(*(F.col(f"_{kind}") != F.col("_f") for kind in lexicons)) if len(lexicons) > 1 else F.col(f"_{next(iter(lexicons))}") != F.col("_f"))
 
     def of_kind(kind: str) -> Column:
@@ -42,11 +45,22 @@ def hits_in(texts: DataFrame, folded: str, lexicons: dict[str, Lexicon], *keep:
 
 
 def annotate_lines(lines: DataFrame, lexicons: dict[str, Lexicon], profile: TextProfile, negation: str) -> DataFrame:
-    """doc_id, line_no, kind, pos, canon, surface, negated: a row a hit. Hits are few and narrow, and what is built on them reads
-    them more than once, so they are materialised."""
+    """doc_id, line_no, kind, pos, canon, surface, negated: a row a hit."""
     folded = lines.select("doc_id", "line_no", fold(F.col("line"), profile).alias("f"))
     found = hits_in(folded, "f", lexicons, "doc_id", "line_no", "f")
-    return once(found.select("doc_id", "line_no", "kind", "pos", "canon", "surface", negated(F.col("f"), F.col("pos").cast("int"), negation).alias("negated")))
+    return found.select("doc_id", "line_no", "kind", "pos", "canon", "surface", negated(F.col("f"), F.col("pos").cast("int"), negation).alias("negated"))
+
+
+def annotation(docs: DataFrame, lexicons: dict[str, Lexicon], profile: TextProfile, negation: str) -> DataFrame:
+    """annotate_lines of `docs` (doc_id, text) as a stored table, which everything about the same texts and lexicons reads.
+
+    The table's name has the lexicons and two sums of hashes of all rows: so the texts are scanned to see that they are the same,
+    and annotated only where they are not.
+    """
+    sums = [F.coalesce(F.sum(F.xxhash64("doc_id", "text", F.lit(seed)).cast("decimal(38,0)")), F.lit(0)).cast("string").alias(f"s{seed}") for seed in (1, 2)]
+    told = docs.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+    name = hashlib.sha256(repr((tuple(told), lexicons, profile, negation)).encode()).hexdigest()
+    return kept(annotate_lines(lines_of(docs, F.col("text"), profile), lexicons, profile, negation), f"annotation-{name}")
 
 
 def roll_up(found: DataFrame) -> DataFrame:

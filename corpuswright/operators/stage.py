@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """`df` as it is, or, where reading it gives fewer tasks than there are cores, dealt to twice as many by a hash of the columns
+    named. A file with one row group is one task, however many cores wait; what so few tasks read (at most a split each) is small
+    enough to move. Large tables never do."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, *by)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table of that name in the shared folder: computed where it is not there as a whole, else read. The name must say
+    what the table depends on. Two who write it at once write the same rows, and one table stays."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    done = hadoop(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        mine = f"{path}-{uuid.uuid4().hex}"
+        df.write.parquet(mine)
+        fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(hadoop(path)) or not fs.rename(hadoop(mine), hadoop(path)):
+            path = mine
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def once(df: DataFrame) -> DataFrame:
     """`df` materialised, so that what is built on it does not compute it again, and without its lineage."""
     shared_folder(df.sparkSession)

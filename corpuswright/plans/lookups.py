@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LATIN, split_lines, tokens, units
-from ..operators import annotate, intertext, profiles, resolve, search
-from ..operators.stage import once
+from ..operators import annotate, index, intertext, lookup, profiles, resolve, search
+from ..operators.stage import once, shared_folder
 from . import queries as base
 from .lexicons import IMAGES, LEXICONS, THEMES
 from .queries import _HITS, _LINES, _REUSE, _ROLLED, _TOKENS, _bm25, _docs, _table
@@ -211,37 +213,55 @@ def mood_match_batch(spark, sf_dir):
 
 
 @_register(f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS hay FROM documents), q AS (SELECT item_id, array_to_string({_TOKENS}, '') AS folded, {_TOKENS} AS u FROM benchmark),
-    m AS (SELECT item_id, min(doc_id) AS doc_id FROM q JOIN d ON len(u) >= 5 AND contains(hay, ' ' || array_to_string(u, ' ') || ' ') GROUP BY 1)
+    m AS (SELECT item_id, min(doc_id) AS doc_id FROM q JOIN d ON len(u) > 0 AND contains(hay, ' ' || array_to_string(u, ' ') || ' ') GROUP BY 1)
     SELECT item_id, CASE WHEN NOT contains(folded, 'q') THEN 'letter missing' WHEN length(folded) < 4 THEN 'too short' WHEN m.doc_id IS NULL THEN 'not in the corpus' ELSE 'valid' END AS verdict,
            CASE WHEN contains(folded, 'q') AND length(folded) >= 4 THEN m.doc_id END AS doc_id FROM q LEFT JOIN m USING (item_id)""")
 def line_game_check(spark, sf_dir):
     """Each benchmark item as a player's line for the letter q: it must have the letter and stand in a document, word for word."""
     items = _table(spark, sf_dir, "benchmark").select("item_id", units(F.col("text"), LATIN).alias("u"))
     docs = _docs(spark, sf_dir).select("doc_id", units(F.col("text"), LATIN).alias("unit"))
-    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    heads = items.where(F.size("u") >= 5).select("item_id", spaced(F.col("u")).alias("needle"), F.array_join(F.slice("u", 1, 5), " ").alias("gram"))
-    met = intertext.shingles(docs).select("doc_id", "gram").join(heads, "gram").select("doc_id", "item_id", "needle").distinct()
-    found = met.join(docs.select("doc_id", spaced(F.col("unit")).alias("hay")), "doc_id").where(F.contains("hay", F.col("needle"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    met = lookup.occurrences(docs, items.select(F.col("u").alias("passage"))).groupBy(F.col("passage").alias("u")).agg(F.min("doc_id").alias("doc_id"))
     folded = F.array_join("u", "")
     fits = F.contains(folded, F.lit("q")) & (F.length(folded) >= 4)
     verdict = F.when(~F.contains(folded, F.lit("q")), "letter missing").when(F.length(folded) < 4, "too short").when(F.col("doc_id").isNull(), "not in the corpus").otherwise("valid")
-    return items.join(found, "item_id", "left").select("item_id", verdict.alias("verdict"), F.when(fits, F.col("doc_id")).alias("doc_id"))
+    return items.join(met, "u", "left").select("item_id", verdict.alias("verdict"), F.when(fits, F.col("doc_id")).alias("doc_id"))
+
+
+_ASKED = f"""SELECT item_id, {_TOKENS} AS u FROM benchmark UNION ALL SELECT 100000 + item_id, {_TOKENS}[1:1 + item_id % 7] FROM benchmark"""
 
 
 @_register(f"""{_REUSE}, b AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY length DESC, pa, pb) AS k FROM r), sp AS (SELECT b.a, b.b, ' ' || array_to_string(u[pa + 1 : pa + length], ' ') || ' ' AS span FROM b JOIN t ON t.doc_id = b.a WHERE k = 1),
-    q AS (SELECT item_id, ' ' || array_to_string({_TOKENS}[1:6], ' ') || ' ' AS needle FROM benchmark WHERE len({_TOKENS}) >= 6)
-    SELECT item_id, a, b FROM q JOIN sp ON contains(span, needle)""")
+    q AS (SELECT item_id, u, ' ' || array_to_string(u, ' ') || ' ' AS needle FROM ({_ASKED})), m AS (SELECT DISTINCT item_id, a, b FROM q JOIN sp ON len(u) > 0 AND contains(span, needle)),
+    tk AS (SELECT doc_id, {_TOKENS} AS ts FROM documents), ln AS (SELECT doc_id, len(ts) AS dl FROM tk), cn AS (SELECT count(*) AS n, avg(dl) AS av FROM ln),
+    qt AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(u) AS term FROM q WHERE item_id NOT IN (SELECT item_id FROM m))),
+    pt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tk) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM pt GROUP BY 1),
+    sc AS (SELECT item_id, pt.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))), 9) AS score FROM qt JOIN pt USING (term) JOIN df USING (term) JOIN ln USING (doc_id), cn GROUP BY 1, 2),
+    nr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM sc)
+    SELECT item_id, 'pair' AS kind, a, b, 0 AS place FROM m UNION ALL SELECT item_id, 'nearest', doc_id, NULL, place FROM nr WHERE place <= 5""")
 def intertext_lookup(spark, sf_dir):
-    """Pairs of documents whose shared passage has the first six words of a benchmark item."""
+    """For each benchmark item, and for its first one to seven words: the pairs of documents whose shared passage has all of it; for
+    those that no passage has, the five nearest documents."""
     unit = _docs(spark, sf_dir).select("doc_id", units(F.col("text"), LATIN).alias("unit"))
     found, sizes = base._runs(spark, sf_dir)
     best = once(intertext.best_runs(found, sizes).select("a", "b", "pa", "length"))
-    spans = best.join(unit.select(F.col("doc_id").alias("a"), "unit"), "a").select("a", "b", F.slice("unit", F.col("pa").cast("int") + 1, F.col("length").cast("int")).alias("unit"))
-    asked = _table(spark, sf_dir, "benchmark").select("item_id", F.slice(units(F.col("text"), LATIN), 1, 6).alias("u")).where(F.size("u") == 6)
-    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    keyed = intertext.shingles(spans.withColumn("doc_id", F.struct("a", "b", spaced(F.col("unit")).alias("span")))).select("doc_id", "gram").distinct()
-    heads = asked.select("item_id", spaced(F.col("u")).alias("needle"), F.array_join(F.slice("u", 1, 5), " ").alias("gram"))
-    return keyed.join(heads, "gram").where(F.contains("doc_id.span", F.col("needle"))).select("item_id", "doc_id.a", "doc_id.b").distinct()
+    span = F.slice("unit", F.col("pa").cast("int") + 1, F.col("length").cast("int"))
+    spans = best.join(unit.select(F.col("doc_id").alias("a"), "unit"), "a").select(F.struct("a", "b").alias("doc_id"), span.alias("unit"))
+    items = _table(spark, sf_dir, "benchmark").select("item_id", units(F.col("text"), LATIN).alias("u"))
+    opening = items.select((F.col("item_id") + 100000).alias("item_id"), F.slice("u", F.lit(1), (1 + F.col("item_id") % 7).cast("int")).alias("u"))
+    asked = once(items.unionByName(opening))
+    met = lookup.occurrences(spans, asked.select(F.col("u").alias("passage"))).withColumnRenamed("passage", "u")
+    pairs = once(asked.join(met, "u").select("item_id", F.col("doc_id.a").alias("a"), F.col("doc_id.b").alias("b")))
+    rest = asked.join(pairs.select("item_id").distinct(), "item_id", "left_anti")
+    near = index.top(indexed_texts(spark, sf_dir), rest.select(F.col("item_id").alias("query_id"), F.explode("u").alias("term")), 5)
+    return pairs.select("item_id", F.lit("pair").alias("kind"), "a", "b", F.lit(0).cast("long").alias("place")).unionByName(
+        near.select(F.col("query_id").alias("item_id"), F.lit("nearest").alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("rank").alias("place"))
+    )
+
+
+def indexed_texts(spark: SparkSession, sf_dir: str) -> index.StoredIndex:
+    """The stored index of the documents' texts, built where it is not there or where they have changed."""
+    folder = f"{shared_folder(spark)}/texts-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return index.refresh(_table(spark, sf_dir, "documents"), F.col("text"), LATIN, folder)[0]
 
 
 @_register(f"""WITH t AS (SELECT doc_id, {_TOKENS} AS ts FROM documents), w AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(ts) AS word FROM t) GROUP BY 1, 2),

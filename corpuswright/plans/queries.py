@@ -14,6 +14,7 @@ from ..operators import annotate, intertext, metrics, retrieve, review
 from ..operators.components import connected_components
 from ..operators.dedup_merge import merge_collections
 from ..operators.profiles import modal_profiles
+from ..operators.stage import spread
 from ..sources import corpus
 from .lexicons import FEELINGS, IMAGES, LEXICONS, NEGATION
 
@@ -37,7 +38,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents")
+    return spread(_table(spark, sf_dir, "documents"), "doc_id")
 
 
 # --- SQL building blocks -------------------------------------------------------------------------------------------------
@@ -280,7 +281,7 @@ _HITS = f"{_hits_sql()}, hits AS (SELECT doc_id, line_no, kind, pos, canon, surf
 
 
 def _annotated(spark, sf_dir):
-    return annotate.annotate_lines(annotate.lines_of(_docs(spark, sf_dir), F.col("text"), LATIN), LEXICONS, LATIN, NEGATION)
+    return annotate.annotation(_docs(spark, sf_dir).select("doc_id", "text"), LEXICONS, LATIN, NEGATION)
 
 
 @_register(f"{_HITS} SELECT doc_id, CAST(line_no AS INT) AS line_no, kind, CAST(pos AS BIGINT) AS pos, canon, surface, negated FROM hits")

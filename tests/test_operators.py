@@ -120,3 +120,30 @@ def test_asides_and_stored_works(spark, tmp_path):
     row = corpus.load_works(spark, f"{tmp_path}/w").first()
     assert row.poem_id == "p1" and row.paragraphs == ["x"] and row.title is None
     assert CJK_PROFILE.others.startswith("[^")
+
+
+def _longest_first(text, lexicon):
+    """Hits by the definition: surfaces by length, each from left to right, none over another."""
+    taken, found = [False] * len(text), []
+    for surface, canon in lexicon.ranked():
+        at = text.find(surface)
+        while at >= 0:
+            if not any(taken[at : at + len(surface)]):
+                taken[at : at + len(surface)] = [True] * len(surface)
+                found.append((at, canon, surface))
+                at = text.find(surface, at + len(surface))
+            else:
+                at = text.find(surface, at + 1)
+    return found
+
+
+def test_private_characters_are_no_hits(spark):
+    lexicon = Lexicon((("moon", ("moonlight", "moon")), ("sea", ("lights", "sea"))))
+    texts = ["my \ue000 and moon", "moonlights \uf8ff sea", "seasea moonmoonlight", "", None, "\ue001\ue002"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = annotate.annotation(docs, {"x": lexicon}, LATIN, r"\bnot $")
+    want = sorted((i, pos, canon, surface) for i, t in enumerate(texts) for pos, canon, surface in _longest_first(t or "", lexicon))
+    assert sorted((r.doc_id, r.pos, r.canon, r.surface) for r in got.collect()) == want
+    assert annotate.annotation(docs, {"x": lexicon}, LATIN, r"\bnot $").inputFiles() == got.inputFiles()  # read, not made again
+    other = annotate.annotation(docs.where("doc_id > 0"), {"x": lexicon}, LATIN, r"\bnot $")
+    assert other.count() == len([w for w in want if w[0] > 0])
