@@ -233,3 +233,65 @@ def metric_eval(spark, sf_dir):
     """How far a rule of thumb (five lines or more) agrees with the label of quality, and where not."""
     found = _docs(spark, sf_dir).select("doc_id", (F.size(split_lines(F.col("text"), LATIN)) >= 5).cast("int").alias("found")).join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     return claims.agreement(found, "quality", "found")
+
+
+def _cited_answers(spark, sf_dir) -> DataFrame:
+    """An answer about every document that quotes its beginning: rightly, put to another, altered, put to none that is there, outside
+    the evidence, and with nothing cited."""
+    quote = F.trim(F.left(F.regexp_replace("first_line", '["\\[\\]]', ""), F.lit(60)))
+    k = F.pmod("doc_id", F.lit(6))
+    at = lambda n: F.concat(F.lit("[P"), (F.col("doc_id") + n).cast("string"), F.lit("]"))
+    said = lambda end="": F.concat(F.lit('"'), quote, F.lit(end + '"'))
+    answer = (
+        F.when(k == 0, F.concat(said(), F.lit(" "), at(0))).when(k == 1, F.concat(said(), F.lit(" "), at(1), F.lit(". See "), at(0))).when(k == 2, F.concat(said(" and more"), F.lit(" "), at(0)))
+        .when(k == 3, F.concat(said(), F.lit(" "), at(100_000_000))).when(k == 4, F.concat(at(0), F.lit(" has "), said())).otherwise(said())
+    )
+    allowed = F.when(k == 4, F.array(F.col("doc_id") + 1))
+    return titled(spark, sf_dir).select(F.col("doc_id").alias("answer_id"), answer.alias("answer"), allowed.alias("allowed"))
+
+
+def _citations(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    sources = _docs(spark, sf_dir).select(F.col("doc_id").alias("source_id"), "text")
+    report, quotes = verify.citations(once(_cited_answers(spark, sf_dir)), sources, r"\[P([0-9]+)\]", '"([^"]{4,100})"', "[a-zß-ÿ]{2,}", LATIN)
+    return report, once(quotes)
+
+
+_PAIRED = "list_distinct([u[i] || u[i + 1] for i in generate_series(1, len(u) - 1)])"
+_CITATIONS = f"""WITH {_TITLED}, q0 AS (SELECT doc_id, doc_id % 6 AS k, trim(left(regexp_replace(first_line, '["\\[\\]]', '', 'g'), 60)) AS base FROM titled),
+    q1 AS (SELECT doc_id AS answer_id, k, CASE WHEN k = 2 THEN base || ' and more' ELSE base END AS quote,
+           CASE k WHEN 1 THEN [doc_id + 1, doc_id] WHEN 3 THEN [doc_id + 100000000] WHEN 5 THEN CAST([] AS BIGINT[]) ELSE [doc_id] END AS ids FROM q0),
+    hay AS (SELECT doc_id, {_L("text")} AS body, {base._TOKENS} AS u FROM documents), cited AS (SELECT answer_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS n FROM q1),
+    per AS (SELECT q1.answer_id, any_value(k) AS k, any_value(quote) AS quote, list(id ORDER BY n) FILTER (h.doc_id IS NOT NULL) AS verified, list(id ORDER BY n) FILTER (id IS NOT NULL AND h.doc_id IS NULL) AS unsupported,
+              list(id ORDER BY n) FILTER (contains(body, {_L("quote")}) AND {_L("quote")} <> '') AS holders FROM q1 LEFT JOIN cited c ON c.answer_id = q1.answer_id LEFT JOIN hay h ON h.doc_id = c.id GROUP BY 1),
+    sim AS (SELECT answer_id, max(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END) AS alike
+            FROM (SELECT q1.answer_id, (SELECT {_PAIRED} FROM (SELECT {base._TOKENS.replace("text", "q1.quote")} AS u)) AS a, (SELECT {_PAIRED} FROM (SELECT h.u AS u)) AS b FROM q1 JOIN cited c ON c.answer_id = q1.answer_id JOIN hay h ON h.doc_id = c.id) GROUP BY 1),
+    rep AS (SELECT answer_id, k, quote, coalesce(verified, []) AS verified, coalesce(unsupported, []) AS unsupported, CASE WHEN k = 4 THEN coalesce(verified, []) ELSE [] END AS outside, k <> 5 AS has_citation,
+              coalesce(holders, []) AS holders, CASE WHEN k IN (0, 2, 4) THEN verified[1] WHEN k = 1 THEN verified[1] END AS bound_to, alike FROM per LEFT JOIN sim USING (answer_id)),
+    quo AS (SELECT *, CASE WHEN len(verified) = 0 THEN 'unsupported' WHEN len(holders) = 0 THEN CASE WHEN alike >= 0.45 THEN 'altered' ELSE 'absent' END WHEN list_contains(holders, bound_to) THEN 'verified' ELSE 'misattributed' END AS status
+              FROM rep WHERE length(quote) BETWEEN 4 AND 100 AND regexp_matches(quote, '[a-zß-ÿ]{{2,}}'))"""
+
+
+@_register(f"""{_CITATIONS} SELECT answer_id, array_to_string(verified, ',') AS verified, array_to_string(unsupported, ',') AS unsupported, array_to_string(outside, ',') AS outside, has_citation FROM rep""")
+def citation_report(spark, sf_dir):
+    """Of every answer the ids that are there, that are not, and that are there but not among its evidence."""
+    report, _ = _citations(spark, sf_dir)
+    told = {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("verified", "unsupported", "outside")}
+    return report.withColumns(told).drop("cited")
+
+
+@_register(f"""{_CITATIONS} SELECT answer_id, quote, status, CASE WHEN len(holders) = 0 AND len(verified) > 0 THEN round(alike, 3) END AS similarity, bound_to, array_to_string(holders[1:3], ',') AS holders FROM quo""")
+def citation_quotes(spark, sf_dir):
+    """What became of every quote: verified, put to the wrong work, altered (how near it is), absent, without support."""
+    _, quotes = _citations(spark, sf_dir)
+    return quotes.drop("place").withColumn("holders", F.array_join(F.transform("holders", lambda x: x.cast("string")), ","))
+
+
+@_register(f"""{_CITATIONS}, n AS (SELECT rep.answer_id, len(rep.unsupported) = 0 AND len(rep.outside) = 0 AND coalesce(status IN ('verified', 'misattributed'), true) AS ok, list_filter([
+      CASE WHEN len(rep.verified) > 0 AND len(rep.outside) = 0 THEN '✓ ' || len(rep.verified) || ' verified: ' || array_to_string(rep.verified, ', ') END, CASE WHEN len(rep.unsupported) > 0 THEN '✗ no such work: ' || array_to_string(rep.unsupported, ', ') END,
+      CASE WHEN len(rep.outside) > 0 THEN '⚠ not among the evidence: ' || array_to_string(rep.outside, ', ') END, CASE WHEN status IN ('altered', 'absent', 'unsupported') THEN '✗ not in its sources: ' || left(quo.quote, 24) END,
+      CASE WHEN status = 'misattributed' THEN '⚠ ' || left(quo.quote, 30) || ' is put to ' || quo.bound_to || ', stands in ' || array_to_string(quo.holders[1:3], ', ') END, CASE WHEN NOT rep.has_citation THEN '⚠ nothing is cited' END], lambda x: x IS NOT NULL) AS notes
+      FROM rep LEFT JOIN quo USING (answer_id)) SELECT answer_id, ok, CAST(len(notes) AS BIGINT) AS n_notes, md5(array_to_string(notes, chr(10))) AS notes FROM n""")
+def citation_notes(spark, sf_dir):
+    """The note under every answer."""
+    notes = verify.citation_notes(*_citations(spark, sf_dir))
+    return notes.select("answer_id", "ok", F.size("notes").cast("long").alias("n_notes"), F.md5(F.array_join("notes", "\n")).alias("notes"))
