@@ -13,13 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import Lexicon, TextProfile, content, fold
+from ..sources.corpus import write_assets
+from .numbering import numbered
 from .review import BROAD_CHARS, BROAD_SHARE, LEAST_SPAN, _flags, consensus, release
+from .stage import once
 
 #: The closed vocabularies of a rule.
 RULE_TYPES = ("image_feeling", "theme", "form", "rhyme", "annotation", "external")
 EVIDENCE_TYPES = ("original_text", "annotation_text", "appreciation_text", "external_analysis")
 INTERPRETATIONS = ("literal", "metric", "normalized", "statistical", "model_inference", "external_llm")
 DOWNGRADED = 0.8
+STAGES = {"schema": "f_schema", "evidence": "f_evidence", "semantic": "f_semantics", "critic": "f_critic"}
 
 
 def _registry(lexicon: Lexicon) -> Column:
@@ -109,11 +113,11 @@ def repair(rules: DataFrame, posthoc: list[str]) -> DataFrame:
 
 
 def review(rules: DataFrame, images: Lexicon, feelings: Lexicon, themes: Lexicon, posthoc: list[str], negation: str, profile: TextProfile) -> DataFrame:
-    """The rules with their first flags (first_flags), repairs, the flags that remain, score and level. A rule that was repaired
+    """The rules with their first flags (first_flags; by stage: first), repairs, the flags that remain, score and level. A rule that was repaired
     goes through all checks again; one that was not would give the same flags."""
     check = lambda df: examine(df, images, feelings, themes, posthoc, negation, profile)
     first = check(rules)
-    first = first.withColumn("first_flags", F.array_sort(F.concat("f_schema", "f_evidence", "f_semantics", "f_critic")))
+    first = first.withColumns({"first_flags": F.array_sort(F.concat(*STAGES.values())), "first": F.struct(*STAGES.values())})
     fixed = repair(first, posthoc)
     again = check(fixed)
     return release(consensus(again))
@@ -130,3 +134,35 @@ def critic_counts(reviewed: DataFrame, column: str = "first_flags") -> DataFrame
     return reviewed.select(F.explode(column).alias("flag")).groupBy(kind.alias("flag")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def audit(reviewed: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """audit_id, seq, rule_id, stage, result, flags, again: what the gate did, as one sequence over all rules in the given order
+    (doc_id, then rule_id), a rule's stages as they came.
+
+    A rule that fails its schema goes no further. One that was repaired has its evidence, and if that fails its schema, entered
+    again. Numbers come from ranges of the order, not from one task.
+    """
+    order = order or ["doc_id", "rule_id"]
+    hard = lambda flags: F.exists(flags, lambda f: ~F.startswith(f, F.lit("warn:")))
+    result = lambda flags: F.when(hard(flags), "fail").when(F.size(flags) > 0, "warn").otherwise("pass")
+    listed = lambda flags: F.array_join(F.array_sort(flags), ";")
+    text = F.lit("").cast("string")
+    entry = lambda n, stage, what, flags, again=False: F.struct(F.lit(n).alias("n"), F.lit(stage).alias("stage"), what.alias("result"), flags.alias("flags"), F.lit(again).alias("again"))
+    valid, still = ~hard(F.col("first.f_schema")), ~hard("f_schema")
+    fixed = F.col("repaired") & valid
+    entries = [
+        entry(0, "schema", F.when(valid, "pass").otherwise("fail"), listed("first.f_schema")),
+        *(F.when(valid, entry(n, name, result(F.col(f"first.{c}")), listed(f"first.{c}"))) for n, (name, c) in enumerate(STAGES.items()) if n),
+        F.when(fixed, entry(4, "repair", F.lit("repaired"), listed("repairs"))), F.when(fixed, entry(5, "evidence", result(F.col("f_evidence")), listed("f_evidence"), True)),
+        F.when(fixed & ~still, entry(6, "schema", F.lit("fail"), listed("f_schema"), True)), F.when(valid & (still | ~F.col("repaired")), entry(7, "consensus", F.lit("pass"), text)),
+        entry(8, "release", F.col("level"), F.when(~valid, listed("first.f_schema")).otherwise(text)),
+    ]
+    each = reviewed.select(*dict.fromkeys([*order, "rule_id"]), F.explode(F.array_compact(F.array(*entries))).alias("a"))
+    rows = numbered(each.select(*dict.fromkeys([*order, "rule_id"]), "a.*"), [*order, "n"], "seq").withColumn("seq", F.col("seq") + 1)
+    return rows.select(F.format_string("AUD_%06d", "seq").alias("audit_id"), "seq", "rule_id", "stage", "result", "flags", "again")
+
+
+def persist(reviewed: DataFrame, folder: str) -> None:
+    """The three sinks of the gate below a folder, from one computation: accepted and rejected rules, and the audit."""
+    done = once(reviewed)
+    accepted, rejected = split(done)
+    write_assets({"accepted": accepted, "rejected": rejected, "audit": audit(done)}, folder)

@@ -121,6 +121,20 @@ def review_gate(spark, sf_dir):
     return gated(spark, sf_dir).select("doc_id", "rule_id", F.array_join("first_flags", ",").alias("flags"), "repaired", "score", "level")
 
 
+@_register(f"""{_GATE}, st AS (SELECT *, len(f_schema) = 0 AS valid, list_sort(f_evidence || (CASE WHEN dropped THEN ['theme_marker_not_in_text:unattested'] ELSE [] END)) AS e1, list_sort(f_semantics || (CASE WHEN broad THEN ['warn:span_broad'] ELSE [] END)) AS s1,
+        list_sort(f_critic || (CASE WHEN late THEN ['posthoc_term_in_body:critic', 'posthoc_term_in_body:modern'] ELSE [] END) || (CASE WHEN over THEN ['warn:strength_overclaimed'] ELSE [] END)) AS c1,
+        list_sort((CASE WHEN dropped THEN ['dropped_marker:unattested'] ELSE [] END) || (CASE WHEN over THEN ['strength_downgraded'] ELSE [] END) || (CASE WHEN late THEN ['term_moved:critic', 'term_moved:modern'] ELSE [] END)) AS r1, level FROM final JOIN gate USING (doc_id, rule_id)),
+    au AS (SELECT doc_id, rule_id, 0 AS n, 'schema' AS stage, CASE WHEN valid THEN 'pass' ELSE 'fail' END AS result, list_sort(f_schema) AS fl, false AS again FROM st
+      UNION ALL SELECT doc_id, rule_id, 1, 'evidence', CASE WHEN len(e1) > 0 THEN 'fail' ELSE 'pass' END, e1, false FROM st WHERE valid UNION ALL SELECT doc_id, rule_id, 2, 'semantic', CASE WHEN len(f_semantics) > 0 THEN 'fail' WHEN broad THEN 'warn' ELSE 'pass' END, s1, false FROM st WHERE valid
+      UNION ALL SELECT doc_id, rule_id, 3, 'critic', CASE WHEN len(f_critic) > 0 OR late THEN 'fail' WHEN over THEN 'warn' ELSE 'pass' END, c1, false FROM st WHERE valid UNION ALL SELECT doc_id, rule_id, 4, 'repair', 'repaired', r1, false FROM st WHERE valid AND repaired
+      UNION ALL SELECT doc_id, rule_id, 5, 'evidence', CASE WHEN len(f_evidence) > 0 THEN 'fail' ELSE 'pass' END, list_sort(f_evidence), true FROM st WHERE valid AND repaired UNION ALL SELECT doc_id, rule_id, 7, 'consensus', 'pass', [], false FROM st WHERE valid
+      UNION ALL SELECT doc_id, rule_id, 8, 'release', level, CASE WHEN valid THEN [] ELSE list_sort(f_schema) END, false FROM st),
+    nu AS (SELECT *, row_number() OVER (ORDER BY doc_id, rule_id, n) AS seq FROM au) SELECT printf('AUD_%06d', seq) AS audit_id, seq, rule_id, stage, result, array_to_string(fl, ';') AS flags, again FROM nu""")
+def gate_audit(spark, sf_dir):
+    """What the full gate did with every rule of every document, as one sequence."""
+    return gate.audit(gated(spark, sf_dir))
+
+
 @_register(f"{_GATE}, f AS (SELECT unnest(first) AS flag FROM gate) SELECT split_part(replace(flag, 'warn:', ''), ':', 1) AS flag, count(*) AS n FROM f GROUP BY 1")
 def critic_counts(spark, sf_dir):
     return gate.critic_counts(gated(spark, sf_dir))

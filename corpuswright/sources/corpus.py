@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _TEXTS = ("title", "chapter", "section", "rhythmic", "author", "prologue", "desc", "dynasty", "genre")
 _LISTS = ("paragraphs", "para", "content", "notes", "tags")
+COUNTS = "_counts.json"  # beside an asset's files; names with an underscore are no data
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in _TEXTS] + [T.StructField(c, T.ArrayType(T.StringType())) for c in _LISTS])
 
 
@@ -191,9 +192,15 @@ def read_corpus(spark: SparkSession, sources: list[Source]) -> DataFrame:
     return named.drop("_source_no", "_key", "_before", "_of_source", "_rank", "_pos", "_file")
 
 
-def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines with a declared schema; malformed lines are skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def read_lines(spark: SparkSession, path: str, schema: T.StructType, malformed: Observation | None = None) -> DataFrame:
+    """JSON lines with a declared schema; malformed lines are left out. An observation that is given has their number (malformed)
+    and that of all lines (n), counted in the pass that reads the frame."""
+    whole = T.StructType([*schema.fields, T.StructField("_malformed", T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    told = lines.select(F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}).alias("r")).select("r.*")
+    if malformed is not None:
+        told = told.observe(malformed, F.count(F.lit(1)).alias("n"), F.count("_malformed").alias("malformed"))
+    return told.where(F.col("_malformed").isNull()).drop("_malformed")
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -207,39 +214,64 @@ def manifest(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
 
 
-def replace_atomically(df: DataFrame, path: str) -> None:
-    """Parquet at `path`, which changes from the old to the new in one renaming: a reader never meets half a manifest."""
+def _hadoop(spark: SparkSession, path: str):
+    """A path and its file system, as Spark's own writers see them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def replace_atomically(df: DataFrame, path: str) -> dict[str, int]:
+    """Parquet at `path`, which changes from the old to the new in one renaming: a reader never meets half a manifest.
+
+    The number of rows and an order-free checksum of them are observed while they are written, stored beside them before the
+    renaming, and returned.
+    """
     spark = df.sparkSession
     fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    had = files.exists(place(path))
+    seen = Observation()
+    row = F.xxhash64(F.to_json(F.struct("*")))
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("checksum")).write.parquet(fresh)
+    told = {k: int(v) for k, v in seen.get.items()}
+    place, files = _hadoop(spark, path)
+    out = files.create(_hadoop(spark, f"{fresh}/{COUNTS}")[0], True)
+    out.write(bytearray(json.dumps(told).encode()))
+    out.close()
+    had = files.exists(place)
     if had:
-        files.rename(place(path), place(old))
-    if not files.rename(place(fresh), place(path)):
+        files.rename(place, _hadoop(spark, old)[0])
+    if not files.rename(_hadoop(spark, fresh)[0], place):
         if had:
-            files.rename(place(old), place(path))
+            files.rename(_hadoop(spark, old)[0], place)
         raise OSError(f"{path} could not be replaced")
     if had:
-        files.delete(place(old), True)
+        files.delete(_hadoop(spark, old)[0], True)
+    return told
+
+
+def counts_of(spark: SparkSession, path: str) -> dict[str, int] | None:
+    """Rows and checksum that were committed with an asset; None where there is no such asset. No row is read."""
+    place, files = _hadoop(spark, f"{path}/{COUNTS}")
+    if not files.exists(place):
+        return None
+    source = files.open(place)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+    finally:
+        source.close()
 
 
-def write_assets(assets: dict[str, DataFrame], folder: str) -> None:
-    """Each named table under a folder of its own."""
-    for name, df in assets.items():
-        replace_atomically(df, f"{folder}/{name}")
+def write_assets(assets: dict[str, DataFrame], folder: str) -> dict[str, dict[str, int]]:
+    """Each named table under a folder of its own; and what was observed of it."""
+    return {name: replace_atomically(df, f"{folder}/{name}") for name, df in assets.items()}
 
 
 def ready(spark: SparkSession, folder: str, expected: dict[str, int]) -> DataFrame:
-    """asset, ok, n: whether each asset of a folder has as many rows as expected (at least one where that is negative)."""
+    """asset, ok, n: whether each asset of a folder has as many rows as expected (at least one where that is negative), by the counts
+    that were committed with it; n is -1 where there is none."""
     rows = []
     for name, n in expected.items():
-        try:
-            found = spark.read.parquet(f"{folder}/{name}").count()
-        except AnalysisException:
-            found = -1
+        told = counts_of(spark, f"{folder}/{name}")
+        found = -1 if told is None else told["n"]
         rows.append((name, found == n if n >= 0 else found > 0, found))
     return spark.createDataFrame(rows, "asset string, ok boolean, n long")
 
