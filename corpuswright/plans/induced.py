@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import LATIN, split_lines
 from ..operators import annotate, metrics, profiles, rules
-from ..operators.stage import once
+from ..operators.stage import once, shared_folder
+from ..sources import skills
 from . import queries as base
 from .queries import _COUNTS, _FORM, _HITS, _LINES, _ROLLED, _RULES, _docs, _table
 
@@ -243,3 +246,14 @@ def skill_catalogue(spark, sf_dir):
     image = annotate.image_feeling_rules(base._annotated(spark, sf_dir)).groupBy("image").agg(F.count_distinct("doc_id").alias("n"))
     author = _docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     return profiles.catalogue([("image", image, "image", F.col("n"), 3), ("author", author, "source", F.col("n"), 8)])
+
+
+@_register(f"""{ORACLES["skill_catalogue"]}""")
+def skill_tree(spark, sf_dir):
+    """The catalogue written as a tree of text files below the shared folder, and read back."""
+    folder = f"{shared_folder(spark)}/skills-{uuid.uuid4().hex}"
+    entries = once(skill_catalogue(spark, sf_dir))
+    body = F.concat(F.lit("# "), "name", F.lit("\n\nn: "), F.col("n").cast("string"))
+    asked = entries.select("name", F.concat(F.lit("about "), "name").alias("query"), F.col("family").alias("route"))
+    skills.write_tree(entries.withColumn("body", body), asked, folder)
+    return skills.read_tree(spark, folder).select("family", "name", "description", F.regexp_extract("body", r"n: (\d+)", 1).cast("long").alias("n"))

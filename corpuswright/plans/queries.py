@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import LATIN, contains_verbatim, dice, split_lines, tokens, units
-from ..operators import annotate, intertext, metrics, retrieve, review
+from ..operators import annotate, intertext, metrics, records, retrieve, review
 from ..operators.components import connected_components
 from ..operators.dedup_merge import merge_collections
 from ..operators.profiles import modal_profiles
@@ -574,6 +574,29 @@ def json_props(spark, sf_dir):
     return parsed.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
+EVENT = (
+    records.Field("event_id", "bigint"), records.Field("user_id", "bigint", 0), records.Field("event_type", "string", "unknown"), records.Field("value", "double"),
+    records.Field("detail", (records.Field("k", "bigint"), records.Field("tags", "array<string>", ["none"]))),
+)
+
+
+@_register("""SELECT event_id, CASE WHEN event_id % 5 = 1 THEN 0 ELSE user_id END AS user_id, CASE WHEN event_id % 5 = 2 THEN 'unknown' ELSE event_type END AS event_type, value,
+    CASE WHEN event_id % 5 = 3 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 5 = 3 THEN NULL WHEN event_id % 5 = 4 THEN 'none' ELSE event_type || ',' || user_id END AS tags FROM events""")
+def record_round_trip(spark, sf_dir):
+    """Every event written as a record with a nested one and read back: with an unknown field, and in turn without its user, its
+    type, its details, and its tags."""
+    k = F.pmod("event_id", F.lit(5))
+    detail = F.struct(F.from_json("props", "k long")["k"].alias("k"), F.when(k != 4, F.array("event_type", F.col("user_id").cast("string"))).alias("tags"))
+    told = _table(spark, sf_dir, "events").select(
+        F.to_json(F.struct(
+            "event_id", F.when(k != 1, F.col("user_id")).alias("user_id"), F.when(k != 2, F.col("event_type")).alias("event_type"), "value",
+            F.when(k != 3, detail).alias("detail"), F.lit("dropped").alias("unknown"),
+        )).alias("record")
+    )
+    back = told.select(*records.decode(F.col("record"), EVENT))
+    return back.select("event_id", "user_id", "event_type", "value", F.col("detail.k").alias("k"), F.array_join("detail.tags", ",").alias("tags"))
+
+
 _LINE_HITS = f"{_HITS}, used AS (SELECT DISTINCT doc_id, line_no FROM hits WHERE kind = 'feeling')"
 
 
