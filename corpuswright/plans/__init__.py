@@ -1,7 +1,12 @@
-"""All registered queries of the library: name -> (spark, folder of tables) -> DataFrame, and their SQL."""
+"""All registered queries of the library: name -> (spark, folder of tables) -> DataFrame, and their SQL.
 
-from . import checks, cjk_queries, induced, lookups, queries, retrieval, study
+FIXTURES are queries over a few inline rows, which tests compare with their SQL; they read no table and are not registered.
+"""
 
-_MODULES = (queries, induced, lookups, checks, study, retrieval, cjk_queries)
-QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
-ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+from . import checks, cjk_queries, induced, lookups, queries, retrieval, study, verse
+
+_MODULES = (queries, induced, lookups, checks, study, retrieval, verse)
+FIXTURES = {**cjk_queries.QUERIES, **{name: f for name, f in study.QUERIES.items() if name.startswith("cjk_")}}
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items() if name not in FIXTURES}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items() if name not in FIXTURES}
+FIXTURE_SQL = {**cjk_queries.ORACLES, **{name: sql for name, sql in study.ORACLES.items() if name in FIXTURES}}

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from corpuswright.plans import ORACLES, QUERIES
+from corpuswright.plans import FIXTURE_SQL, FIXTURES, ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -20,10 +20,10 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES | FIXTURE_SQL))
 def test_same_rows(spark, con, name):
-    got = QUERIES[name](spark, SF)
-    want = con.sql(ORACLES[name])
+    got = (QUERIES | FIXTURES)[name](spark, SF)
+    want = con.sql((ORACLES | FIXTURE_SQL)[name])
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
     quoted = ", ".join(f'"{c}"' for c in columns)
