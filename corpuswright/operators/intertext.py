@@ -24,17 +24,14 @@ def shared_positions(units: DataFrame, n: int = GRAM, max_docs: int = MAX_DOCS)
     """a, b, pa, pb with a < b: the same gram in two documents of doc_id, unit. Grams of over `max_docs` documents are no evidence
     of reuse (a feature of the operator); the others make at most max_docs squared pairs each, so none is hot.
 
-    A gram goes by 128 bits of hash. Those of one document leave first, by an aggregate with map-side combining; what is left is
-    small and materialised, as both sides of the pairs read it.
+    A gram goes by 128 bits of hash, of its words' hashes: texts are cut into words once, and what is materialised of them is
+    eight bytes a word. Grams of one document leave first, by an aggregate with map-side combining; what is left is small and
+    materialised, as both sides of the pairs read it.
     """
-    grams = F.when(
-        F.size("unit") >= n,
-        F.transform(
-            F.sequence(F.lit(0), F.size("unit") - n),
-            lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("unit", i + 1, F.lit(n))).alias("g"), F.xxhash64(F.lit(1), F.slice("unit", i + 1, F.lit(n))).alias("h")),
-        ),
-    )
-    keyed = units.select("doc_id", F.explode(grams).alias("x")).select("doc_id", "x.pos", "x.g", "x.h")
+    words = once(units.select("doc_id", F.transform("unit", lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= n))
+    gram = lambda i, *seed: F.xxhash64(*map(F.lit, seed), *(F.get("w", i + k) for k in range(n)))
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("pos"), gram(i).alias("g"), gram(i, 1).alias("h")))
+    keyed = words.select("doc_id", F.explode(grams).alias("x")).select("doc_id", "x.pos", "x.g", "x.h")
     several = keyed.groupBy("g", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g", "h")
     some = once(keyed.join(several, ["g", "h"], "left_semi"))
     counted = some.groupBy("g", "h").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") <= max_docs).select("g", "h")

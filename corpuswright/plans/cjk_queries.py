@@ -23,7 +23,7 @@ MONTH = "[一二三四五六七八九十正腊]$"
 _VALUES = "poems(poem_id, author, text) AS (VALUES " + ", ".join(f"({i}, '{a}', '{t}')" for i, a, t in POEMS) + ")"
 _CJK = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3134F}]"
 _FOLD = f"translate(text, '{FOLD_FROM}', '{FOLD_TO}')"
-_LINES = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[（(\[［【〔][^）)\]］】〕]*[）)\]］】〕]', '', 'g'), '[，。、；：？！,.;:?!\s·]+'), lambda x: trim(x, '「」『』〈〉《》【】')), lambda x: x <> '')"
+_LINES = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[（(〔\[【][^）)〕\]】]*[）)〕\]】]', '', 'g'), '[，。、；：？！,.;:?!\s·]+'), lambda x: trim(x, '「」『』〈〉《》【】')), lambda x: x <> '')"
 
 
 def _register(sql: str | None):

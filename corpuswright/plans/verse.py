@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical, char_pattern, content, erase, normalized_query, split_lines, tokens
-from ..operators import annotate, claims, metrics, prosody
+from ..functions.text import LATIN, canonical, char_pattern, content, erase, normalized_query, split_lines, tokens
+from ..operators import annotate, claims, compose, guards, metrics, profiles, prosody
 from . import cjk_queries as cjk
+from . import queries as base
 from .cjk_queries import FEELINGS, FOLD_FROM, FOLD_TO, FOLDED, IMAGES, LABELLED, MONTH, NEGATION
-from .queries import _FORM, _table
+from .lexicons import LEXICONS
+from .lookups import _CONTENT
+from .queries import _FORM, _HITS, _LINE_ROWS, _docs, _table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +181,49 @@ def verse_numerals(spark, sf_dir):
     k = F.col("conv_id") % 4
     said = F.when(k == 0, (F.col("turn") + 1).cast("string")).when(k == 1, "八").when(k == 2, "十二").otherwise("百")
     return _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), claims.numeral(said).alias("n"))
+
+
+_KNOWN = "('平', '仄')"
+_SAME = lambda a, b, k: f"(substr({a}, {k}, 1) IN {_KNOWN} AND substr({a}, {k}, 1) = substr({b}, {k}, 1))"
+_WITHIN = lambda i, j: f"(substr(tones, {i}, 1) IN {_KNOWN} AND substr(tones, {i}, 1) = substr(tones, {j}, 1))"
+
+
+@_register(f"""WITH {cjk._TONES.replace(cjk._VERSE, _VERSE)}, shape AS (SELECT poem_id, count(*) AS n, max(length(tones)) AS w FROM tones GROUP BY 1 HAVING count(*) IN (4, 8) AND max(length(tones)) = min(length(tones)) AND max(length(tones)) IN (5, 7)),
+    nb AS (SELECT x.poem_id, x.line_no, x.tones AS tx, y.tones AS ty, w FROM tones x JOIN tones y ON y.poem_id = x.poem_id AND y.line_no = x.line_no + 1 JOIN shape s ON s.poem_id = x.poem_id)
+    SELECT poem_id, '三平尾' AS rule, CAST(line_no + 1 AS BIGINT) AS place FROM tones WHERE length(tones) >= 3 AND right(tones, 3) = '平平平' UNION ALL SELECT poem_id, '三仄尾', line_no + 1 FROM tones WHERE length(tones) >= 3 AND right(tones, 3) = '仄仄仄'
+    UNION ALL SELECT poem_id, '二四六不交替', line_no + 1 FROM tones JOIN shape USING (poem_id) WHERE {_WITHIN(2, 4)} OR (w = 7 AND {_WITHIN(4, 6)})
+    UNION ALL SELECT poem_id, '失对', line_no // 2 + 1 FROM nb WHERE line_no % 2 = 0 AND ({_SAME("tx", "ty", 2)} OR {_SAME("tx", "ty", 4)} OR (w = 7 AND {_SAME("tx", "ty", 6)}))
+    UNION ALL SELECT poem_id, '失粘', (line_no + 1) // 2 FROM nb WHERE line_no % 2 = 1 AND substr(tx, 2, 1) IN {_KNOWN} AND substr(ty, 2, 1) IN {_KNOWN} AND substr(tx, 2, 1) <> substr(ty, 2, 1)""")
+def verse_issues(spark, sf_dir):
+    """What every poem breaks of the rules."""
+    tones = prosody.line_tones(_verse(spark, sf_dir).drop("first_rhymes"), _readings(spark)).groupBy("poem_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "tones"))).alias("t"))
+    return prosody.issues(tones.select("poem_id", F.transform("t", lambda x: x["tones"]).alias("tones")))
+
+
+@_register(f"""WITH {_SOURCE}, l AS (SELECT poem_id, list_transform({cjk._LINES}, lambda x: length(array_to_string(regexp_extract_all(x, '{cjk._CJK}'), ''))) AS c FROM poems),
+    c AS (SELECT poem_id // 1000 % 20 AS tune, array_to_string(c, '-') AS pattern, count(*) AS k FROM l WHERE len(c) > 0 GROUP BY 1, 2), m AS (SELECT tune, string_split(arg_min(pattern, (-k, pattern)), '-') AS mode FROM c GROUP BY 1 HAVING sum(k) >= 2)
+    SELECT tune, CAST(i - 1 AS INTEGER) AS line_no, CAST(mode[i] AS BIGINT) AS n_chars FROM m, unnest(generate_series(1, len(mode))) AS g(i)""")
+def verse_tune_frames(spark, sf_dir):
+    """The frame of each of twenty tunes: the commonest pattern of the turns put to it."""
+    counts = metrics.line_counts(split_lines(F.col("text"), FOLDED), FOLDED)
+    sung = _poems(spark, sf_dir).select((F.floor(F.col("poem_id") / 1000) % 20).alias("tune"), char_pattern(counts).alias("pattern")).where("pattern <> ''")
+    return compose.tune_frames(profiles.modal_profiles(sung, "tune", "pattern"), "tune", "mode")
+
+
+@_register(f"""{_HITS}, ln AS ({_LINE_ROWS}), hay AS (SELECT doc_id, {_CONTENT.format("text")} AS body FROM documents),
+    c AS (SELECT doc_id, doc_id % 4 AS k, canon, {_CONTENT.format("CASE WHEN doc_id % 4 = 2 THEN line || ' and more' ELSE line END")} AS span FROM hits JOIN ln USING (doc_id, line_no) WHERE kind = 'image'),
+    v AS (SELECT doc_id, CASE WHEN k = 1 THEN 'unheard' ELSE canon END AS image, CASE WHEN k <> 1 THEN 'known' WHEN contains(span, 'unheard') THEN 'candidate' ELSE 'rejected' END AS status,
+      CASE WHEN k = 3 THEN 'claim_without_spans,no_support_spans' WHEN k = 1 AND NOT contains(span, 'unheard') THEN 'image_unsupported' WHEN NOT contains(body, span) THEN 'span_not_verbatim' ELSE '' END AS flags FROM c JOIN hay USING (doc_id))
+    SELECT doc_id, image, status, flags, CASE WHEN flags = '' THEN round(CAST({guards.DEFAULT} * 0.75 * CASE WHEN status = 'known' THEN 1 ELSE {guards.UNKNOWN} END AS DOUBLE), 3) END AS score, count(*) AS n FROM v GROUP BY ALL""")
+def literal_candidates(spark, sf_dir):
+    """What can be proposed of every document without a model, three in four spoilt, through the check of proposals."""
+    docs = _docs(spark, sf_dir)
+    told = guards.literal_candidates(base._annotated(spark, sf_dir), annotate.lines_of(docs, F.col("text"), LATIN))
+    k = F.col("doc_id") % 4
+    spoilt = told.withColumns({
+        "image": F.when(k == 1, "unheard").otherwise(F.col("image")), "claim": F.when(k == 3, "it means more").otherwise(F.col("claim")),
+        "spans": F.when(k == 2, F.transform("spans", lambda s: F.concat(s, F.lit(" and more")))).when(k == 3, F.array().cast("array<string>")).otherwise(F.col("spans")),
+    })
+    tried = spoilt.join(docs.select("doc_id", content(F.col("text"), LATIN).alias("hay")), "doc_id")
+    checked = guards.verify_candidates(tried, LEXICONS["image"], LATIN).withColumn("flags", F.array_join(F.array_sort("flags"), ","))
+    return checked.groupBy("doc_id", "image", "status", "flags", "score").agg(F.count(F.lit(1)).alias("n"))
