@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import LATIN, split_lines
 from ..operators import annotate, metrics, profiles, rules
+from ..operators.components import connected_components
 from ..operators.stage import once, shared_folder
 from ..sources import skills
 from . import queries as base
@@ -257,3 +258,22 @@ def skill_tree(spark, sf_dir):
     asked = entries.select("name", F.concat(F.lit("about "), "name").alias("query"), F.col("family").alias("route"))
     skills.write_tree(entries.withColumn("body", body), asked, folder)
     return skills.read_tree(spark, folder).select("family", "name", "description", F.regexp_extract("body", r"n: (\d+)", 1).cast("long").alias("n"))
+
+
+_OWN_FEET = f"""{_WORKS}, own AS (SELECT doc_id, list_transform(feet, lambda x: lang || ':' || x) AS f FROM works), e AS (SELECT f[i] AS a, f[i + 1] AS b FROM own, unnest(generate_series(1, len(f) - 1)) AS g(i) WHERE len(f) >= 2),
+    w AS (SELECT least(a, b) AS u, greatest(a, b) AS v, count(*) AS n FROM e WHERE a <> b GROUP BY 1, 2)"""
+
+
+@_register(f"""WITH RECURSIVE {_OWN_FEET}, g AS (SELECT u, v FROM w WHERE n >= 2 UNION SELECT v, u FROM w WHERE n >= 2), r(node, seen) AS (SELECT u, u FROM g UNION SELECT r.node, g.v FROM r JOIN g ON r.seen = g.u),
+    comp AS (SELECT node, min(seen) AS component FROM r GROUP BY 1), held AS (SELECT doc_id, node, component FROM (SELECT DISTINCT doc_id, unnest(f) AS node FROM own) JOIN comp USING (node)),
+    freq AS (SELECT component, node, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, node) AS k FROM held GROUP BY 1, 2), label AS (SELECT component, string_agg(node, '·' ORDER BY k) AS label FROM freq WHERE k <= 3 GROUP BY 1),
+    size AS (SELECT component, count(*) AS n_members FROM comp GROUP BY 1), docs AS (SELECT component, count(DISTINCT doc_id) AS n_docs FROM held GROUP BY 1)
+    SELECT component, label, n_members, n_docs, n_members > 250 AS low_purity, row_number() OVER (ORDER BY n_members DESC, component) AS rank FROM size JOIN docs USING (component) JOIN label USING (component)""")
+def foot_groups_of_languages(spark, sf_dir):
+    """Groups of feet that rhyme within a language: feet of two languages are two feet."""
+    own = works(spark, sf_dir).select("doc_id", F.transform("feet", lambda x: F.concat("lang", F.lit(":"), x)).alias("f"))
+    near = F.transform(F.sequence(F.lit(0), F.size("f") - 2), lambda i: F.struct(F.get("f", i).alias("a"), F.get("f", i + 1).alias("b")))
+    pairs = own.where(F.size("f") >= 2).select(F.explode(near).alias("e")).where("e.a <> e.b")
+    edges = pairs.groupBy(F.least("e.a", "e.b").alias("u"), F.greatest("e.a", "e.b").alias("v")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    components = once(connected_components(edges, "u", "v"))
+    return profiles.component_profiles(components, own.select("doc_id", F.explode("f").alias("node")).distinct())

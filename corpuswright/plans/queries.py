@@ -76,11 +76,11 @@ def search_bm25_filtered(spark, sf_dir):
 
 
 @_register(f"""WITH {_bm25(TERMS)}, pool AS (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 40)
-    SELECT doc_id, round(score, 4) AS score, lang FROM pool JOIN documents USING (doc_id) WHERE lang = 'fr' ORDER BY score DESC, doc_id LIMIT 8""")
+    SELECT doc_id, round(score, 4) AS score, lang FROM pool JOIN documents USING (doc_id) WHERE lang = 'es' ORDER BY score DESC, doc_id LIMIT 8""")
 def search_pool_then_filter(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     pool = retrieve.score(retrieve.index_terms(docs, F.col("text"), LATIN, TERMS), TERMS).orderBy(F.desc("score"), "doc_id").limit(40)
-    hits = docs.select("doc_id", "lang").join(F.broadcast(pool), "doc_id").where(F.col("lang") == "fr")  # at most 40 rows
+    hits = docs.select("doc_id", "lang").join(F.broadcast(pool), "doc_id").where(F.col("lang") == "es")  # at most 40 rows
     return hits.orderBy(F.desc("score"), "doc_id").limit(8).select("doc_id", F.round("score", 4).alias("score"), "lang")
 
 
@@ -490,9 +490,10 @@ def modal_brand(spark, sf_dir):
     return modal_profiles(sold, "l_suppkey", "p_brand", least=1).drop("level")
 
 
-@_register("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@_register("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)")
 def anti_join_customers(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order over 300,000."""
+    orders = _table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return _table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(orders, "c_custkey", "left_anti")
 
 
