@@ -147,18 +147,39 @@ def file_fingerprints(spark, sf_dir):
     return corpus.manifest(spark, sf_dir, "*.parquet")
 
 
-KEYS = {
-    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey",
-    "events": "props", "documents": "text", "embeddings": "vec_id", "pages": "html", "benchmark": "text", "labels": "doc_id", "conversations": "text",
+#: Columns of the tables by how they are written in a fingerprint: as they are, numbers in thousandths, times to the microsecond.
+PLAIN = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_mktsegment", "supplier": "s_suppkey s_name s_nationkey",
+    "part": "p_partkey p_name p_brand p_type p_size", "orders": "o_orderkey o_custkey o_orderstatus o_orderpriority", "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_returnflag l_linestatus",
+    "events": "event_id user_id event_type props", "documents": "doc_id text lang source n_chars", "embeddings": "vec_id label", "pages": "page_id url html", "benchmark": "item_id text",
+    "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
 }
+NUMBERS = {"customer": "c_acctbal", "supplier": "s_acctbal", "part": "p_retailprice", "orders": "o_totalprice", "lineitem": "l_quantity l_extendedprice l_discount l_tax", "events": "value"}
+TIMES = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
 
 
-@_register(" UNION ALL ".join(f"""SELECT '{t}' AS name, count(*) AS n_rows, CAST(sum(CAST('0x' || left(md5(CAST({c} AS VARCHAR)), 8) AS BIGINT)) AS BIGINT) AS checksum FROM {t}""" for t, c in KEYS.items()))
+def _row_sql(table: str) -> str:
+    parts = [f"CAST({c} AS VARCHAR)" for c in PLAIN[table].split()] + [f"CAST(CAST(round({c} * 1000) AS BIGINT) AS VARCHAR)" for c in NUMBERS.get(table, "").split()]
+    parts += [f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" for c in TIMES.get(table, "").split()]
+    if table == "embeddings":
+        parts.append("array_to_string(list_transform(embedding, lambda x: CAST(CAST(floor(CAST(x AS DOUBLE) * 65536) AS BIGINT) AS VARCHAR)), ',')")
+    return " || '|' || ".join(f"coalesce({p}, '~')" for p in parts)
+
+
+@_register(" UNION ALL ".join(f"""SELECT '{t}' AS name, count(*) AS n_rows, CAST(sum(CAST('0x' || left(md5({_row_sql(t)}), 8) AS BIGINT)) AS BIGINT) AS checksum FROM {t}""" for t in PLAIN))
 def table_fingerprints(spark, sf_dir):
-    """Rows and an order-free checksum of the key or text of every table: whether two corpora hold the same."""
+    """Rows and an order-free checksum of all columns of every table: whether two corpora hold the same."""
+
+    def row(table: str):
+        parts = [F.col(c).cast("string") for c in PLAIN[table].split()] + [F.round(F.col(c) * 1000).cast("long").cast("string") for c in NUMBERS.get(table, "").split()]
+        parts += [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in TIMES.get(table, "").split()]
+        if table == "embeddings":
+            parts.append(F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 65536).cast("long").cast("string")), ","))
+        return F.concat_ws("|", *(F.coalesce(x, F.lit("~")) for x in parts))
+
     parts = [
-        _table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.conv(F.left(F.md5(F.col(c).cast("string")), F.lit(8)), 16, 10).cast("long")).alias("checksum"))
-        .select(F.lit(t).alias("name"), "n_rows", "checksum") for t, c in KEYS.items()
+        _table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.conv(F.left(F.md5(row(t)), F.lit(8)), 16, 10).cast("long")).alias("checksum"))
+        .select(F.lit(t).alias("name"), "n_rows", "checksum") for t in PLAIN
     ]
     return reduce(DataFrame.unionByName, parts)
 
