@@ -58,7 +58,9 @@ def citations(answers: DataFrame, sources: DataFrame, id_pattern: str, quote_pat
     tried = said.select("answer_id", "place", "quote", F.posexplode("verified").alias("n", "source_id")).join(texts, "source_id")
     wanted = content(F.col("quote"), profile)
     held = (wanted != "") & F.contains(content(F.col("text"), profile), wanted)
-    alike = dice(pairs_of(units(F.col("quote"), profile)), pairs_of(units(F.col("text"), profile)))
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  else words would be split again for each pair
+    paired = lambda c: bound(units(F.col(c), profile), pairs_of)
+    alike = bound(F.struct(paired("quote").alias("q"), paired("text").alias("t")), lambda s: dice(s["q"], s["t"]))
     seen = tried.select("answer_id", "place", "n", "source_id", held.alias("held"), F.when(~held, alike).alias("alike"))
     holders = F.transform(F.array_distinct(F.sort_array(F.collect_list(F.when(F.col("held"), F.struct("n", "source_id"))))), lambda x: x["source_id"])
     best = seen.groupBy("answer_id", "place").agg(holders.alias("holders"), F.max("alike").alias("alike"))
