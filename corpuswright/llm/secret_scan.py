@@ -63,8 +63,10 @@ _ATTRIBUTE = re.compile(r"\b(?:key|name)\s*+=\s*+([\"'])(?P<name>[A-Za-z_][\w.\-
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>|]+")
 _COMMA = re.compile(r"\s*+,\s*+(?=[\"'`])")
 _DIGIT = re.compile(r"\d")
+_HEAD = re.compile(r"[|>][+-]?[ \t]*+\n(?P<indent>[ \t]++)")
 _BLOCK = re.compile(r"[|>][+-]?[ \t]*\n(?P<body>(?P<indent>[ \t]+)[^\n]*(?:\n(?P=indent)[^\n]*|\n[ \t]*(?=\n))*)")
-_ANNOTATED = re.compile(r"[A-Za-z_][\w.\[\]<>|?& ]*?[ \t]*+=(?![=>])[ \t]*+")
+_ANNOTATED = re.compile(r"[A-Za-z_][\w.\[\]<>|?& ]*+[ \t]*+=(?![=>])[ \t]*+")
+_BLANKS = re.compile(r"[ \t]*+")
 _INSIDE = re.compile(r"\$\{?([A-Za-z_]\w*+)|\{([A-Za-z_][\w.]*+)\}|%([A-Za-z_]\w*+)%")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _PLACEHOLDER = re.compile(r"(?i)^(?:none|null|true|false|changeme|change[_-]?me|example|x{3,}|\*+|\.+|<.*>|todo.*|your[_-].*|\$\{?\w+\}?|%\w+%|\{\{.*\}\}|(.)\1*)$", re.S)
@@ -148,16 +150,29 @@ def _expression(text: str, at: int) -> tuple[list, int]:
     return terms, at
 
 
+def _indent(text: str, at: int) -> int:
+    """How far the line of a place is indented."""
+    line = text.rfind("\n", 0, at) + 1
+    return _BLANKS.match(text, line, at).end() - line
+
+
 def bindings(text: str) -> dict[str, list[tuple[list, bool]]]:
     """What each name of a text is bound to: expressions, and whether they stand there without quotes."""
     out: dict[str, list[tuple[list, bool]]] = defaultdict(list)
     bare_values, run_end, first = [], -1, True
+    outer, block_end = [], -1
     for m in _PAIR.finditer(text):
         at, op = m.end(), m["op"] or " "
         if op == ":" and (typed := _ANNOTATED.match(text, at)):
             at = typed.end()
-        if op == ":" and (block := _BLOCK.match(text, at)):
-            out[m["name"]].append(([block.span("body")], False))
+        # a block is indented further than its name, so blocks nest no deeper than the root of the text's length; one that holds
+        # another is structure, and no literal
+        if op == ":" and (head := _HEAD.match(text, at)) and len(head["indent"]) > _indent(text, m.start()):
+            block = _BLOCK.match(text, at)
+            if m.start() < block_end:
+                outer.clear()
+            outer, block_end = [block.span("body")], block.end()
+            out[m["name"]].append((outer, False))
             continue
         terms, end = _expression(text, at)
         if at >= run_end:
