@@ -6,7 +6,7 @@ length down to the seed length. Tiles cover an item in any order, so reordered p
 item's words under tiles.
 
 The benchmark is a stated query set. Each block of at most about `block_chars` characters of it is broadcast, and its index (numpy
-arrays, some 30 bytes a word) is built once a worker. A larger benchmark goes in several passes over the documents, each
+arrays, some 40 bytes a word) is built once a worker. A larger benchmark goes in several passes over the documents, each
 written before the next begins, with the same result. Documents never shuffle.
 """
 
@@ -30,6 +30,8 @@ COVERAGE = 0.5
 BLOCK_CHARS = 16_000_000
 _MODULUS = (1 << 61) - 1
 _BASE = 1_000_003
+ITEM_MARK, TEXT_MARK = -1, -2
+_FREE = bytes(64)
 MATCH = "array<struct<item_id:bigint,coverage:double,n_tiles:int,n_words:int>>"
 
 
@@ -61,41 +63,49 @@ def _windows(words: list[int], marked: list[bool], s: int) -> Iterator[tuple[int
             yield i - s + 1, value
 
 
+def _reach(item: list[int], text: list[int], p: int, t: int, k: int) -> int:
+    """How far the words from two places on are equal, of which the first k are known to be: steps double, and halve at the end."""
+    step, most = 32, min(len(item) - p, len(text) - t)
+    while k < most and step:
+        n = min(step, most - k)
+        if item[p + k : p + k + n] == text[t + k : t + k + n]:
+            k, step = k + n, 2 * n
+        else:
+            step = n // 2
+    return k
+
+
 def greedy_tiles(item: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
     """(position in item, position in text, length) of the tiles, longest first; none is shorter than `least`."""
-    item_marked, text_marked = [False] * len(item), [False] * len(text)
+    item, text = list(item), list(text)  # marked words become ITEM_MARK and TEXT_MARK, which equal no word
+    item_marked, text_marked = bytearray(len(item)), bytearray(len(text))
     tiles, s = [], min(len(item), len(text))
     while s >= least:
-        where = defaultdict(list)
+        where: dict = defaultdict(lambda: defaultdict(list))  # by hash, then by the word before: equal words before mean a longer run
         for t, h in _windows(text, text_marked, s):
-            where[h].append(t)
+            where[h][text[t - 1] if t else TEXT_MARK].append(t)
         by_length = defaultdict(list)
         for p, h in _windows(item, item_marked, s):
-            for t in where.get(h, ()):
-                if item[p : p + s] != text[t : t + s]:
-                    continue
-                if p and t and not item_marked[p - 1] and not text_marked[t - 1] and item[p - 1] == text[t - 1]:
-                    continue  # a longer run from further left has it
-                k = s
-                while p + k < len(item) and t + k < len(text) and not item_marked[p + k] and not text_marked[t + k] and item[p + k] == text[t + k]:
-                    k += 1
-                by_length[k].append((p, t))
+            before = item[p - 1] if p else ITEM_MARK
+            for other, places in where[h].items() if h in where else ():
+                if other == before:
+                    continue  # longer runs from further left have these
+                for t in places:
+                    if item[p : p + s] == text[t : t + s]:
+                        by_length[_reach(item, text, p, t, s)].append((p, t))
         while by_length:
             k = max(by_length)
-            for p, t in sorted(by_length.pop(k)):
-                free = [not (item_marked[p + i] or text_marked[t + i]) for i in range(k)]
-                if all(free):
-                    item_marked[p : p + k] = text_marked[t : t + k] = [True] * k
+            for p, t in sorted(set(by_length.pop(k))):
+                if item_marked.find(1, p, p + k) < 0 and text_marked.find(1, t, t + k) < 0:
+                    item_marked[p : p + k] = text_marked[t : t + k] = b"\1" * k
+                    item[p : p + k], text[t : t + k] = [ITEM_MARK] * k, [TEXT_MARK] * k
                     tiles.append((p, t, k))
-                else:  # the parts that are still free are matches of their own
-                    i = 0
-                    while i < k:
-                        j = i
-                        while j < k and free[j]:
-                            j += 1
-                        if j - i >= s:
-                            by_length[j - i].append((p + i, t + i))
-                        i = j + 1
+                elif item_marked.find(_FREE[:s], p, p + k) >= 0 and text_marked.find(_FREE[:s], t, t + k) >= 0:  # the parts that are still free
+                    taken = np.frombuffer(bytes(item_marked[p : p + k]), np.uint8) | np.frombuffer(bytes(text_marked[t : t + k]), np.uint8)
+                    edges = np.r_[-1, np.flatnonzero(taken), k]
+                    for i in np.flatnonzero(np.diff(edges) > s).tolist():
+                        first = int(edges[i]) + 1
+                        by_length[int(edges[i + 1]) - first].append((p + first, t + first))
         if s == least:
             break
         s = max(least, s // 2)
@@ -114,10 +124,9 @@ class Items:
         hashes, owner = shingle_hashes(self.words, of, len(words), least)
         long = np.diff(self.first)[owner] >= least
         hashes, owner = hashes[long], owner[long].astype(np.int32)
-        order = np.lexsort((owner, hashes))
-        hashes, owner = hashes[order], owner[order]
-        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])] if len(hashes) else np.zeros(0, bool)
-        hashes, self.owner = hashes[new], owner[new]
+        place = self.first[owner] + np.arange(len(owner)) - np.searchsorted(owner, owner)
+        order = np.lexsort((place, hashes))
+        hashes, self.owner, self.place = hashes[order], owner[order], place[order]
         self.seeds, self.begin = np.unique(hashes, return_index=True)
         self.end = np.r_[self.begin[1:], len(hashes)].astype(np.int64)
 
@@ -131,15 +140,19 @@ class Items:
         hit = np.flatnonzero(self.seeds[at] == hashes)
         if not len(hit):
             return []
+        # no tile covers a word of an item that is under none of the item's seeds here; few items with a common seed come further
+        places = np.sort(np.concatenate([self.place[self.begin[j] : self.end[j]] for j in np.unique(at[hit]).tolist()]))
+        under = np.minimum(np.diff(np.r_[places, places[-1] + self.least]), self.least)
+        under = np.bincount(np.searchsorted(self.first, places, side="right") - 1, weights=under, minlength=len(self.ids))
+        enough = (under > 0) & (under >= coverage * np.diff(self.first))
         where = defaultdict(list)
-        for p in hit.tolist():
-            for k in self.owner[self.begin[at[p]] : self.end[at[p]]].tolist():
+        for p in hit.tolist() if enough.any() else ():
+            owner = self.owner[self.begin[at[p]] : self.end[at[p]]]
+            for k in dict.fromkeys(owner[enough[owner]].tolist()):
                 where[k].append(p)
         out = []
         for k, starts in sorted(where.items()):
             item, text, last = self.words[self.first[k] : self.first[k + 1]].tolist(), [], -1
-            if len(starts) + (self.least - 1) * len(starts) < coverage * len(item):
-                continue  # even disjoint seeds could not cover enough
             for p in starts:  # the stretches under this item's seeds, with a gap that matches nothing between them
                 if last >= 0 and p > last:
                     text.append(-1 - len(text))
