@@ -182,7 +182,8 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = O
     """Adds sequence_id and offset to narrow piece rows (doc_id, piece, length, ...); offsets in a sequence are gapless from 0.
 
     Equal rows (a repeated doc_id) are each placed. Group numbers come from a hash of the row's key, and order within a group
-    is total up to equal rows, so a lost task that runs again places alike. A group has about `group_tokens` tokens and at most
+    is total up to equal rows, so a lost task that runs again places alike. Rows without doc_id, be they a third of all, are
+    dealt by their number in `pieces`, which is then a written table, so that they have it however often they are read. A group has about `group_tokens` tokens and at most
     about GROUP_ROWS rows, however short texts are.
     """
     size = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("rows")).first()
@@ -197,7 +198,8 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = O
         pdf["offset"] = np.array(offsets, dtype=np.int64)
         return pdf.drop(columns="packing_group")
 
-    keyed = pieces.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    number = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    keyed = pieces.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "piece", number), F.lit(groups)))
     fields = ", ".join(f"{c} {t}" for c, t in pieces.dtypes)
     return keyed.groupBy("packing_group").applyInPandas(pack, f"{fields}, sequence_id long, offset long")
 
