@@ -6,25 +6,26 @@ straight through: only the others shuffle. False positives cost a shuffled row a
 
 Size. The filter has `cells_per_row` cells a row up to `max_cells` (2**28: a bitmap of 32 MiB, the most that is broadcast at
 once). More rows, over about 22 million, are filtered range by range of their hash: their digests are written in a folder a
-range, and each range has a filter of its own. Past MAX_RANGES of them (1.4 billion rows) the filters fill up and more unique
-rows shuffle as well (three narrow columns each, never the text); at worst the job is the plain grouped one. Copies of a text,
+range, and each range has a filter of its own, as many as the rows need, so that the share of unique rows that shuffle stays
+the same at every size. Copies of a text,
 be they a third of all rows, are pre-aggregated before the grouping shuffle, and large groups return to their rows by a
 broadcast of bounded size.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, cut, first_of_each, join_groups, mix64, text_rows, with_ids, without_ids, written
+from .common import GOLDEN, cut, first_of_each, join_groups, mix64, shared_folder, text_rows, with_ids, without_ids, written
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 PROBES = 4
 SEGMENT_BITS = 16
-MAX_RANGES = 64
 
 
 def _cells(h: np.ndarray, bits: int) -> np.ndarray:
@@ -93,19 +94,19 @@ def possibly_repeated(rows: DataFrame, h: str, n_rows: int, cells_per_row: int =
 def flag_repeated(digests: DataFrame, n_rows: int, cells_per_row: int = 12, max_cells: int = 1 << 28):
     """`digests` with `maybe`: whether their hash `h` may occur twice; and the filter's column function where there is one filter.
     One filter at a time is in the executors' memory."""
-    ranges = min(MAX_RANGES, -(-n_rows * cells_per_row // max_cells))
+    ranges = -(-n_rows * cells_per_row // max_cells)
     if ranges <= 1:
         probe, _ = possibly_repeated(digests, "h", n_rows, cells_per_row, max_cells)
         return digests.withColumn("maybe", probe("h")), probe
     # the low bits choose the range, as all of them are mixed before they choose cells
-    dealt, out = written(digests.withColumn("_range", F.pmod("h", F.lit(ranges)).cast("int")), "_range"), None
+    dealt = written(digests.withColumn("_range", F.pmod("h", F.lit(ranges)).cast("int")), "_range")
+    flagged = f"{shared_folder(digests.sparkSession)}/{uuid.uuid4().hex}"
     for k in range(ranges):
         mine = dealt.where(F.col("_range") == k).drop("_range")  # one folder
         probe, shared = possibly_repeated(mine, "h", -(-n_rows // ranges), cells_per_row, max_cells)
-        flagged = written(mine.withColumn("maybe", probe("h")))
+        mine.withColumn("maybe", probe("h")).write.parquet(f"{flagged}/range={k}")
         shared.destroy()
-        out = flagged if out is None else out.unionByName(flagged)
-    return out, None
+    return digests.sparkSession.read.parquet(flagged).drop("range"), None
 
 
 def _digest(text: Column) -> Column:
