@@ -38,7 +38,7 @@ GRAM = 16
 CHUNK = 1 << 18
 GROUP_BYTES = 1 << 22
 HOT_DOCS = 20_000
-SPLITTER_DOCS = 1000  # about so many documents are read for the splitters; they only balance the buckets
+SPLITTER_DOCS = 1000  # for the splitters at least so many documents are read, and one a bucket: they only balance the buckets
 _POSITION_BITS = np.uint64(24)
 _LOW_BITS = np.uint64(16)
 _LETTER = "g int, copy_id long, copy_h long, keys binary, masks binary, grams binary, hot binary"
@@ -418,7 +418,7 @@ def _splitters(rows: DataFrame, n_rows: int, buckets: int, width: int, gram: int
             a = a[h % np.uint64(16) == 0]
             yield pa.record_batch([pa.array([data[x : x + gram].tobytes() for x in a.tolist()], type=pa.binary())], names=["lead"])
 
-    every = max(1, n_rows // SPLITTER_DOCS)
+    every = max(1, n_rows // max(SPLITTER_DOCS, buckets))
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
     leads = sorted(r["lead"] for r in sample.mapInArrow(run, "lead binary").collect())
     picks = [leads[len(leads) * k // buckets] for k in range(1, buckets)] if leads else []

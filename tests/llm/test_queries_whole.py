@@ -2,16 +2,19 @@
 
 import math
 import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuswright.llm import decontaminate, exact_dedup, near_dedup, queries, token_counts
+from corpuswright.llm import decontaminate, exact_dedup, near_dedup, queries, substring_dedup, token_counts
 from corpuswright.llm.common import read_table
+from corpuswright.llm.decontaminate import Items, greedy_tiles, tile_words
 from corpuswright.llm.packing import OPEN_BINS, arrival_order, best_fit, place_pieces
 from test_brute_force import SF, _segment
 
@@ -138,3 +141,32 @@ def test_toxicity_on_the_held_out_fold(spark):
     right = sum(t == p for _, t, p in rows) / len(rows)
     print("held out", len(rows), "toxic", len(bad), "AUC", round(area, 4), "accuracy", round(right, 4))
     assert len(bad) > 50 and area > 0.94 and right > 0.96
+
+
+def test_packing_of_rows_without_id(spark):
+    """Rows without doc_id, all alike, do not share one group."""
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("int").alias("piece"), F.lit(7).cast("long").alias("length"))
+    placed = place_pieces(rows, capacity=100, group_tokens=2000).toPandas()
+    assert len(placed) == 3000 and (placed["sequence_id"] // (1 << 40)).value_counts().max() < 600
+    for _, s in placed.groupby("sequence_id"):
+        assert sorted(s["offset"]) == list(range(0, 7 * len(s), 7)) and 7 * len(s) <= 100
+
+
+def test_tiles_of_one_repeated_word_take_little_time():
+    begun = time.monotonic()
+    assert sum(n for _, _, n in greedy_tiles([7] * 2000 + [8], [7] * 8000, 5)) == 2000
+    assert time.monotonic() - begun < 5
+
+
+def test_a_seed_of_very_many_items():
+    opening = "which of the following statements about"
+    items = Items(list(range(20_000)), [f"{opening} {i} {i + 1} {i + 2} {i + 3} {i + 4} {i + 5}" for i in range(20_000)])
+    text = f"{opening} 77 78 79 80 81 82 " + f"{opening} nothing " * 500
+    begun = time.monotonic()
+    got = items.matches(tile_words(pa.array([text]))[0], 0.95)
+    assert [(i, c) for i, c, _, _ in got] == [(77, 1.0)] and time.monotonic() - begun < 20
+
+
+def test_splitters_grow_with_the_buckets(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f":{k}")), 256) for k in range(4)]).alias("text"))
+    assert len(substring_dedup._splitters(rows, 4000, 4000, 50, 16)) > 2 * len(substring_dedup._splitters(rows, 4000, 500, 50, 16))
