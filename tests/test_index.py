@@ -2,7 +2,9 @@
 
 import shutil
 import tempfile
+import types
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,22 @@ def test_passages_of_any_length(spark):
     own = {(" ".join(r.passage), r.doc_id) for r in lookup.occurrences(works, passages, ["key"]).collect()}
     assert own == {x for x in want if x[1] < 3}
     assert lookup.occurrences(works, passages.limit(0)).count() == 0
+
+
+def test_passages_by_head_and_tail(spark):
+    """All parts of a text of every length, others that only share head and tail, and one word in very many places."""
+    words = [f"w{i % 7}" for i in range(60)] + ["end"]
+    texts = {1: words, 2: words[10:40], 3: ["a"] * 5000, 4: "h i j k x k l m n".split(), 5: []}
+    works = spark.createDataFrame([*texts.items(), (None, words)], "doc_id long, unit array<string>")
+    asked = [words[i : i + n] for i in (0, 3, 50) for n in (1, 2, 3, 5, 8, 11, 31)] + [["a"], ["a"] * 3, ["a"] * 4999, "h i j k l m n".split(), "k x k".split(), []]
+    got = {(tuple(r.passage), r.doc_id) for r in lookup.occurrences(works, spark.createDataFrame([(p,) for p in asked], "passage array<string>")).collect()}
+    holds = lambda ws, p: any(ws[i : i + len(p)] == p for i in range(len(ws) - len(p) + 1))
+    assert got == {(tuple(p), d) for p in asked if p for d, ws in texts.items() if holds(ws, p)}
+
+
+def test_places_of_a_common_word(spark):
+    """A passage of one word takes one place from a text, not all of them."""
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "w": pa.array([[7] * 1000, [8, 7]], pa.list_(pa.int64()))})
+    every = types.SimpleNamespace(value=bytes([255] * (lookup.LEAST_BITS // 8)))
+    found = pa.Table.from_batches(lookup._places([0], every, lookup.LEAST_BITS)(iter([rows]))).to_pylist()
+    assert [(r["doc_id"], r["pos"]) for r in found] in ([(1, 0), (2, 0), (2, 1)], [(1, 0), (2, 1), (2, 0)])
