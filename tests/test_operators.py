@@ -1,5 +1,7 @@
 """Operators that no query over the tables shows in full: shortcuts of search, layers of evidence, goldens of verse."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +149,31 @@ def test_private_characters_are_no_hits(spark):
     assert annotate.annotation(docs, {"x": lexicon}, LATIN, r"\bnot $").inputFiles() == got.inputFiles()  # read, not made again
     other = annotate.annotation(docs.where("doc_id > 0"), {"x": lexicon}, LATIN, r"\bnot $")
     assert other.count() == len([w for w in want if w[0] > 0])
+
+
+def _shared_runs(texts: dict[int, list[str]], n: int, most: int) -> set[tuple]:
+    """The maximal runs of grams of two to `most` documents, place by place."""
+    at = {}
+    for d, ws in texts.items():
+        for i in range(len(ws) - n + 1):
+            at.setdefault(tuple(ws[i : i + n]), []).append((d, i))
+    shared = {(a, b, i, j) for places in at.values() if 2 <= len({d for d, _ in places}) <= most for a, i in places for b, j in places if a < b}
+    out = set()
+    for a, b, i, j in shared:
+        if (a, b, i - 1, j - 1) not in shared:
+            k = 0
+            while (a, b, i + k + 1, j + k + 1) in shared:
+                k += 1
+            out.add((a, b, i, j, k + n))
+    return out
+
+
+def test_runs_by_their_ends(spark):
+    """Runs cut by grams of too many documents, repeated in one document, at both ends of texts."""
+    deal = random.Random(5)
+    texts = {d: [deal.choice("abc") for _ in range(deal.randrange(0, 40))] for d in range(1, 9)}
+    texts |= {11: list("xyzxyzxyzxyz"), 12: list("xyzxyzxyz"), 13: [f"w{i}" for i in range(300)], 14: [f"w{i}" for i in range(300)]}
+    df = spark.createDataFrame([(d, ws) for d, ws in texts.items()] + [(None, list("xyzxyz"))], "doc_id long, unit array<string>")
+    for n, most in ((2, 3), (3, 4), (5, 20)):
+        got = [tuple(r) for r in intertext.runs(df, n, most).select("a", "b", "pa", "pb", "length").collect()]
+        assert len(got) == len(set(got)) and set(got) == _shared_runs(texts, n, most)
