@@ -177,3 +177,9 @@ def test_runs_by_their_ends(spark):
     for n, most in ((2, 3), (3, 4), (5, 20)):
         got = [tuple(r) for r in intertext.runs(df, n, most).select("a", "b", "pa", "pb", "length").collect()]
         assert len(got) == len(set(got)) and set(got) == _shared_runs(texts, n, most)
+
+
+def test_frequent_grams_as_text(spark):
+    rows = [(d, f"p{d} a b c d e q{d} a b c d e".split()) for d in range(30)] + [(99, "a b c".split())]
+    got = intertext.frequent_runs(spark.createDataFrame(rows, "doc_id long, unit array<string>"), 5, 20).collect()
+    assert sorted((r.gram, r.n_docs, r.doc_id, r.pos) for r in got) == [("a b c d e", 30, d, 1) for d in range(30)]
