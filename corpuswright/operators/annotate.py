@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import Lexicon, TextProfile, fold, marks_of, mask, named, negated, split_lines, without_private
+from ..functions.text import Lexicon, TextProfile, fold, marks_of, mask, matches, named, negated, split_lines, without_private
 from .stage import kept
 
 
@@ -19,29 +19,22 @@ def lines_of(docs: DataFrame, text: Column, profile: TextProfile) -> DataFrame:
 
 def hits_in(texts: DataFrame, folded: str, lexicons: dict[str, Lexicon], *keep: str) -> DataFrame:
     """kind, pos (from 0), canon, surface and the columns to keep: a row a hit in the column `folded`; kinds have masks of their
-    own. All texts are masked, by compiled `replace`; those that it left alone go. The place of a surface's k-th hit is the
-    length of what stands before the k-th of its marks."""
+    own. All texts are masked, by compiled `replace`; those that it left alone go. The marks of a masked text and what lies between
+    them give all places in one pass, so a hit costs the same in a long line as in a short one."""
     texts = texts.select(*keep, without_private(F.col(folded)).alias("_f"))
     masked = texts.select(*dict.fromkeys([*keep, "_f"]), *(mask(F.col("_f"), lexicon).alias(f"_{kind}") for kind, lexicon in lexicons.items()))
     some = masked.where(F.greatest(*(F.col(f"_{kind}") != F.col("_f") for kind in lexicons)) if len(lexicons) > 1 else F.col(f"_{next(iter(lexicons))}") != F.col("_f"))
 
     def of_kind(kind: str) -> Column:
-        marks = F.array_distinct(F.regexp_extract_all(f"_{kind}", F.lit(marks_of(lexicons[kind])), F.lit(0)))
-        return F.transform(marks, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("mark")))
-
-    each = some.select(*keep, *(f"_{kind}" for kind in lexicons), F.explode(F.concat(*map(of_kind, lexicons))).alias("_h"))
-    text = F.lit("")
-    for kind in lexicons:
-        text = F.when(F.col("_h.kind") == kind, F.col(f"_{kind}")).otherwise(text)
-    told = each.select(*keep, F.col("_h.kind").alias("kind"), F.col("_h.mark").alias("_mark"), text.alias("_t"))
-    times = F.length("_t") - F.length(F.replace("_t", F.col("_mark"), F.lit("")))
-    found = told.select("*", F.explode(F.sequence(F.lit(1), times)).alias("_k"))
+        return F.transform(matches(F.col(f"_{kind}"), marks_of(lexicons[kind]), 0), lambda x: F.struct(F.lit(kind).alias("kind"), x["at"].alias("at"), x["said"].alias("mark")))
+
+    each = some.select(*keep, F.explode(F.concat(*map(of_kind, lexicons))).alias("_h"))
+    found = each.select(*keep, F.col("_h.kind").alias("kind"), F.col("_h.at").alias("_at"), F.col("_h.mark").alias("_mark"))
     canon, surface = F.lit(""), F.lit("")
     for kind, lexicon in lexicons.items():
         c, s = named(F.col("_mark"), lexicon)
         canon, surface = (F.when(F.col("kind") == kind, x).otherwise(y) for x, y in ((c, canon), (s, surface)))
-    pos = F.length(F.call_function("substring_index", F.col("_t"), F.col("_mark"), F.col("_k")))
-    return found.select(*keep, "kind", pos.cast("long").alias("pos"), canon.alias("canon"), surface.alias("surface"))
+    return found.select(*keep, "kind", F.col("_at").cast("long").alias("pos"), canon.alias("canon"), surface.alias("surface"))
 
 
 def annotate_lines(lines: DataFrame, lexicons: dict[str, Lexicon], profile: TextProfile, negation: str) -> DataFrame:

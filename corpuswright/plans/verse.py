@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import LATIN, canonical, char_pattern, content, erase, normalized_query, split_lines, tokens
+from ..functions.text import LATIN, canonical, char_pattern, content, erase, negated, normalized_query, split_lines, tokens
 from ..operators import annotate, claims, compose, guards, metrics, profiles, prosody
 from . import cjk_queries as cjk
 from . import queries as base
@@ -100,9 +100,9 @@ def verse_forms(spark, sf_dir):
 def verse_annotate(spark, sf_dir):
     folded = _poems(spark, sf_dir).where("text <> ''").withColumn("f", F.translate("text", FOLD_FROM, FOLD_TO))
     every = annotate.hits_in(folded, "f", {"image": IMAGES, "feeling": FEELINGS}, "poem_id", "f")
-    before = F.substring(F.col("f"), F.lit(1), F.col("pos").cast("int"))
-    month = (F.col("kind") == "image") & (F.col("canon") == "月") & before.rlike(MONTH)
-    return every.select("poem_id", "kind", "pos", "canon", before.rlike(NEGATION).alias("negated"), month.alias("month"))
+    before = lambda pattern: negated(F.col("f"), F.col("pos").cast("int"), pattern)
+    month = (F.col("kind") == "image") & (F.col("canon") == "月") & before(MONTH)
+    return every.select("poem_id", "kind", "pos", "canon", before(NEGATION).alias("negated"), month.alias("month"))
 
 
 @_register(_over("cjk_line_tones", cjk._VERSE, _VERSE))

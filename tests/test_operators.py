@@ -1,10 +1,12 @@
 """Operators that no query over the tables shows in full: shortcuts of search, layers of evidence, goldens of verse."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpuswright.functions import text
 from corpuswright.functions.text import CJK_PROFILE, LATIN, Lexicon
 from corpuswright.operators import annotate, gate, guards, intertext, metrics, prosody, search
 from corpuswright.sources import corpus
@@ -183,3 +185,14 @@ def test_frequent_grams_as_text(spark):
     rows = [(d, f"p{d} a b c d e q{d} a b c d e".split()) for d in range(30)] + [(99, "a b c".split())]
     got = intertext.frequent_runs(spark.createDataFrame(rows, "doc_id long, unit array<string>"), 5, 20).collect()
     assert sorted((r.gram, r.n_docs, r.doc_id, r.pos) for r in got) == [("a b c d e", 30, d, 1) for d in range(30)]
+
+
+def test_hits_of_a_long_line(spark):
+    """Marks and negators far into a line are where they are in a short one, and only the end of what stands before is read."""
+    words = ["moon", "not moon", "moonlight", "so sad", "é tears", "not at all a moon"] * 300
+    df = spark.createDataFrame([(1, 0, " ".join(words)), (2, 0, "not moon"), (3, 0, "nothing")], "doc_id long, line_no int, line string")
+    got = annotate.annotate_lines(df, {"image": IMAGES, "feeling": FEELINGS}, LATIN, r"\bnot $").collect()
+    line = " ".join(words)
+    want = {(m.start(), m.group(), bool(re.search(r"\bnot $", line[: m.start()]))) for m in re.finditer("moonlight|moon|sad|tears", line)}
+    assert {(r.pos, r.surface, r.negated) for r in got if r.doc_id == 1} == want and len(got) == len(want) + 1
+    assert [text._reach(p) for p in (r"\bnot $", "no+ $", "^no $", "(?<=a)no $", "[^a]no$")] == [7, None, None, None, 6]
