@@ -120,3 +120,28 @@ def test_places_of_a_common_word(spark):
     every = types.SimpleNamespace(value=bytes([255] * (lookup.LEAST_BITS // 8)))
     found = pa.Table.from_batches(lookup._places([0], every, lookup.LEAST_BITS)(iter([rows]))).to_pylist()
     assert [(r["doc_id"], r["pos"]) for r in found] in ([(1, 0), (2, 0), (2, 1)], [(1, 0), (2, 1), (2, 0)])
+
+
+def test_ranking_in_portions(spark, corpus, monkeypatch):
+    """Queries in small portions, blocks skipped from the start, scores cut as soon as they come: the same answers, from the stored
+    index and from one for these queries alone."""
+    for name, value in (("QUERIES", 3), ("PAIRS", 1 << 8)):
+        monkeypatch.setattr(index, name, value)
+    made, _ = _refresh(spark, corpus)
+    docs, asked = spark.read.parquet(f"{corpus}/docs"), _asked(spark)
+    want = _plain(spark, docs, asked, 5)
+    assert _top(index.top(made, asked, 5, first_blocks=0)) == want
+    assert _top(index.top(index.unstored(docs, F.col("text"), LATIN, asked), asked, 5)) == want
+    few = asked.where("query_id < 3")
+    assert _top(index.top(index.unstored(docs, F.col("text"), LATIN, few), few, 5)) == _plain(spark, docs, few, 5)
+
+
+def test_null_ids_rank_last_among_equals(spark, corpus):
+    rows = [(None, "moon"), (7, "moon"), (3, "moon"), (9, "stone"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{corpus}/equal")
+    docs, asked = spark.read.parquet(f"{corpus}/equal"), spark.createDataFrame([(1, "moon"), (2, "unheard")], "query_id int, term string")
+    for made in (index.refresh(docs, F.col("text"), LATIN, f"{corpus}/index4")[0], index.unstored(docs, F.col("text"), LATIN, asked)):
+        assert made.n_docs == 5
+        assert [r.doc_id for r in index.top(made, asked, 2).orderBy("rank").collect()] == [3, 7]
+        assert [r.doc_id for r in index.top(made, asked, 9).orderBy("rank").collect()] == [3, 7, None]
+    assert made.avg_length == 1.0  # of the texts there are
