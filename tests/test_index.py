@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuswright.functions.text import LATIN, tokens, units
 from corpuswright.operators import index, lookup, retrieve
+from corpuswright.plans import queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -145,3 +146,20 @@ def test_null_ids_rank_last_among_equals(spark, corpus):
         assert [r.doc_id for r in index.top(made, asked, 2).orderBy("rank").collect()] == [3, 7]
         assert [r.doc_id for r in index.top(made, asked, 9).orderBy("rank").collect()] == [3, 7, None]
     assert made.avg_length == 1.0  # of the texts there are
+
+
+def test_parts_of_strings(spark):
+    """Parts of a string at any place, also where words meet, in texts of several pieces and under one id or none."""
+    texts = [(1, "abcdefghij" * 20), (2, "xabcdefghiñjß"), (2, "xabcdefghiñjß"), (None, "ghiñjß"), (4, ""), (5, None), (6, "fghi")]
+    works = spark.createDataFrame(texts, "doc_id long, unit string").select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("doc_id"), "unit")
+    asked = ["jabcdefghijab", "hiñj", "fghi", "ñ", "abcdefghij" * 20, "zz", ""]
+    got = [(r.passage, r.doc_id.doc_id) for r in lookup.occurrences(works.coalesce(1), spark.createDataFrame([(p,) for p in asked], "passage string")).collect()]
+    assert sorted(got, key=repr) == sorted(((p, d) for p in asked if p for d, t in texts if t and p in t), key=repr)
+
+
+def test_letters_across_words(spark, tmp_path):
+    """An item whose letters a document has with other breaks between words."""
+    spark.createDataFrame([(1, "One twothree four, fi-ve six"), (2, "one two three four six")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, "onetwo three fo ur fi ve"), (11, "ne two three four")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = queries.QUERIES["contains_verbatim_pairs"](spark, str(tmp_path))
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 10)]
