@@ -3,45 +3,88 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import Lexicon, TextProfile, fold, marks_of, mask, matches, named, negated, split_lines, without_private
+from ..functions.text import FILLER, FIRST_MARK, Lexicon, TextProfile, fold, negated, seen_before, split_lines
 from .stage import kept
 
+EDGE = "\U000f0000"  # between texts: no surface has it
+PRIVATE = re.compile(f"[{chr(FIRST_MARK)}-{chr(FILLER)}]")  # a text's own are read as replacement characters
+HITS, HELD = 1 << 16, 1 << 26  # rows of a batch, and characters where hits keep their lines
+
 
 def lines_of(docs: DataFrame, text: Column, profile: TextProfile) -> DataFrame:
     """doc_id, line_no from 0, line."""
     return docs.select("doc_id", F.posexplode(split_lines(text, profile)).alias("line_no", "line"))
 
 
-def hits_in(texts: DataFrame, folded: str, lexicons: dict[str, Lexicon], *keep: str) -> DataFrame:
-    """kind, pos (from 0), canon, surface and the columns to keep: a row a hit in the column `folded`; kinds have masks of their
-    own. All texts are masked, by compiled `replace`; those that it left alone go. The marks of a masked text and what lies between
-    them give all places in one pass, so a hit costs the same in a long line as in a short one."""
-    texts = texts.select(*keep, without_private(F.col(folded)).alias("_f"))
-    masked = texts.select(*dict.fromkeys([*keep, "_f"]), *(mask(F.col("_f"), lexicon).alias(f"_{kind}") for kind, lexicon in lexicons.items()))
-    some = masked.where(F.greatest(*(F.col(f"_{kind}") != F.col("_f") for kind in lexicons)) if len(lexicons) > 1 else F.col(f"_{next(iter(lexicons))}") != F.col("_f"))
-
-    def of_kind(kind: str) -> Column:
-        return F.transform(matches(F.col(f"_{kind}"), marks_of(lexicons[kind]), 0), lambda x: F.struct(F.lit(kind).alias("kind"), x["at"].alias("at"), x["said"].alias("mark")))
-
-    each = some.select(*keep, F.explode(F.concat(*map(of_kind, lexicons))).alias("_h"))
-    found = each.select(*keep, F.col("_h.kind").alias("kind"), F.col("_h.at").alias("_at"), F.col("_h.mark").alias("_mark"))
-    canon, surface = F.lit(""), F.lit("")
-    for kind, lexicon in lexicons.items():
-        c, s = named(F.col("_mark"), lexicon)
-        canon, surface = (F.when(F.col("kind") == kind, x).otherwise(y) for x, y in ((c, canon), (s, surface)))
-    return found.select(*keep, "kind", F.col("_at").cast("long").alias("pos"), canon.alias("canon"), surface.alias("surface"))
+def _masked(text: str, ranked: list[tuple[str, str]]) -> str:
+    """The text with the matches of ranked surfaces, longest first and none over another, as one private character that names the
+    surface and fillers up to its length, so that places stay."""
+    for i, (surface, _) in enumerate(ranked):
+        if surface:
+            text = text.replace(surface, chr(FIRST_MARK + i) + chr(FILLER) * (len(surface) - 1))
+    return text
+
+
+def _found(folded: str, lexicons: dict[str, Lexicon], keep: list[str], reach: int | None):
+    """Rows to a row a hit. The texts of a batch are masked as one string, between edges that no surface has."""
+    ranked = {kind: lexicon.ranked() for kind, lexicon in lexicons.items()}
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(folded).fill_null("")
+            sizes = pc.utf8_length(texts).to_numpy().astype(np.int64) + 1
+            starts = np.cumsum(sizes) - sizes
+            whole = EDGE.join(texts.to_pylist())
+            plain = PRIVATE.sub("\ufffd", whole)
+            rows, kept = [], batch.select(keep)
+            step = max(1, min(HITS, HELD // int(sizes.max(initial=1)))) if folded in keep else HITS
+            for kind, names in ranked.items():
+                points = np.frombuffer(_masked(plain, names).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) - FIRST_MARK
+                at = np.flatnonzero((points >= 0) & (points < len(names)))
+                rows.append((kind, names, at, points[at]))
+            for kind, names, every, marks in rows:
+                for some in range(0, len(every), step):
+                    at, mark = every[some : some + step], pa.array(marks[some : some + step])
+                    row = np.searchsorted(starts, at, "right") - 1
+                    said = [pa.array([kind] * len(at), pa.string()), pa.array(at - starts[row]), *(pa.array([n[k] for n in names], pa.string()).take(mark) for k in (1, 0))]
+                    if reach is not None:
+                        said.append(pa.array([whole[x:y] for x, y in zip(np.maximum(starts[row], at - reach).tolist(), at.tolist())], pa.string()))
+                    yield pa.RecordBatch.from_arrays([*kept.take(pa.array(row)).columns, *said], [*keep, "kind", "pos", "canon", "surface", "before"][: len(keep) + len(said)])
+
+    return of
+
+
+def hits_in(texts: DataFrame, folded: str, lexicons: dict[str, Lexicon], *keep: str, reach: int | None = None) -> DataFrame:
+    """The columns to keep, kind, pos (from 0), canon, surface: a row a hit in the column `folded`; kinds have masks of their own.
+    With `reach` also before: so many characters at most before the hit. A batch is masked at once and all places of its marks come
+    from one pass, so a hit costs the same in a long line as in a short one, also if the line is not kept."""
+    kept = [f for f in texts.schema.fields if f.name in keep]
+    said = T.StructType([*kept, *(T.StructField(n, t) for n, t in (("kind", T.StringType()), ("pos", T.LongType()), ("canon", T.StringType()), ("surface", T.StringType())))])
+    if reach is not None:
+        said = said.add("before", T.StringType())
+    return texts.select(*dict.fromkeys([*(f.name for f in kept), folded])).mapInArrow(_found(folded, lexicons, [f.name for f in kept], reach), said)
 
 
 def annotate_lines(lines: DataFrame, lexicons: dict[str, Lexicon], profile: TextProfile, negation: str) -> DataFrame:
-    """doc_id, line_no, kind, pos, canon, surface, negated: a row a hit."""
+    """doc_id, line_no, kind, pos, canon, surface, negated: a row a hit. Of a line only what the pattern can see goes with a hit."""
     folded = lines.select("doc_id", "line_no", fold(F.col("line"), profile).alias("f"))
-    found = hits_in(folded, "f", lexicons, "doc_id", "line_no", "f")
-    return found.select("doc_id", "line_no", "kind", "pos", "canon", "surface", negated(F.col("f"), F.col("pos").cast("int"), negation).alias("negated"))
+    reach = seen_before(negation)
+    if reach is None:
+        found = hits_in(folded, "f", lexicons, "doc_id", "line_no", "f").withColumn("negated", negated(F.col("f"), F.col("pos").cast("int"), negation))
+    else:
+        found = hits_in(folded, "f", lexicons, "doc_id", "line_no", reach=reach).withColumn("negated", F.col("before").rlike(negation))
+    return found.select("doc_id", "line_no", "kind", "pos", "canon", "surface", "negated")
 
 
 def annotation(docs: DataFrame, lexicons: dict[str, Lexicon], profile: TextProfile, negation: str) -> DataFrame:

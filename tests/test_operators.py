@@ -3,12 +3,14 @@
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from corpuswright.functions import text
 from corpuswright.functions.text import CJK_PROFILE, LATIN, Lexicon
-from corpuswright.operators import annotate, gate, guards, intertext, metrics, prosody, search
+from corpuswright.operators import annotate, gate, guards, intertext, metrics, prosody, search, stage
 from corpuswright.sources import corpus
 
 IMAGES = Lexicon((("moon", ("moon", "moonlight")), ("river", ("river",))))
@@ -196,3 +198,29 @@ def test_hits_of_a_long_line(spark):
     want = {(m.start(), m.group(), bool(re.search(r"\bnot $", line[: m.start()]))) for m in re.finditer("moonlight|moon|sad|tears", line)}
     assert {(r.pos, r.surface, r.negated) for r in got if r.doc_id == 1} == want and len(got) == len(want) + 1
     assert [text._reach(p) for p in (r"\bnot $", "no+ $", "^no $", "(?<=a)no $", "[^a]no$")] == [7, None, None, None, 6]
+
+
+def test_a_file_of_one_row_group_is_spread(spark, tmp_path):
+    """Splits of a file without the middle of a row group have no rows: one task would read all, however many splits there are."""
+    rows = pa.table({"doc_id": list(range(4000)), "text": [str(i) * 500 for i in range(4000)]})
+    pq.write_table(rows, f"{tmp_path}/one.parquet", compression="none", use_dictionary=False)
+    pq.write_table(rows, f"{tmp_path}/many.parquet", compression="none", use_dictionary=False, row_group_size=100)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512k")
+    try:
+        busy = lambda df: [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        one, many = (spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("one", "many"))
+        assert one.rdd.getNumPartitions() >= 8 and busy(one) == [4000]
+        assert max(busy(stage.spread(one, "doc_id"))) < 1000 and stage.spread(one, "doc_id").count() == 4000
+        assert stage.spread(many, "doc_id") is many
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_hits_keep_within_their_lines(spark):
+    """Lines of a batch are masked together: nothing is found across two of them, in null or empty ones, or in private characters."""
+    lines = ["moon", "", None, "mo", "on", "\ue000moon", "no \U000f0000 moon not ", "moon"]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, line_no int, line string").coalesce(1)
+    for pattern in (r"\bnot $", r"(?<![a-z])not $"):  # as far back as it can see, and all of the line
+        got = annotate.annotate_lines(df, {"image": IMAGES}, LATIN, pattern).collect()
+        assert sorted((r.line_no, r.pos, r.canon, r.surface, r.negated) for r in got) == [(0, 0, "moon", "moon", False), (5, 1, "moon", "moon", False), (6, 5, "moon", "moon", False), (7, 0, "moon", "moon", False)]
