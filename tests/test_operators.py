@@ -217,6 +217,16 @@ def test_a_file_of_one_row_group_is_spread(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_work_on_a_spread_table_runs_where_its_rows_went(spark, tmp_path):
+    """A costly filter stays above the exchange, so that not the one task that reads a row group does all of it."""
+    rows = pa.table({"doc_id": list(range(400)), "text": ["A line. Another"] * 399 + [""]})
+    pq.write_table(rows, f"{tmp_path}/one.parquet")
+    works = stage.spread(spark.read.parquet(f"{tmp_path}/one.parquet"), "doc_id").select("doc_id", text.split_lines(F.col("text"), LATIN).alias("lines"))
+    full = works.where(F.size("lines") > 0).select("doc_id")
+    plan = full._jdf.queryExecution().optimizedPlan().toString()
+    assert full.count() == 399 and 0 <= plan.find("split(text") < plan.find("RepartitionByExpression")
+
+
 def test_hits_keep_within_their_lines(spark):
     """Lines of a batch are masked together: nothing is found across two of them, in null or empty ones, or in private characters."""
     lines = ["moon", "", None, "mo", "on", "\ue000moon", "no \U000f0000 moon not ", "moon"]
