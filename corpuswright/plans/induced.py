@@ -54,10 +54,10 @@ _ALL = f"""{_RULES}, {_THEMES}, {_WORKS},
     numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY fam, o) AS seq, rule_type, subject, object, strength, line_no FROM families)"""
 
 
-def rule_families(spark, sf_dir, found: DataFrame | None = None) -> DataFrame:
+def rule_families(spark, sf_dir, found: DataFrame | None = None, w: DataFrame | None = None) -> DataFrame:
     """doc_id, seq, rule_id, rule_type, subject, object, strength, line_no: every rule of every document."""
     found = base._annotated(spark, sf_dir) if found is None else found
-    w = works(spark, sf_dir)
+    w = works(spark, sf_dir) if w is None else w
     shape = lambda df, kind, subject, obj, strength, *keep: df.select(
         "doc_id", F.lit(kind).alias("rule_type"), subject.alias("subject"), obj.alias("object"), strength.cast("long").alias("strength"), F.col("line_no").cast("long").alias("line_no"), *keep
     )
@@ -230,8 +230,8 @@ def category_matrix_top(spark, sf_dir):
     UNION ALL SELECT 'source:' || source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'form:' || form, count(*) FROM works GROUP BY form""")
 def corpus_stats(spark, sf_dir):
     """How much of everything there is."""
-    w = once(works(spark, sf_dir).select("doc_id", "source", "form", "n_lines"))
-    found = rule_families(spark, sf_dir)
+    w = once(works(spark, sf_dir).drop("lang", "lines"))  # the texts are split once, for the counts and for two families of rules
+    found = rule_families(spark, sf_dir, w=w)
     one = F.count(F.lit(1)).alias("n")
     by = lambda df, name, column: df.groupBy(F.concat(F.lit(name), column).alias("what")).agg(one)
     return (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpuswright.functions import text
 from corpuswright.functions.text import CJK_PROFILE, LATIN, Lexicon
 from corpuswright.operators import annotate, gate, guards, intertext, metrics, prosody, search, stage
+from corpuswright.plans import induced
 from corpuswright.sources import corpus
 
 IMAGES = Lexicon((("moon", ("moon", "moonlight")), ("river", ("river",))))
@@ -227,6 +228,12 @@ def test_work_on_a_spread_table_runs_where_its_rows_went(spark, tmp_path):
     assert full.count() == 399 and 0 <= plan.find("split(text") < plan.find("RepartitionByExpression")
 
 
+def test_corpus_stats_splits_the_texts_once(spark):
+    """Its rules are built on the works that it has stored, so its plan does not read the documents again."""
+    sf = "/root/testdata/sf0.001"
+    assert not [f for f in induced.corpus_stats(spark, sf).inputFiles() if "documents.parquet" in f]
+
+
 def test_hits_keep_within_their_lines(spark):
     """Lines of a batch are masked together: nothing is found across two of them, in null or empty ones, or in private characters."""
     lines = ["moon", "", None, "mo", "on", "\ue000moon", "no \U000f0000 moon not ", "moon"]
