@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import _hashlib
+import ctypes
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.stage import shared_folder
+
 _TEXTS = ("title", "chapter", "section", "rhythmic", "author", "prologue", "desc", "dynasty", "genre")
 _LISTS = ("paragraphs", "para", "content", "notes", "tags")
 COUNTS = "_counts.json"  # beside an asset's files; names with an underscore are no data
@@ -208,10 +214,92 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def manifest(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
-    """file, sha256 and n_bytes of each file under a path, and under its folders, whose name fits."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
+class _Sha256:
+    """SHA-256 whose state is bytes, so that one task goes on where another has stopped; hashlib's objects keep theirs. The functions are
+    those of the libcrypto that hashlib itself uses."""
+
+    def __init__(self, state: bytes | None = None):
+        self._lib = ctypes.CDLL(_hashlib.__file__)
+        self._state = ctypes.create_string_buffer(state or bytes(112), 112)  # the size of SHA256_CTX
+        if state is None:
+            self._lib.SHA256_Init(self._state)
+
+    def update(self, data: bytes) -> _Sha256:
+        self._lib.SHA256_Update(self._state, data, ctypes.c_size_t(len(data)))
+        return self
+
+    def state(self) -> bytes:
+        return self._state.raw
+
+    def hexdigest(self) -> str:
+        out = ctypes.create_string_buffer(32)
+        self._lib.SHA256_Final(out, ctypes.create_string_buffer(self._state.raw, 112))
+        return out.raw.hex()
+
+
+def _hashed(states: dict[str, tuple[bytes, bool]]):
+    """path and state after the rows (path, line), which come in order; a line end stands between two lines of a file."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = sha = begun = None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([path]), pa.array([sha.state()], pa.binary())], ["path", "state"])
+        for batch in batches:
+            for name, rows in groupby(zip(batch.column("path").to_pylist(), batch.column("line").to_pylist()), lambda r: r[0]):
+                if name != path:
+                    if sha:
+                        yield row()
+                    path, (state, begun) = name, states[name]
+                    sha = _Sha256(state)
+                sha.update((b"\n" if begun else b"") + b"\n".join(line for _, line in rows))
+                begun = True
+        if sha:
+            yield row()
+
+    return of
+
+
+def _long_digests(spark: SparkSession, long: DataFrame, most: int) -> DataFrame:
+    """path and sha256 of long files (path, length, block, at, line): their bytes, cut at line ends by Spark's own reader, are stored once
+    and hashed in rounds of about `most` bytes a file. A round's tasks go on from the state of the one before, a row a file."""
+    folder = f"{shared_folder(spark)}/pieces-{uuid.uuid4().hex}"
+    pieces = long.withColumns({"round": F.floor(F.col("block") / most), "n": F.octet_length("line") + 1})
+    pieces.write.partitionBy("round").parquet(folder)
+    stored = spark.read.schema(pieces.schema).parquet(folder)
+    files = stored.groupBy("path", "length").agg(F.sum("n").alias("n"), F.max("round").alias("last")).collect()
+    states, ends = {}, {}
+    for f in files:  # the reader drops a byte order mark, and does not say whether a line end is last
+        mark = f["n"] < f["length"]
+        ends[f["path"]] = f["n"] + 3 * mark == f["length"]
+        if not ends[f["path"]] and f["n"] + 3 * mark != f["length"] + 1:
+            raise ValueError(f"{f['path']} changed while it was read")
+        states[f["path"]] = (_Sha256().update(b"\xef\xbb\xbf" if mark else b"").state(), False)
+    for k in range(1 + max((f["last"] for f in files), default=-1)):
+        rows = stored.where(F.col("round") == k).repartition(4 * len(files), "path").sortWithinPartitions("path", "block", "at").select("path", "line")
+        states |= {r["path"]: (bytes(r["state"]), True) for r in rows.mapInArrow(_hashed(states), "path string, state binary").collect()}
+    told = [(p, _Sha256(s).update(b"\n" if ends[p] else b"").hexdigest()) for p, (s, _) in states.items()]
+    return spark.createDataFrame(told, "path string, sha256 string")
+
+
+MOST = 1 << 29  # bytes of a file that one task reads
+PACKED = r"\.(gz|bz2|lz4|snappy|deflate|zst)$"  # names of files that Spark's reader of lines unpacks
+
+
+def manifest(spark: SparkSession, path: str, names: str = "*", most: int = MOST) -> DataFrame:
+    """file, sha256 and n_bytes of each file under a path, and under its folders, whose name fits. A file over `most` bytes is hashed
+    in pieces, by one task after the other, unless its name is that of a packed one: those are one piece, of 2 GB at most. Spark lists no
+    file without a byte."""
+    reader = spark.read.option("pathGlobFilter", names).option("recursiveFileLookup", True)
+    told, long = F.col("_metadata"), (F.col("_metadata.file_size") > most) & ~F.col("_metadata.file_name").rlike(PACKED)
+    whole = reader.format("binaryFile").load(path)
+    short = whole.where(~long).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
+    listed = whole.where(long).select(told["file_path"].alias("path"), F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("n_bytes"))
+    if listed.isEmpty():
+        return short
+    lines = spark.read.option("pathGlobFilter", names).option("recursiveFileLookup", True).option("lineSep", "\n").text(path).where(long)
+    rows = lines.select(
+        told["file_path"].alias("path"), told["file_size"].alias("length"), told["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line")
+    )
+    return short.unionByName(listed.join(_long_digests(spark, rows, most), "path").select("file", "sha256", "n_bytes"))
 
 
 def _hadoop(spark: SparkSession, path: str):

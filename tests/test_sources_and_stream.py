@@ -1,4 +1,6 @@
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +134,25 @@ def test_stream_is_the_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
     assert spark.read.parquet(f"{tmp_path}/out/audit").count() == 6 * want.count()
     assert spark.read.parquet(f"{tmp_path}/out/audit").where(F.col("stage") == "release").count() == want.count()
+
+
+def test_manifest_hashes_long_files_in_pieces(spark, tmp_path):
+    """Files past what binaryFile takes, which is set low here: their digests are those of the whole file, whatever their bytes."""
+    rng = random.Random(5)
+    noise = rng.randbytes(300_000)
+    files = {
+        "noise.bin": noise, "end.txt": noise + b"\n", "ends.txt": b"\n\n" + noise.replace(b"\r", b"\r\n") + b"\n\n", "mark.txt": b"\xef\xbb\xbf" + noise, "mark_end.txt": b"\xef\xbb\xbf" + noise + b"\n",
+        "breaks.txt": b"\n" * 250_000, "one_line.txt": b"x" * 250_000, "short.txt": b"a\n", "a b%20#.txt": noise[::-1],
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    confs = {"spark.sql.sources.binaryFile.maxLength": "65536", "spark.sql.files.maxPartitionBytes": "32768"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        got = {r.file: (r.sha256, r.n_bytes) for r in corpus.manifest(spark, str(tmp_path), most=65536).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {name: (hashlib.sha256(data).hexdigest(), len(data)) for name, data in files.items()}
