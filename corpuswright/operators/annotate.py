@@ -109,21 +109,43 @@ def roll_up(found: DataFrame) -> DataFrame:
     )
 
 
-def image_feeling_rules(found: DataFrame, image: str = "image", feeling: str = "feeling") -> DataFrame:
+def image_feeling_rules(found: DataFrame, image: str = "image", feeling: str = "feeling", surfaces: bool = False) -> DataFrame:
     """doc_id, seq, image, feeling, strength, line_no: each pair of an image and a feeling in the same (0) or the next line (1).
 
-    Of a pair's occurrences the best by (strength, line, positions) is the evidence; rules are numbered by first appearance.
+    Of a pair's occurrences the best by (strength, line, positions) is the evidence; rules are numbered by first appearance. With
+    `surfaces` also image_surface and feeling_surface, what the evidence line (line_no) has of the two, null where that is in the next line.
+
+    Of a line's hits of one canon only the first can be evidence, so no more meet the other kind: pairs grow with lines, not with
+    the square of a long line's hits.
     """
-    live = found.where(~F.col("negated"))
-    a = live.where(F.col("kind") == image).select("doc_id", F.col("line_no").alias("la"), F.col("pos").alias("pa"), F.col("canon").alias("image"))
-    b = live.where(F.col("kind") == feeling).select("doc_id", F.col("line_no").alias("lb"), F.col("pos").alias("pb"), F.col("canon").alias("feeling"))
-    near = b.select("doc_id", F.explode(F.array(F.col("lb"), F.col("lb") - 1)).alias("la"), "lb", "pb", "feeling")  # an equi-join, not a range one
-    both = a.join(near, ["doc_id", "la"]).withColumn("strength", F.col("lb") - F.col("la"))
+    live, first = found.where(~F.col("negated")), F.struct("pos", "surface") if surfaces else F.struct("pos")
+    a = live.where(F.col("kind") == image).select("doc_id", F.col("line_no").alias("la"), F.col("canon").alias("image"), first.alias("at"))
+    b = live.where(F.col("kind") == feeling).select("doc_id", F.explode(F.array(F.col("line_no"), F.col("line_no") - 1)).alias("la"), F.col("line_no").alias("lb"), F.col("canon").alias("feeling"), first.alias("at"))
+    spots = a.groupBy("doc_id", "la", "image").agg(F.min("at").alias("a"))
+    near = b.groupBy("doc_id", "la", "lb", "feeling").agg(F.min("at").alias("b"))  # an equi-join, not a range one
+    both = spots.join(near, ["doc_id", "la"]).withColumn("strength", F.col("lb") - F.col("la"))
+    said = [F.col("a.surface").alias("sa"), F.col("b.surface").alias("sb")] if surfaces else []
+    places = F.col("a.pos").alias("pa"), F.col("b.pos").alias("pb")
     best = both.groupBy("doc_id", "image", "feeling").agg(
-        F.min(F.struct("strength", "la", "pa", "pb")).alias("best"), F.min(F.struct("la", "strength", "pa", "pb")).alias("first")
+        F.min(F.struct("strength", "la", *places, *said)).alias("best"), F.min(F.struct("la", "strength", *places)).alias("first")
     )
     order = Window.partitionBy("doc_id").orderBy("first", "image", "feeling")
+    shown = [F.col("best.sa").alias("image_surface"), F.when(F.col("best.strength") == 0, F.col("best.sb")).alias("feeling_surface")] if surfaces else []
     return best.select(
         "doc_id", F.row_number().over(order).cast("long").alias("seq"), "image", "feeling",
-        F.col("best.strength").cast("long").alias("strength"), F.col("best.la").cast("long").alias("line_no"),
+        F.col("best.strength").cast("long").alias("strength"), F.col("best.la").cast("long").alias("line_no"), *shown,
     )
+
+
+def with_lines(rules: DataFrame, docs: DataFrame, profile: TextProfile) -> DataFrame:
+    """The rules (doc_id, line_no and more) with their `line` of `docs` (doc_id, text); those whose text has no such line drop out.
+
+    A work's rules are few, as the pairs of canons are, so they meet its text as one row: texts are dealt by doc_id and only those
+    with rules are split, once, where a join of lines would deal every line.
+    """
+    own = F.struct(*(c for c in rules.columns if c != "doc_id"))
+    per = rules.groupBy("doc_id").agg(F.collect_list(own).alias("_rules"))
+    split = F.array(split_lines(F.col("text"), profile))  # bound, so that a text is split once
+    told = F.transform(split, lambda ls: F.transform("_rules", lambda r: F.struct(r.alias("r"), F.get(ls, r["line_no"].cast("int")).alias("line"))))
+    each = docs.join(per, "doc_id").select("doc_id", F.explode(F.get(told, F.lit(0))).alias("e"))
+    return each.select("doc_id", "e.r.*", "e.line").where("line IS NOT NULL")

@@ -241,3 +241,43 @@ def test_hits_keep_within_their_lines(spark):
     for pattern in (r"\bnot $", r"(?<![a-z])not $"):  # as far back as it can see, and all of the line
         got = annotate.annotate_lines(df, {"image": IMAGES}, LATIN, pattern).collect()
         assert sorted((r.line_no, r.pos, r.canon, r.surface, r.negated) for r in got) == [(0, 0, "moon", "moon", False), (5, 1, "moon", "moon", False), (6, 5, "moon", "moon", False), (7, 0, "moon", "moon", False)]
+
+
+def _joined(df):
+    """The rows that come out of the joins of a plan, after it has run."""
+
+    def of(plan):
+        rows = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+        return rows + sum(of(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    df.collect()
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_rules_do_not_pair_all_hits_of_a_long_line(spark):
+    """A line with n images and n feelings makes a pair for each two canons, not n times n."""
+    rows = [(1, line, kind, 10 * i + line + 1, kind + str(i % 2), f"{kind}{i}", False) for line in (3, 4) for kind in ("image", "feeling") for i in range(500)]
+    found = spark.createDataFrame(rows, "doc_id long, line_no int, kind string, pos long, canon string, surface string, negated boolean")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a plan that is known before it runs
+    try:
+        rules = annotate.image_feeling_rules(found)
+        assert _joined(rules) <= 12  # of canons, lines and strengths
+        want = [(1, "image0", "feeling0", 0, 3), (2, "image0", "feeling1", 0, 3), (3, "image1", "feeling0", 0, 3), (4, "image1", "feeling1", 0, 3)]
+        assert sorted(tuple(r)[1:] for r in rules.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_rules_with_their_surfaces_and_lines(spark):
+    """Rules have the surfaces of their evidence line, and only texts with rules are split, after they met them."""
+    texts = [(1, "No sign. Moonlight, moon and tears, sad."), (2, "The river. Tears. Sad"), (3, "Nothing. At all"), (4, None), (5, "moon tears")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = annotate.annotate_lines(annotate.lines_of(docs, F.col("text"), LATIN), {"image": IMAGES, "feeling": FEELINGS}, LATIN, r"\bnot $")
+    rules = annotate.image_feeling_rules(found, surfaces=True)
+    shorter = docs.where("doc_id < 5").unionByName(docs.select(F.lit(5).cast("long").alias("doc_id"), F.lit(" . ").alias("text")))
+    got = annotate.with_lines(rules, shorter, LATIN)
+    want = [(1, 1, "moon", 0, "Moonlight, moon and tears, sad", "moonlight", "tears"), (2, 1, "river", 1, "The river", "river", None)]
+    assert sorted((r.doc_id, r.seq, r.image, r.strength, r.line, r.image_surface, r.feeling_surface) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("split(text") < plan.find("Join Inner, (doc_id")
