@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import FILLER, FIRST_MARK, Lexicon, TextProfile, fold, negated, seen_before, split_lines
-from .stage import kept
+from .stage import kept, spread
 
 EDGE = "\U000f0000"  # between texts: no surface has it
 PRIVATE = re.compile(f"[{chr(FIRST_MARK)}-{chr(FILLER)}]")  # a text's own are read as replacement characters
@@ -91,12 +91,13 @@ def annotation(docs: DataFrame, lexicons: dict[str, Lexicon], profile: TextProfi
     """annotate_lines of `docs` (doc_id, text) as a stored table, which everything about the same texts and lexicons reads.
 
     The table's name has the lexicons and two sums of hashes of all rows: so the texts are scanned to see that they are the same,
-    and annotated only where they are not.
+    and annotated only where they are not. That scan takes the texts where they lie; they are dealt for the annotation alone, whose
+    work is much more than the dealing.
     """
     sums = [F.coalesce(F.sum(F.xxhash64("doc_id", "text", F.lit(seed)).cast("decimal(38,0)")), F.lit(0)).cast("string").alias(f"s{seed}") for seed in (1, 2)]
     told = docs.agg(F.count(F.lit(1)).alias("n"), *sums).first()
     name = hashlib.sha256(repr((tuple(told), lexicons, profile, negation)).encode()).hexdigest()
-    return kept(annotate_lines(lines_of(docs, F.col("text"), profile), lexicons, profile, negation), f"annotation-{name}")
+    return kept(annotate_lines(lines_of(spread(docs, "doc_id"), F.col("text"), profile), lexicons, profile, negation), f"annotation-{name}")
 
 
 def roll_up(found: DataFrame) -> DataFrame:

@@ -245,7 +245,7 @@ def corpus_stats(spark, sf_dir):
 def skill_catalogue(spark, sf_dir):
     """An entry for each image and author with enough support, described for a router."""
     image = annotate.image_feeling_rules(base._annotated(spark, sf_dir)).groupBy("image").agg(F.count_distinct("doc_id").alias("n"))
-    author = _docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    author = base._table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))  # too little work to deal rows for
     return profiles.catalogue([("image", image, "image", F.col("n"), 3), ("author", author, "source", F.col("n"), 8)])
 
 

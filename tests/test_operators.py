@@ -281,3 +281,21 @@ def test_rules_with_their_surfaces_and_lines(spark):
     assert sorted((r.doc_id, r.seq, r.image, r.strength, r.line, r.image_surface, r.feeling_surface) for r in got.collect()) == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.find("split(text") < plan.find("Join Inner, (doc_id")
+
+
+def test_texts_are_not_dealt_to_be_counted(spark, tmp_path):
+    """Where the annotation is stored, the texts of one row group are scanned by the task that reads them, and sources are counted there."""
+    rows = pa.table({"doc_id": list(range(400)), "text": ["thanea und elle. Andere"] * 400, "lang": ["de"] * 400, "source": ["a", "b"] * 200})
+    pq.write_table(rows, f"{tmp_path}/documents.parquet")
+    want = sorted([("image", "moon", 400), ("author", "a", 200), ("author", "b", 200)])
+    assert sorted((r.family, r.name, r.n) for r in induced.skill_catalogue(spark, tmp_path).collect()) == want
+    sc, group = spark.sparkContext, f"stored-{tmp_path}"
+    sc.setJobGroup(group, "the annotation is read")
+    try:
+        again = induced.skill_catalogue(spark, tmp_path)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    told = sc.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) == 1
+    assert "RepartitionByExpression" not in again._jdf.queryExecution().optimizedPlan().toString()
