@@ -17,9 +17,10 @@ from pyspark.sql.window import Window
 from ..functions.text import FILLER, FIRST_MARK, Lexicon, TextProfile, fold, negated, seen_before, split_lines
 from .stage import kept, spread
 
-EDGE = "\U000f0000"  # between texts: no surface has it
+EDGE = "\uffff"  # between texts: no surface has it; of two bytes, so that a batch without rarer characters has no wider ones
 PRIVATE = re.compile(f"[{chr(FIRST_MARK)}-{chr(FILLER)}]")  # a text's own are read as replacement characters
 HITS, HELD = 1 << 16, 1 << 26  # rows of a batch, and characters where hits keep their lines
+PIECE = 1 << 22  # characters that are masked at once, if they are not one line
 
 
 def lines_of(docs: DataFrame, text: Column, profile: TextProfile) -> DataFrame:
@@ -36,12 +37,34 @@ def _masked(text: str, ranked: list[tuple[str, str]]) -> str:
     return text
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _slices(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The text from `begin` to `end` for each of them, from code points."""
+    sizes = end - begin
+    ends = np.cumsum(sizes)
+    said = points[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)]
+    wide = np.concatenate(([0], np.cumsum(1 + (said > 0x7F) + (said > 0x7FF) + (said > 0xFFFF))))  # bytes in UTF-8
+    offsets = wide[np.concatenate(([0], ends))].astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(said.tobytes().decode("utf-32-le").encode()))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about PIECE characters of a column at most, so that long lines do not meet in one large string."""
+    for batch in batches:
+        ends = np.cumsum(pc.utf8_length(batch.column(column).fill_null("")).to_numpy(), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // PIECE)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]))
+
+
 def _found(folded: str, lexicons: dict[str, Lexicon], keep: list[str], reach: int | None):
-    """Rows to a row a hit. The texts of a batch are masked as one string, between edges that no surface has."""
+    """Rows to a row a hit. The texts of a piece are masked as one string, between edges that no surface has."""
     ranked = {kind: lexicon.ranked() for kind, lexicon in lexicons.items()}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, folded):
             texts = batch.column(folded).fill_null("")
             sizes = pc.utf8_length(texts).to_numpy().astype(np.int64) + 1
             starts = np.cumsum(sizes) - sizes
@@ -50,16 +73,17 @@ def _found(folded: str, lexicons: dict[str, Lexicon], keep: list[str], reach: in
             rows, kept = [], batch.select(keep)
             step = max(1, min(HITS, HELD // int(sizes.max(initial=1)))) if folded in keep else HITS
             for kind, names in ranked.items():
-                points = np.frombuffer(_masked(plain, names).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) - FIRST_MARK
-                at = np.flatnonzero((points >= 0) & (points < len(names)))
-                rows.append((kind, names, at, points[at]))
+                marks = _points(_masked(plain, names)) - np.uint32(FIRST_MARK)  # what is below the marks comes out far above them
+                at = np.flatnonzero(marks < len(names))
+                rows.append((kind, names, at, marks[at]))
+            seen = None if reach is None else _points(whole)
             for kind, names, every, marks in rows:
                 for some in range(0, len(every), step):
                     at, mark = every[some : some + step], pa.array(marks[some : some + step])
                     row = np.searchsorted(starts, at, "right") - 1
                     said = [pa.array([kind] * len(at), pa.string()), pa.array(at - starts[row]), *(pa.array([n[k] for n in names], pa.string()).take(mark) for k in (1, 0))]
-                    if reach is not None:
-                        said.append(pa.array([whole[x:y] for x, y in zip(np.maximum(starts[row], at - reach).tolist(), at.tolist())], pa.string()))
+                    if seen is not None:
+                        said.append(_slices(seen, np.maximum(starts[row], at - reach), at))
                     yield pa.RecordBatch.from_arrays([*kept.take(pa.array(row)).columns, *said], [*keep, "kind", "pos", "canon", "surface", "before"][: len(keep) + len(said)])
 
     return of

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -299,3 +300,26 @@ def test_texts_are_not_dealt_to_be_counted(spark, tmp_path):
     stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds]
     assert stages and max(s.numTasks for s in stages if s) == 1
     assert "RepartitionByExpression" not in again._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_lines_are_masked_in_pieces(monkeypatch):
+    """A batch of long lines takes the memory of a piece, and pieces find what the whole batch has."""
+    line = ("Ü moon 𝄞 road no sad moonlight, é " * 300)[:10000]
+    batch = lambda texts: pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "f": pa.array(texts, pa.string())})
+    lexicons = {"image": IMAGES, "feeling": FEELINGS}
+    found = lambda b: sorted(tuple(r.values()) for x in annotate._found("f", lexicons, ["doc_id"], 6)(iter([b])) for r in x.to_pylist())
+    few = [line, None, "", "no moon", line[:700], "sad", "", line[5:]] * 3
+    whole = found(batch(few))
+    assert {(p, s, before) for d, _, p, _, s, before in whole if d == 3} == {(3, "moon", "no ")}
+    assert sorted(p for d, kind, p, _, _, _ in whole if d == 0 and kind == "feeling") == [m.start() for m in re.finditer("sad", line)]
+    assert {before for *_, p, _, _, before in whole if p > 6} == {line[m.start() - 6 : m.start()] for m in re.finditer("moon|sad", line) if m.start() > 6}
+    monkeypatch.setattr(annotate, "PIECE", 1000, raising=False)
+    assert found(batch(few)) == whole
+    monkeypatch.undo()
+    many = batch([line] * 2000)
+    tracemalloc.start()
+    try:
+        assert sum(x.num_rows for x in annotate._found("f", lexicons, ["doc_id"], 6)(iter([many]))) == 2000 * len(re.findall("moon|sad", line))
+        assert tracemalloc.get_traced_memory()[1] < 12 * 2000 * len(line)
+    finally:
+        tracemalloc.stop()
