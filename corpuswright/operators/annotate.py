@@ -166,11 +166,12 @@ def with_lines(rules: DataFrame, docs: DataFrame, profile: TextProfile) -> DataF
     """The rules (doc_id, line_no and more) with their `line` of `docs` (doc_id, text); those whose text has no such line drop out.
 
     A work's rules are few, as the pairs of canons are, so they meet its text as one row: texts are dealt by doc_id and only those
-    with rules are split, once, where a join of lines would deal every line.
+    with rules are split, once, where a join of lines would deal every line. The dealing is the join's own, so texts move once, and
+    it is asked for, so that few rules that are broadcast do not leave the splitting to the one task that reads a row group.
     """
     own = F.struct(*(c for c in rules.columns if c != "doc_id"))
     per = rules.groupBy("doc_id").agg(F.collect_list(own).alias("_rules"))
     split = F.array(split_lines(F.col("text"), profile))  # bound, so that a text is split once
     told = F.transform(split, lambda ls: F.transform("_rules", lambda r: F.struct(r.alias("r"), F.get(ls, r["line_no"].cast("int")).alias("line"))))
-    each = docs.join(per, "doc_id").select("doc_id", F.explode(F.get(told, F.lit(0))).alias("e"))
+    each = docs.repartition("doc_id").join(per, "doc_id").select("doc_id", F.explode(F.get(told, F.lit(0))).alias("e"))
     return each.select("doc_id", "e.r.*", "e.line").where("line IS NOT NULL")

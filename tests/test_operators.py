@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpuswright.functions import text
 from corpuswright.functions.text import CJK_PROFILE, LATIN, Lexicon
 from corpuswright.operators import annotate, gate, guards, intertext, metrics, prosody, search, stage
-from corpuswright.plans import induced
+from corpuswright.plans import QUERIES, induced
 from corpuswright.sources import corpus
 
 IMAGES = Lexicon((("moon", ("moon", "moonlight")), ("river", ("river",))))
@@ -323,3 +323,12 @@ def test_long_lines_are_masked_in_pieces(monkeypatch):
         assert tracemalloc.get_traced_memory()[1] < 12 * 2000 * len(line)
     finally:
         tracemalloc.stop()
+
+
+def test_reviewed_texts_are_dealt_once(spark, tmp_path):
+    """The texts of one row group move for the join with their rules, and not before it as well."""
+    rows = pa.table({"doc_id": list(range(400)), "text": ["thanea und elle. Andere"] * 400, "lang": ["de"] * 400, "source": ["a"] * 400})
+    pq.write_table(rows, f"{tmp_path}/documents.parquet")
+    reviewed = QUERIES["review_decisions"](spark, tmp_path)
+    plan = reviewed._jdf.queryExecution().executedPlan().toString()
+    assert reviewed.count() == 400 and "REPARTITION_BY_NUM" not in plan and "REPARTITION_BY_COL" in plan
