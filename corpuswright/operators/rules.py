@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import TextProfile, units
-from .lookup import occurrences
+from . import lookup
+from .stage import once
 
 MARKERS, NOTES, LEAST_NOTE, LEAST_FEET, MOST_LINES = 6, 20, 4, 2, 8  # fixed values
 STRONG, WEAK = 0, 2
@@ -68,10 +69,12 @@ def bind_external(works: DataFrame, external: DataFrame, profile: TextProfile) -
     Equal first lines of an author are asked for once, and the two least analyses of each are kept: so copies of a work do not
     meet each other pairwise.
     """
-    asked = works.select("doc_id", "author", units(F.col("first_line"), profile).alias("passage"))
+    lines = works.where(F.col("author").isNotNull()).select("doc_id", "author", units(F.col("first_line"), profile).alias("passage"))
+    asked = once(lookup.keyed(lines, ["doc_id", "author"]))
     texts = external.select(F.col("ext_id").alias("doc_id"), "author", units(F.col("text"), profile).alias("unit"))
-    met = occurrences(texts, asked.select("passage", "author"), ["author"]).select("author", "passage", F.col("doc_id").alias("ext_id"))
-    two = met.groupBy("author", "passage").agg(F.min("ext_id").alias("one"))
-    again = met.join(two, ["author", "passage"]).where(F.col("ext_id") != F.col("one")).groupBy("author", "passage").agg(F.min("ext_id").alias("two"))
-    told = asked.join(two, ["author", "passage"]).join(again, ["author", "passage"], "left")
-    return told.select("doc_id", F.when(F.col("one") != F.col("doc_id"), F.col("one")).otherwise(F.col("two")).alias("ext_id")).where("ext_id IS NOT NULL")
+    key = ["author", *lookup.KEY]
+    place = F.dense_rank().over(Window.partitionBy(*key).orderBy("ext_id"))  # so no more than two of a task's leave it
+    least = lookup.holders(texts, asked, ["author"]).withColumnRenamed("doc_id", "ext_id").withColumn("place", place).where("place <= 2")
+    two = least.groupBy(*key).agg(F.min("ext_id").alias("one"), F.max("ext_id").alias("two"))
+    other = F.when(F.col("one") != F.col("doc_id"), F.col("one")).when(F.col("two") != F.col("doc_id"), F.col("two"))
+    return asked.join(two, key).select("doc_id", other.alias("ext_id")).where("ext_id IS NOT NULL")
